@@ -15,6 +15,7 @@ from sluicework.operators.serving import over_and_under, top_absolute
 from sluicework.operators.skew import Ordered, exact_quantiles, ordered_columns, rank_rows
 from sluicework.plans import bindings as B
 from sluicework.plans.feature_views import league_matches, match_features
+from sluicework.session import cut_lineage
 from sluicework.sources.files import preview
 
 
@@ -82,7 +83,7 @@ def join_outer(t):
 @query("join_lookup", sql=using("team_features", body=f"""SELECT year, team, win_loss_perc, {up('bar', 9)} AS bar, CAST(win_loss_perc >= bar AS INTEGER) AS is_elite FROM team_features
   JOIN (SELECT year, quantile_cont(win_loss_perc, 0.75) AS bar FROM team_features GROUP BY year) USING (year)"""))
 def join_lookup(t):
-    teams = V.team_view(t)
+    teams = cut_lineage(V.team_view(t))
     bars = exact_quantiles(teams, ["win_loss_perc"], [0.75], ["year"]).select("year", F.col("q0").alias("bar"))
     joined = teams.join(bars, "year")
     return joined.select("year", "team", "win_loss_perc", F.round("bar", 9).alias("bar"), S.flag(F.col("win_loss_perc") >= F.col("bar")).alias("is_elite"))
@@ -170,14 +171,14 @@ _Z = ["points_per_game", "turnover_pct", "rush_yds_per_att"]
     up(f"CASE WHEN stddev_pop(coalesce({c}, 0)) OVER y > 0 THEN (coalesce({c}, 0) - avg(coalesce({c}, 0)) OVER y) / stddev_pop(coalesce({c}, 0)) OVER y ELSE 0 END", 6) + f" AS z_{c}" for c in _Z
 ) + " FROM team_features WINDOW y AS (PARTITION BY year)"))
 def win_zscore_season(t):
-    scored = C.season_z_scores(V.team_view(t), "year", _Z)
+    scored = C.season_z_scores(cut_lineage(V.team_view(t)), "year", _Z)
     return scored.select("year", "team", *[F.round(f"z_{c}", 6).alias(f"z_{c}") for c in _Z])
 
 
 @query("win_minmax", sql=using("team_features", body=f"""SELECT year, team, {up('(points - min(points) OVER ()) / CAST(max(points) OVER () - min(points) OVER () AS DOUBLE)', 6)} AS norm_points,
   {up('1 - (points_opp - min(points_opp) OVER ()) / CAST(max(points_opp) OVER () - min(points_opp) OVER () AS DOUBLE)', 6)} AS norm_points_opp, 0::DOUBLE AS norm_constant FROM team_features"""))
 def win_minmax(t):
-    teams = V.team_view(t).withColumn("constant", F.lit(3.0))
+    teams = cut_lineage(V.team_view(t)).withColumn("constant", F.lit(3.0))
     scaled = C.min_max(teams, ["points", "points_opp", "constant"], invert=["points_opp"])
     return scaled.select("year", "team", *[F.round(f"norm_{c}", 6).alias(f"norm_{c}") for c in ("points", "points_opp", "constant")])
 
@@ -185,7 +186,7 @@ def win_minmax(t):
 @query("win_quartile_flag", sql=using("team_features", body="""SELECT year, team, CAST(points >= quantile_cont(points, 0.75) OVER (PARTITION BY year) AS INTEGER) AS season_elite,
   CAST(points >= (SELECT quantile_cont(points, 0.75) FROM team_features) AS INTEGER) AS table_elite FROM team_features"""))
 def win_quartile_flag(t):
-    flagged = C.flag_elite(C.flag_elite(V.team_view(t), "points", "season_elite", "year"), "points", "table_elite")
+    flagged = C.flag_elite(C.flag_elite(cut_lineage(V.team_view(t)), "points", "season_elite", "year"), "points", "table_elite")
     return flagged.select("year", "team", "season_elite", "table_elite")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from sluicework.functions.constants import TACTICAL_NAMES
+
 
 def dec(x: str) -> str:
     """The double's shortest decimal text as an exact decimal."""
@@ -159,13 +161,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
                {up(div(n_if('margin <= -13'), 'count(*)'), 3)} AS blowout_loss_rate,
                {up(div('avg(pf)', 'avg(pa)'), 3)} AS attack_defense_ratio
         FROM lagged GROUP BY team, year HAVING count(*) >= 5"""),
-    "profiles": (("coaching",), """
-        SELECT team, avg(win_rate) AS win_rate, avg(avg_margin) AS avg_margin, avg(consistency_score) AS consistency_score,
-               avg(home_dependency) AS home_dependency, avg(bounce_back_rate) AS bounce_back_rate,
-               avg(streak_maintenance_rate) AS streak_maintenance_rate, avg(close_game_win_rate) AS close_game_win_rate,
-               avg(blowout_loss_rate) AS blowout_loss_rate, avg(attack_defense_ratio) AS attack_defense_ratio,
-               avg(early_season_win_rate) AS early_season_win_rate, avg(late_season_win_rate) AS late_season_win_rate
-        FROM coaching GROUP BY team"""),
+    "profiles": (("coaching",), "SELECT team, " + ", ".join(f"{up(f'avg({c})', 9)} AS {c}" for c in TACTICAL_NAMES) + " FROM coaching GROUP BY team"),
     "constructor_season": (("results", "races", "constructors", "status"), f"""
         SELECT constructor_id AS "constructorId", constructor, nationality, year, count(*) AS race_entries,
                sum(points) AS total_points, {n_if('place = 1')} AS wins, {n_if('place <= 3')} AS podiums,

@@ -16,6 +16,7 @@ from sluicework.operators.learning import impact_score
 from sluicework.operators.skew import exact_quantiles
 from sluicework.plans import analyses as P
 from sluicework.plans import bindings as B
+from sluicework.session import cut_lineage
 
 
 @query("agg_entity_season", sql=f"""SELECT l_custkey, year, count(*) AS race_entries, sum(points) AS total_points, {n_if('place = 1')} AS wins, {n_if('place <= 3')} AS podiums,
@@ -92,14 +93,14 @@ _Q = ["points", "mov", "rush_share"]
     for c in _Q
 )))
 def agg_quantile(t):
-    found = exact_quantiles(V.team_view(t), _Q, [0.25, 0.5, 0.75], ["year"])
+    found = exact_quantiles(cut_lineage(V.team_view(t)), _Q, [0.25, 0.5, 0.75], ["year"])
     return found.select("year", "feature", *[F.round(f"q{i}", 6).alias(f"q{i}") for i in range(3)])
 
 
 @query("agg_weighted_mean", sql=using("team_season", body=f"""SELECT team, {up('sum(win_rate * w) / sum(w)', 6)} AS win_rate_now, {up('sum(avg_margin * w) / sum(w)', 6)} AS margin_now
   FROM (SELECT *, exp(-0.07::DOUBLE * (max(year) OVER () - year)) AS w FROM team_season) GROUP BY team"""))
 def agg_weighted_mean(t):
-    s = V.season_view(t)
+    s = cut_lineage(V.season_view(t))
     newest = s.agg(F.max("year").alias("y")).scalar()
     weighted = A.weighted_means(
         s.withColumn("w", S.recency_weight(newest - F.col("year"))), ["team"], {"win_rate": "win_rate_now", "avg_margin": "margin_now"}, "w"
@@ -110,7 +111,7 @@ def agg_weighted_mean(t):
 @query("agg_own_top_quartile", sql=using("team_features", body="""SELECT team, count(*) FILTER (WHERE points >= bar) AS seasons_top FROM team_features
   JOIN (SELECT team, quantile_cont(points, 0.75) AS bar FROM team_features GROUP BY team) USING (team) GROUP BY team"""))
 def agg_own_top_quartile(t):
-    return A.own_top_quartile(V.team_view(t), "team", "points", "seasons_top")
+    return A.own_top_quartile(cut_lineage(V.team_view(t)), "team", "points", "seasons_top")
 
 
 RIVALRY = f"""SELECT team, opponent, count(*) AS total_matches, {n_if('win = 1')} AS wins, {n_if('win = 0')} AS losses, {even('sum(win) / count(*)', 3)} AS win_rate,
@@ -200,10 +201,15 @@ query("agg_ledger_rollup", sql=using("job_events", body=f"""SELECT coalesce(bq_t
   FROM (SELECT * FROM job_events QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) = 1) GROUP BY 1"""))(
     lambda t: A.ledger_rollup(L.current_jobs(B.job_events(t)))
 )
+def position_values(importances):
+    weights = J.expand_positions(importances)
+    return A.top_features_per_position(weights).join(A.position_totals(weights), "position")
+
+
 query("agg_position_value", sql=R.with_positions(f"""SELECT position, place, team_feature, {even('positional_value', 4)} AS value, total_value FROM
   (SELECT *, CAST(row_number() OVER (PARTITION BY position ORDER BY positional_value DESC, team_feature) AS INTEGER) AS place FROM weights)
   JOIN (SELECT position, {even('sum(positional_value)', 4)} AS total_value FROM weights GROUP BY position) USING (position) WHERE place <= 3"""))(
-    lambda t: A.top_features_per_position(J.expand_positions(R.importances(t))).join(A.position_totals(J.expand_positions(R.importances(t))), "position")
+    lambda t: position_values(cut_lineage(R.importances(t)))
 )
 
 _PILLARS = [f"pillar_{p}" for p in K.PILLARS]
@@ -247,7 +253,7 @@ _CONSTRUCTORS = """means AS (SELECT constructor, min(nationality) AS nationality
 
 @query("ml_composite_index", sql=using("constructor_season", body="") + f", {_CONSTRUCTORS} SELECT constructor, total_wins, seasons_active, {even(' + '.join(_norm(c, c == 'mean_avg_finish') + f' * {w}::DOUBLE' for c, w in K.CONSTRUCTOR_WEIGHTS.items()), 4)} AS composite_score FROM means")
 def ml_composite_index(t):
-    return P.constructor_index(V.constructor_view(t)).select("constructor", "total_wins", "seasons_active", "composite_score")
+    return P.constructor_index(cut_lineage(V.constructor_view(t))).select("constructor", "total_wins", "seasons_active", "composite_score")
 
 
 _LEAGUE = f"""means AS (SELECT team, avg(win_rate) AS mean_win_rate, avg(avg_margin) AS mean_avg_margin, avg(away_win_rate) AS mean_away_win_rate, avg(close_game_win_rate) AS mean_close_game_win_rate,
@@ -256,13 +262,13 @@ _LEAGUE = f"""means AS (SELECT team, avg(win_rate) AS mean_win_rate, avg(avg_mar
 
 @query("ml_league_index", sql=using("team_season", body="") + f", {_LEAGUE} SELECT team, seasons_active, {even(' + '.join(_norm(c, c == 'defensive_strength') + f' * {w}::DOUBLE' for c, w in K.LEAGUE_WEIGHTS.items()) + ' + (seasons_active - min(seasons_active) OVER ()) / CAST(greatest(max(seasons_active) OVER () - min(seasons_active) OVER (), 1) AS DOUBLE) * 0.05::DOUBLE', 4)} AS composite_score FROM means")
 def ml_league_index(t):
-    return P.league_index(V.season_view(t)).select("team", "seasons_active", "composite_score")
+    return P.league_index(cut_lineage(V.season_view(t))).select("team", "seasons_active", "composite_score")
 
 
 @query("ml_modern_dominance", sql=using("team_season", body=f"""SELECT team, {even('w * 0.6::DOUBLE + greatest(d, 0) / 30 * 0.4::DOUBLE', 4)} AS modern_dominance FROM (SELECT team, sum(win_rate * k) / sum(k) AS w, sum(avg_margin * k) / sum(k) AS d
   FROM (SELECT *, exp(-0.07::DOUBLE * (max(year) OVER () - year)) AS k FROM team_season) GROUP BY team)"""))
 def ml_modern_dominance(t):
-    return C.modern_dominance(V.season_view(t)).select("team", "modern_dominance")
+    return C.modern_dominance(cut_lineage(V.season_view(t))).select("team", "modern_dominance")
 
 
 def form_predictions(t):
@@ -294,7 +300,7 @@ def _swot_sql() -> str:
             low, high = f"{c} <= l_{c}", f"{c} >= h_{c}"
             plus, minus = (low, high) if c in K.LOWER_IS_BETTER else (high, low)
             cells.append(f"CASE WHEN {plus} THEN '{name}' END" if good else f"CASE WHEN {minus} AND NOT ({plus}) THEN '{name}' END")
-        kept = f"list_filter([{', '.join(cells)}], x -> x IS NOT NULL)[1:3]"
+        kept = f"list_filter([{', '.join(cells)}], lambda x: x IS NOT NULL)[1:3]"
         return f"CASE WHEN len({kept}) = 0 THEN 'None' ELSE array_to_string({kept}, ', ') END"
 
     return using("profiles", body="") + f", bars AS (SELECT {bars} FROM profiles) SELECT team, {marks(True)} AS strengths, {marks(False)} AS weaknesses FROM profiles, bars"
@@ -312,7 +318,7 @@ def ml_swot(t):
     for c in ("points", "mov", "rush_share", "pass_td")
 ))
 def ml_optimal_profile(t):
-    flagged = C.flag_elite(V.team_view(t), "win_loss_perc", season="year")
+    flagged = C.flag_elite(cut_lineage(V.team_view(t)), "win_loss_perc", season="year")
     return C.elite_profile(flagged, ["points", "mov", "rush_share", "pass_td"])
 
 
@@ -321,7 +327,7 @@ def ml_optimal_profile(t):
     for c in ("wins", "pass_td", "penalties")
 ))
 def ml_elite_advantage(t):
-    return C.elite_advantage(C.flag_elite(V.team_view(t), "points"), ["wins", "pass_td", "penalties"])
+    return C.elite_advantage(C.flag_elite(cut_lineage(V.team_view(t)), "points"), ["wins", "pass_td", "penalties"])
 
 
 # Clusters given by a column of the data, so that every step after the fit has an oracle
@@ -349,19 +355,19 @@ def ml_cluster_label_top2(t):
 
 
 @query("ml_cluster_assign", sql=f"""WITH {_unnested()}, centre AS (SELECT label, d, avg(x) AS c FROM e GROUP BY label, d)
-  SELECT vec_id, label, {up('1 / (1 + sqrt(sum((x - c) * (x - c))))', 3)} AS impact_score FROM e JOIN centre USING (label, d) GROUP BY vec_id, label""")
+  SELECT vec_id, label, {even('1 / (1 + sqrt(sum((x - c) * (x - c))))', 4)} AS impact_score FROM e JOIN centre USING (label, d) GROUP BY vec_id, label""")
 def ml_cluster_assign(t):
     """Distance of every vector to the centre of its label, as an impact score."""
     rows = t.embeddings.select("vec_id", F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
     parts = rows.select("label", F.posexplode("v").alias("d", "x")).groupBy("label", "d").agg(F.avg("x").alias("c"))
     centres = parts.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("d", "c"))), lambda p: p["c"]).alias("c"))
-    return rows.join(centres, "label").select("vec_id", "label", F.round(impact_score(F.col("v"), F.col("c")), 3).alias("impact_score"))
+    return rows.join(centres, "label").select("vec_id", "label", impact_score(F.col("v"), F.col("c")).alias("impact_score"))
 
 
 @query("ml_cluster_label_ranked", sql=using("constructor_season", body="") + f""", {_CONSTRUCTORS}, c AS (SELECT nationality, mean_win_rate + mean_podium_rate AS composite_score FROM means)
 SELECT nationality, {up('avg(composite_score)', 6)} AS mean_score, list_extract(['dominant', 'competitive', 'midfield', 'backmarker', 'occasional'], least(row_number() OVER (ORDER BY avg(composite_score) DESC, nationality), 5)) AS archetype_label FROM c GROUP BY nationality""")
 def ml_cluster_label_ranked(t):
-    index = P.constructor_index(V.constructor_view(t)).withColumn("composite_score", F.col("mean_win_rate") + F.col("mean_podium_rate"))
+    index = P.constructor_index(cut_lineage(V.constructor_view(t))).withColumn("composite_score", F.col("mean_win_rate") + F.col("mean_podium_rate"))
     labels = C.ranked_labels(index, "nationality", K.CONSTRUCTOR_LABELS)
     return labels.withColumn("mean_score", F.round("mean_score", 6))
 
@@ -373,7 +379,7 @@ SELECT style_id, CASE WHEN f = 'attack_defense_ratio' AND diff > 0 THEN 'high-sc
   WHEN f = 'home_dependency' AND diff > 0 THEN 'home specialists' WHEN f IN ('bounce_back_rate', 'close_game_win_rate') AND diff > 0 THEN 'clutch performers'
   WHEN f = 'late_season_win_rate' AND diff > 0 THEN 'late-season surgers' WHEN wd < -0.05 THEN 'rebuilding' ELSE 'balanced' END AS playing_style FROM top WHERE n = 1""")
 def ml_cluster_label_rules(t):
-    profiles = P.tactical_profiles(V.coaching_view(t))
+    profiles = cut_lineage(P.tactical_profiles(V.coaching_view(t)))
     return C.style_labels(profiles.withColumn("style_id", F.right("team", F.lit(1)).cast("long") % 5), "style_id")
 
 

@@ -183,3 +183,11 @@ def pii_report(df: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
         for c, kind in kinds.items()
     ]
     return df.agg(F.array(*entries).alias("e")).select(F.inline("e"))
+
+
+def file_outcomes(checked: DataFrame, file: str) -> DataFrame:
+    """Good and bad rows per file; a file without a good row is rejected as a whole."""
+    counts = checked.groupBy(file).agg(
+        F.count_if(F.size("__errors") == 0).alias("valid"), F.count_if(F.size("__errors") > 0).alias("rejected")
+    )
+    return counts.withColumn("status", F.when(F.col("valid") == 0, "REJECTED").otherwise("TRANSFORMING"))

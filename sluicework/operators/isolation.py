@@ -132,7 +132,7 @@ def explain_anomalies(scored: DataFrame, key: Sequence[str], columns: Sequence[s
     cells = F.array(
         *[F.struct((-F.abs(F.col(c) - mean[c])).alias("d"), F.lit(c).alias("feature")) for c in columns]
     )
-    first = F.slice(F.array_sort(cells), 1, n)
+    first = F.slice(F.sort_array(cells), 1, n)
     return scored.where(F.col("is_anomaly") == 1).select(
         *key, F.posexplode(first).alias("pos", "cell")
     ).select(*key, (F.col("pos") + 1).alias("place"), "cell.feature", half_even(-F.col("cell.d"), 3).alias("deviation"))

@@ -12,6 +12,7 @@ from sluicework.functions.scalar import flag, half_even, recency_weight, weighte
 from sluicework.operators.aggregates import best_row, own_top_quartile, weighted_means
 from sluicework.operators.reshape import to_long
 from sluicework.operators.skew import exact_quantiles, rank_rows
+from sluicework.session import cut_lineage
 
 
 def _one_row(stats: DataFrame) -> Column:
@@ -35,8 +36,11 @@ def min_max(df: DataFrame, columns: Sequence[str], invert: Sequence[str] = (), p
 def composite_index(
     df: DataFrame, weights: Mapping[str, float], invert: Sequence[str] = (), extra: Column | None = None
 ) -> DataFrame:
-    """Min-max each metric, add them up by weight (plus ``extra``), rounded to 4 places."""
-    scaled = min_max(df, list(weights), invert)
+    """Min-max each metric, add them up by weight (plus ``extra``), rounded to 4 places.
+
+    The entity table is stored first: the extremes and the scores both read it.
+    """
+    scaled = min_max(cut_lineage(df), list(weights), invert)
     total = weighted_sum({f"norm_{c}": w for c, w in weights.items()})
     if extra is not None:
         total = total + extra
@@ -88,6 +92,7 @@ def dominance_seasons(
 
 def dominance_rankings(seasons: DataFrame) -> DataFrame:
     """All-time ranking: 60 % mean dominance, 40 % peak season."""
+    seasons = cut_lineage(seasons)
     totals = seasons.groupBy("team").agg(
         F.avg("dominance_score").alias("mean_dominance"),
         F.max("dominance_score").alias("peak_dominance"),
@@ -170,7 +175,7 @@ def multi_year_windows(seasons: DataFrame, measures: Mapping[str, tuple[str, int
     ``measures``: output name to (column, digits). Each season goes to the at most
     ``span`` windows that cover it; the year list has one row per calendar year.
     """
-    by_year = Window.orderBy("year")
+    seasons, by_year = cut_lineage(seasons), Window.orderBy("year")
     years = (
         seasons.select("year").distinct()
         .withColumn("__i", F.row_number().over(by_year) - 1)
@@ -221,13 +226,13 @@ TREND_MEASURES = {
 
 
 def team_trends(seasons: DataFrame) -> DataFrame:
-    windows = multi_year_windows(seasons, TREND_MEASURES)
+    windows = cut_lineage(multi_year_windows(seasons, TREND_MEASURES))
     return windows.join(trajectories(windows).select("team", "trajectory"), "team")
 
 
 def swot(profiles: DataFrame, names: Mapping[str, str] = K.TACTICAL_NAMES, lower: Sequence[str] = K.LOWER_IS_BETTER) -> DataFrame:
     """First three strengths and weaknesses by table quartiles, in column order."""
-    columns = list(names)
+    columns, profiles = list(names), cut_lineage(profiles)
     quartiles = exact_quantiles(profiles, columns, [0.25, 0.75])
     bars = quartiles.agg(
         F.map_from_entries(F.collect_list(F.struct("feature", F.struct("q0", "q1")))).alias("m")

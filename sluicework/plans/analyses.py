@@ -22,6 +22,7 @@ from sluicework.operators.joins import expand_positions
 from sluicework.operators.quality import PROFILES, QualityRules, dq_assert, numeric_columns
 from sluicework.operators.reshape import stack_frames
 from sluicework.operators.skew import rank_rows
+from sluicework.session import cut_lineage
 
 Tables = dict[str, DataFrame]
 
@@ -41,7 +42,9 @@ class Boost:
 
 
 def _gate(df: DataFrame, rules: QualityRules | None) -> DataFrame:
-    return df if rules is None else dq_assert(df, rules)
+    """Store the feature table once, as every step reads it again, and check it."""
+    stored = cut_lineage(df)
+    return stored if rules is None else dq_assert(stored, rules)
 
 
 def _sweep_metrics(sweep: DataFrame) -> DataFrame:
@@ -53,7 +56,7 @@ _PLAYER_LABELS = ["player_id", "position", "league"]
 
 
 def player_clusters(features: DataFrame, ks: Sequence[int] = range(3, 11), starts: int = 10, rules: QualityRules | None = PROFILES["player"]) -> Tables:
-    _gate(features, rules)
+    features = _gate(features, rules)
     columns = numeric_columns(features, _PLAYER_LABELS)
     scaled = L.scale(features, columns).select("player_id", *columns)
     model, sweep = L.kmeans_sweep(scaled, columns, ks, starts)
@@ -67,7 +70,7 @@ def player_clusters(features: DataFrame, ks: Sequence[int] = range(3, 11), start
 
 
 def player_anomalies(features: DataFrame, contamination: float = 0.05, trees: int = 200, rules: QualityRules | None = PROFILES["player"]) -> Tables:
-    _gate(features, rules)
+    features = _gate(features, rules)
     columns = numeric_columns(features, _PLAYER_LABELS)
     scaled = L.scale(features, columns).select("player_id", *columns)
     scored = find_anomalies(scaled, ["player_id"], columns, contamination, trees)
@@ -79,7 +82,7 @@ def player_anomalies(features: DataFrame, contamination: float = 0.05, trees: in
 
 
 def player_ratings(features: DataFrame, boost: Boost = Boost(), rules: QualityRules | None = PROFILES["player"]) -> Tables:
-    _gate(features, rules)
+    features = _gate(features, rules)
     columns = numeric_columns(features, [*_PLAYER_LABELS, "rating"])
     rows, importances = L.boost_out_of_fold(
         features, ["player_id"], columns, "rating", blocks=True, **boost.options()
@@ -98,7 +101,7 @@ _TEAM_LABELS = ["year", "team", "is_playoff"]
 
 
 def team_archetypes(features: DataFrame, ks: Sequence[int] = range(3, 9), starts: int = 10, rules: QualityRules | None = PROFILES["nfl_team"]) -> Tables:
-    _gate(features, rules)
+    features = _gate(features, rules)
     columns = L.style_columns(numeric_columns(features, _TEAM_LABELS))
     kept = features.select("year", "team", F.col("win_loss_perc").alias("__win"), *columns)
     scaled = L.scale(kept, columns)
@@ -123,7 +126,7 @@ _WIN_BOOST = Boost(depth=4, rate=0.05, min_leaf=10)
 
 def team_wins(features: DataFrame, boost: Boost = _WIN_BOOST, rules: QualityRules | None = PROFILES["nfl_team"]) -> Tables:
     """Two out-of-fold models of the win share: on all features and on controllable ones."""
-    _gate(features, rules)
+    features = _gate(features, rules)
     every = numeric_columns(features, ["year", "team", *_WIN_TARGETS])
     views = {"all_features": every, "controllable": [c for c in every if c not in _WIN_TAUTOLOGIES]}
     predictions, importances, metrics = [], [], []
@@ -147,7 +150,7 @@ def team_wins(features: DataFrame, boost: Boost = _WIN_BOOST, rules: QualityRule
 
 def team_profile(features: DataFrame, rules: QualityRules | None = PROFILES["nfl_team"]) -> Tables:
     """Quartiles of the best quarter of each season, and ridge weights within it."""
-    _gate(features, rules)
+    features = _gate(features, rules)
     target = "win_loss_perc"
     columns = numeric_columns(features, _TEAM_LABELS)
     flagged = S.flag_elite(features, target, season="year")
@@ -178,7 +181,7 @@ def positional_values(importances: DataFrame) -> Tables:
 
 def team_dominance(features: DataFrame, trees: int = 200, depth: int = 4, rules: QualityRules | None = PROFILES["nfl_team"]) -> Tables:
     """Season scores, all-time ranking, and what sets the best quarter of seasons apart."""
-    _gate(features, rules)
+    features = _gate(features, rules)
     columns = numeric_columns(features, ["year", "is_playoff"])
     seasons = S.flag_elite(S.dominance_seasons(features), "dominance_score")
     importances, accuracy = L.boost_classifier(seasons, columns, "is_elite", trees, depth)
@@ -212,7 +215,7 @@ def _boosted(features, key, columns, target, boost, predicted, actual, shown):
 
 def driver_positions(features: DataFrame, boost: Boost = Boost(), rules: QualityRules | None = PROFILES["f1_driver"]) -> Tables:
     """Finish position of finished entries from grid, qualifying, season and result data."""
-    _gate(features, rules)
+    features = _gate(features, rules)
     finished = features.where(F.col("finished") == 1).withColumn("quali_position", F.coalesce("quali_position", "grid"))
     columns = ["grid", "quali_position", "year", "points", "laps", "finished"]
     shown = ["resultId", "year", "race_name", "driver", "driver_name", "constructor", "grid"]
@@ -254,7 +257,7 @@ def constructor_index(features: DataFrame) -> DataFrame:
 
 
 def constructor_rankings(features: DataFrame, ks: Sequence[int] = range(3, 6), starts: int = 10, rules: QualityRules | None = PROFILES["f1_constructor"]) -> Tables:
-    _gate(features, rules)
+    features = _gate(features, rules)
     norms = [f"norm_{c}" for c in K.CONSTRUCTOR_WEIGHTS]
     ranked, sweep = _cluster_index(constructor_index(features), norms, ks, starts, K.CONSTRUCTOR_LABELS, "constructor")
     return {
@@ -273,7 +276,7 @@ def constructor_rankings(features: DataFrame, ks: Sequence[int] = range(3, 6), s
 
 def pitstop_impact(features: DataFrame, boost: Boost = Boost(), rules: QualityRules | None = PROFILES["f1_pitstop"]) -> Tables:
     """Positions gained from pit strategy, and the speed of the pit crews."""
-    _gate(features, rules)
+    features = _gate(features, rules)
     entries = A.race_driver_stops(features)
     columns = ["total_stops", "avg_stop_duration", "min_stop_duration", "first_stop_pct", "grid", "year"]
     shown = [
@@ -306,7 +309,7 @@ MATCH_COLUMNS = [
 
 def match_margins(features: DataFrame, key: Sequence[str] = ("match_date", "home_team", "away_team"), boost: Boost = Boost(), rules: QualityRules | None = PROFILES["nrl_match"]) -> Tables:
     """Match margins of teams with form on both sides, and who beats the expectation."""
-    _gate(features, rules)
+    features = _gate(features, rules)
     known = features.dropna(subset=["home_last5_win_rate", "away_last5_win_rate"])
     shown = ["match_date", "year", "round", "home_team", "away_team", "home_score", "away_score"]
     rows, importances, table = _boosted(
@@ -343,7 +346,7 @@ def league_index(features: DataFrame) -> DataFrame:
 
 
 def league_rankings(features: DataFrame, ks: Sequence[int] = range(3, 7), starts: int = 10, rules: QualityRules | None = PROFILES["nrl_team"]) -> Tables:
-    _gate(features, rules)
+    features = _gate(features, rules)
     norms = [f"norm_{c}" for c in K.LEAGUE_WEIGHTS]
     ranked, sweep = _cluster_index(league_index(features), norms, ks, starts, K.LEAGUE_LABELS, "team")
     return {
@@ -363,13 +366,17 @@ def league_rankings(features: DataFrame, ks: Sequence[int] = range(3, 7), starts
 
 
 def tactical_profiles(features: DataFrame) -> DataFrame:
-    """All-time mean of the tactical columns per team."""
-    return features.groupBy("team").agg(*[F.avg(c).alias(c) for c in K.TACTICAL_NAMES])
+    """All-time mean of the tactical columns per team.
+
+    Nine digits are kept, so that teams with equal seasons tie whatever order their rows
+    were added up in; quartile tests on the means then do not depend on partitioning.
+    """
+    return features.groupBy("team").agg(*[F.round(F.avg(c), 9).alias(c) for c in K.TACTICAL_NAMES])
 
 
 def coaching_insights(features: DataFrame, matches: DataFrame, ks: Sequence[int] = range(3, 7), starts: int = 10, rules: QualityRules | None = PROFILES["nrl_coaching"]) -> Tables:
     """Playing styles, strengths and weaknesses, rivalries and multi-year trends."""
-    _gate(features, rules)
+    features = _gate(features, rules)
     columns = list(K.TACTICAL_NAMES)
     profiles = tactical_profiles(features)
     scaled_names = {c: f"__z_{c}" for c in columns}

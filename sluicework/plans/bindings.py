@@ -253,8 +253,9 @@ def raw_people(t: Tables) -> DataFrame:
         F.when(k % 3 == 0, "yes").when(k % 3 == 1, "No").otherwise("1").alias("active"),
         F.when(k % 5 == 0, "NULL").otherwise(F.concat(F.lit("2024-01-"), F.lpad((k % 28 + 1).cast("string"), 2, "0"))).alias("joined"),
         F.col("c_mktsegment").alias("segment"),
+        F.explode(F.when(k % 4 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
     )
-    return upload.withColumn("copy", F.explode(F.when(k % 4 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    return upload
 
 
 PEOPLE_COLUMNS = [

@@ -106,7 +106,7 @@ def validate_files(spark: SparkSession, paths: str | Sequence[str], content_type
         "format", detect_format(F.col("file_name"), F.lit(content_type).cast("string"))
     )
     whole = _whole_file_checks(
-        listed.where(F.col("format") != "ndjson").withColumn("text", F.decode("content", "UTF-8"))
+        listed.where(F.col("format") != "ndjson").withColumn("text", F.col("content").cast("string"))
     )
     # NDJSON is checked line by line, so files of any size spread over many tasks.
     lines = spark.read.option("recursiveFileLookup", "true").text(paths).select(
@@ -179,7 +179,12 @@ def ndjson_rows(lines: DataFrame) -> DataFrame:
 
 
 def expand_archives(spark: SparkSession, paths: str | Sequence[str], prefix: str = "") -> DataFrame:
-    """One row per supported, visible member of each ZIP file, with its bytes.
+    """The members of ZIP files, see :func:`expand_members`."""
+    return expand_members(spark.read.format("binaryFile").load(paths).select("path", "content"), prefix)
+
+
+def expand_members(packed: DataFrame, prefix: str = "") -> DataFrame:
+    """One row per supported, visible member of each ZIP file (path, content).
 
     An archive is unpacked by the task that reads it, member after member. Archives
     without such a member give one row with a NULL member.
@@ -203,7 +208,6 @@ def expand_archives(spark: SparkSession, paths: str | Sequence[str], prefix: str
                 if empty:
                     yield pd.DataFrame({"archive": [path], "member": [None], "content_type": [None], "content": [None]})
 
-    packed = spark.read.format("binaryFile").load(paths).select("path", "content")
     members = packed.mapInPandas(unpack, "archive string, member string, content_type string, content binary")
     return members.withColumn(
         "dataset", F.when(F.col("member").isNotNull(), F.concat(F.lit(prefix), dataset_name(F.col("member"))))

@@ -12,10 +12,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from sluicework.operators.ledger import NEXT_STATES
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """The event table as a stream; times become instants so that a watermark applies."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+def read_events(spark: SparkSession, folder: str, files: str = "events*.parquet") -> DataFrame:
+    """Event files of a folder as a stream; times become instants so that a watermark applies."""
+    schema = spark.read.option("pathGlobFilter", files).parquet(folder).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed_counts(events: DataFrame, length: str = "1 hour", late: str = "1 day") -> DataFrame:

@@ -195,10 +195,10 @@ def stream_ingest(
 
 def stream_load(
     spark: SparkSession, source: str, schema: str, target: str, checkpoint: str,
-    transform: Callable[[DataFrame], DataFrame] = lambda df: df, day: str = "1970-01-01",
+    transform: Callable[[DataFrame], DataFrame] = lambda df: df, day: str = "1970-01-01", files: str = "*.parquet",
 ) -> StreamingQuery:
     """Second stage: new silver files go to a curated table, one partition per batch."""
-    incoming = spark.readStream.schema(schema).parquet(source)
+    incoming = spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(source)
 
     def take(batch: DataFrame, number: int) -> None:
         load_curated(transform(batch), target, f"batch-{number}", day)
