@@ -141,8 +141,8 @@ def ml_ridge_cv(t):
 # The packaged analyses, one main table each
 
 
-def _job(name, run):
-    query(f"job_{name}")(run)
+def _job(name, run, sql=None):
+    query(f"job_{name}", sql)(run)
 
 
 _job("player_clusters", lambda t: P.player_clusters(V.player_view(t).drop("red_cards", "yellow_cards"), range(3, 6), STARTS, rules=None)["player_clusters"])
@@ -151,9 +151,9 @@ _job("player_ratings", lambda t: P.player_ratings(V.player_view(t), QUICK, rules
 _job("team_archetypes", lambda t: P.team_archetypes(V.team_view(t), range(3, 5), STARTS, rules=None)["team_archetypes"])
 _job("team_wins", lambda t: P.team_wins(V.team_view(t), P.Boost(trees=TREES, depth=4, rate=0.05, min_leaf=10), rules=None)["team_feature_importances"])
 _job("team_profile", lambda t: P.team_profile(V.team_view(t), rules=None)["team_optimal_profile"])
-_job("positional_values", lambda t: P.positional_values(cut_lineage(R.importances(t).withColumn("model_type", F.lit("controllable"))))["positional_value_weights"])
+_job("positional_values", lambda t: P.positional_values(cut_lineage(R.importances(t).withColumn("model_type", F.lit("controllable"))))["positional_value_weights"], R.with_positions("SELECT * FROM weights"))
 _job("team_dominance", lambda t: P.team_dominance(V.team_view(t), TREES, rules=None)["team_dominance_drivers"])
-_job("driver_positions", lambda t: P.driver_positions(V.driver_view(t), QUICK)["f1_driver_predictions"])
+_job("driver_positions", lambda t: P.driver_positions(V.driver_view(t), QUICK, rules=None)["f1_driver_predictions"])
 _job("constructor_rankings", lambda t: P.constructor_rankings(V.constructor_view(t), range(3, 5), STARTS, rules=None)["f1_constructor_rankings"])
 _job("pitstop_impact", lambda t: P.pitstop_impact(V.pitstop_view(t), QUICK, rules=None)["f1_pitstop_analysis"])
 _job("match_margins", lambda t: P.match_margins(V.match_view(t), ("matchId",), QUICK, rules=None)["nrl_match_predictions"])

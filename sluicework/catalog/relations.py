@@ -14,7 +14,7 @@ from sluicework.operators.reshape import both_sides, first_owner, stack_frames,
 from sluicework.operators.serving import over_and_under, top_absolute
 from sluicework.operators.skew import Ordered, exact_quantiles, ordered_columns, rank_rows
 from sluicework.plans import bindings as B
-from sluicework.plans.feature_views import league_matches, match_features
+from sluicework.plans.feature_views import league_matches
 from sluicework.session import cut_lineage
 from sluicework.sources.files import preview
 
@@ -54,7 +54,7 @@ def join_left(t):
 @query("join_self_asof_rolling", sql=using("match_features", body='SELECT "matchId", home_team, away_team, home_last5_win_rate, away_last5_win_rate, form_differential FROM match_features'))
 def join_self_asof_rolling(t):
     """Each match with both teams' form before it."""
-    return match_features(B.fixtures(t), ["matchId"]).select(
+    return V.match_view(t).select(
         "matchId", "home_team", "away_team", "home_last5_win_rate", "away_last5_win_rate", "form_differential"
     )
 
@@ -127,7 +127,7 @@ def join_expand_matrix(t):
 
 @query("win_lag", sql=using("lagged", body='SELECT match_id AS "matchId", team, prev_win, prev_loss FROM lagged'))
 def win_lag(t):
-    sides = both_sides(matches(t), ["matchId", "match_date"])
+    sides = both_sides(cut_lineage(matches(t)), ["matchId", "match_date"])
     order = [F.asc("match_date"), F.asc("matchId")]
     specs = [Ordered("lag", "prev_win", "win"), Ordered("lag", "prev_loss", "loss")]
     return ordered_columns(sides, ["team"], order, specs).select("matchId", "team", "prev_win", "prev_loss")
@@ -135,7 +135,7 @@ def win_lag(t):
 
 @query("win_rolling5", sql=using("rolled", body=f"""SELECT match_id AS "matchId", team, {up('l5w', 6)} AS win5, {up('l5m', 6)} AS margin5, {up('l5f', 6)} AS pf5, {up('l5a', 6)} AS pa5 FROM rolled"""))
 def win_rolling5(t):
-    sides = both_sides(matches(t), ["matchId", "match_date"])
+    sides = both_sides(cut_lineage(matches(t)), ["matchId", "match_date"])
     order = [F.asc("match_date"), F.asc("matchId")]
     specs = [Ordered("trailing", f"{c}5", c, 5) for c in ("win", "margin", "pf", "pa")]
     rolled = ordered_columns(sides, ["team"], order, specs)
@@ -144,7 +144,7 @@ def win_rolling5(t):
 
 @query("win_season_to_date", sql=using("rolled", body=f"""SELECT match_id AS "matchId", team, {up('sw', 6)} AS season_win_rate, {up('shw', 6)} AS season_home_win_rate FROM rolled"""))
 def win_season_to_date(t):
-    sides = both_sides(matches(t), ["matchId", "match_date", "year"]).withColumn("home_win", F.when(F.col("is_home") == 1, F.col("win")))
+    sides = both_sides(cut_lineage(matches(t)), ["matchId", "match_date", "year"]).withColumn("home_win", F.when(F.col("is_home") == 1, F.col("win")))
     specs = [Ordered("running", "season_win_rate", "win"), Ordered("running", "season_home_win_rate", "home_win")]
     rolled = ordered_columns(sides, ["team", "year"], [F.asc("match_date"), F.asc("matchId")], specs)
     return rolled.select("matchId", "team", *[F.round(s.out, 6).alias(s.out) for s in specs])

@@ -4,6 +4,7 @@ from sluicework.catalog.registry import query
 from sluicework.catalog.sql import using
 from sluicework.plans import bindings as B
 from sluicework.plans import feature_views as V
+from sluicework.session import cut_lineage
 
 
 def driver_view(t):
@@ -21,11 +22,11 @@ def pitstop_view(t):
 
 
 def match_view(t):
-    return V.match_features(B.fixtures(t), ["matchId"])
+    return V.match_features(cut_lineage(B.fixtures(t)), ["matchId"])
 
 
 def coaching_view(t):
-    return V.coaching_features(B.fixtures(t), ["matchId"])
+    return V.coaching_features(cut_lineage(B.fixtures(t)), ["matchId"])
 
 
 @query("view_player_features", sql=using("player_features", body="SELECT * FROM player_features"))

@@ -50,19 +50,24 @@ def slice_by_order(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
     """Range-partition by (keys, order) and store each row's slice number.
 
     Slice numbers follow the order, so for one key all rows of a lower slice precede
-    those of a higher slice. The checkpoint pins the numbers for every later use.
+    those of a higher slice. Ranges are drawn over keys and order together, so a hot key
+    is cut into many slices; there are enough of them to keep each within the row limit.
+    Storing the rows pins the numbers for every later use.
     """
     spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
+    needed = 2 * df.count() // group_row_limit(spark) + 1
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), needed, 2)
     ranged = df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
     return cut_lineage(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 
-def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for name in names:
-        cond = cond & left[name].eqNullSafe(right[name])
-    return cond
+def _attach(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Left join on equal keys, NULL keys matching NULL keys."""
+    renamed = right.withColumnsRenamed({n: f"__r{i}" for i, n in enumerate(names)})
+    same = F.lit(True)
+    for i, n in enumerate(names):
+        same = same & F.col(n).eqNullSafe(F.col(f"__r{i}"))
+    return left.join(renamed, same, "left").drop(*[f"__r{i}" for i in range(len(names))])
 
 
 def ordered_columns(
@@ -71,10 +76,14 @@ def ordered_columns(
     order: Sequence[Column],
     specs: Sequence[Ordered],
     limit: int | None = None,
+    oversized: bool | None = None,
 ) -> DataFrame:
-    """Append the ordered columns; ``order`` must place the rows of a key uniquely."""
+    """Append the ordered columns; ``order`` must place the rows of a key uniquely.
+
+    ``oversized`` skips the size check when the caller already knows its outcome.
+    """
     keys, order, specs = list(keys), list(order), list(specs)
-    if is_oversized(df, keys, limit):
+    if is_oversized(df, keys, limit) if oversized is None else oversized:
         return _sliced_columns(df, keys, order, specs)
     window = Window.partitionBy(*keys).orderBy(*order)
     before = window.rowsBetween(Window.unboundedPreceding, -1)
@@ -117,11 +126,7 @@ def _sliced_columns(df, keys, order, specs):
             .groupBy(*group)
             .agg(F.reverse(F.sort_array(F.collect_list(record))).alias("__tail"))
         )
-        tails = tails.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(group)], "__tail")
-        match = F.lit(True)
-        for i, k in enumerate(group):
-            match = match & slices[k].eqNullSafe(tails[f"__k{i}"])
-        slices = slices.join(tails, match, "left").select(*slices.columns, "__tail")
+        slices = _attach(slices, tails, group)
 
     # What all earlier slices of the key add up to: at most one row per slice and key.
     along = Window.partitionBy(*keys).orderBy(SLICE) if keys else Window.orderBy(SLICE)
@@ -134,9 +139,7 @@ def _sliced_columns(df, keys, order, specs):
         near = along.rowsBetween(-reach, -1)
         carry["__tail0"] = F.flatten(F.collect_list("__tail").over(near))
     slices = slices.select(*group, *[c.alias(n) for n, c in carry.items()])
-    joined = sliced.join(slices, _same(sliced, slices, group), "left").select(
-        *[sliced[c] for c in sliced.columns], *[slices[c] for c in carry]
-    )
+    joined = _attach(sliced, slices, group)
 
     here = local.rowsBetween(Window.unboundedPreceding, -1)
     made = {}
@@ -153,7 +156,7 @@ def _sliced_columns(df, keys, order, specs):
             last = F.when(
                 F.size("__recent") > s.rows, F.slice("__recent", F.lit(-s.rows), F.lit(s.rows))
             ).otherwise(F.col("__recent"))
-            values = F.array_compact(F.transform(last, lambda r, c=s.source: r[c].cast("double")))
+            values = F.array_compact(last[s.source].cast("array<double>"))
             total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
             made[s.out] = F.when(F.size(values) > 0, total / F.size(values))
         else:
@@ -215,7 +218,7 @@ def exact_quantiles(
     counted = long.groupBy(*group, "__v").agg(F.count("*").alias("__m"))
     placed = ordered_columns(counted, group, [F.col("__v")], [Ordered("cumulative", "__hi", "__m")], limit)
     sizes = counted.groupBy(*group).agg(F.sum("__m").alias("__size"))
-    placed = placed.join(sizes, _same(placed, sizes, group), "left").select(*[placed[c] for c in placed.columns], "__size")
+    placed = _attach(placed, sizes, group)
     first, last = F.col("__hi") - F.col("__m"), F.col("__hi") - 1
     picks = []
     for i, p in enumerate(probabilities):

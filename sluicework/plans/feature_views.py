@@ -11,7 +11,7 @@ from sluicework.functions.scalar import flag, safe_divide, safe_double, safe_lon
 from sluicework.operators.aggregates import home_away_season, season_rates, tactical_season
 from sluicework.operators.joins import head_to_head, star_join
 from sluicework.operators.reshape import both_sides
-from sluicework.operators.skew import Ordered, ordered_columns
+from sluicework.operators.skew import Ordered, is_oversized, ordered_columns
 
 
 def player_features(profiles: DataFrame, stats: DataFrame) -> DataFrame:
@@ -202,7 +202,10 @@ def match_features(fixtures: DataFrame, key: Sequence[str] = ("home_team", "away
     sides = both_sides(matches, own).withColumn("__home_win", F.when(F.col("is_home") == 1, F.col("win")))
     last5 = [Ordered("trailing", f"last5_{o}", c, 5) for o, c in (("win_rate", "win"), ("avg_margin", "margin"), ("avg_pf", "pf"), ("avg_pa", "pa"))]
     season = [Ordered("running", "season_win_rate", "win"), Ordered("running", "season_home_win_rate", "__home_win")]
-    rolled = ordered_columns(ordered_columns(sides, ["team"], order, last5, limit), ["team", "year"], order, season, limit)
+    # One season of a team is never larger than all its matches: one check serves both.
+    hot = is_oversized(sides, ["team"], limit)
+    formed = ordered_columns(sides, ["team"], order, last5, limit, hot)
+    rolled = ordered_columns(formed, ["team", "year"], order, season, limit, None if hot else False)
     wanted = [s.out for s in last5 + season]
     per_match = rolled.groupBy(*own).agg(
         *[F.max(F.when(F.col("is_home") == 1, F.col(c))).alias(f"home_{c}") for c in wanted],

@@ -47,12 +47,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive executor loss and are never recomputed."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    """Store the rows as a table in the shared folder and read them from there.
+
+    They survive executor loss and are not computed again. Being Parquet, later reads
+    skip unused columns, and the known size lets Spark broadcast small tables.
+    """
+    path = scratch_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def group_row_limit(spark: SparkSession) -> int:

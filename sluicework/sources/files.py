@@ -37,10 +37,23 @@ def detect_format(name: Column, content_type: Column) -> Column:
     return chosen
 
 
+def _uploads(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """path, length, content of every file. Scans skip empty files, so those are added
+    from the file listing, which the driver holds anyway."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    plain = "^file:/+"
+    names = spark.createDataFrame([(n,) for n in found.inputFiles()], "path string")
+    names = names.withColumn("path", F.regexp_replace("path", plain, "file:/"))
+    found = found.select(F.regexp_replace("path", plain, "file:/").alias("path"), "length", "content")
+    empty = names.join(found.select("path"), "path", "left_anti").select(
+        "path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")
+    )
+    return found.unionByName(empty)
+
+
 def list_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """path, file_name, length: names only, no content is read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    return found.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "length")
+    return _uploads(spark, paths).select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "length")
 
 
 def _json_object(text: Column) -> Column:
@@ -101,7 +114,7 @@ def _verdict(rows: Column | None = None, columns: Column | None = None, error: s
 
 def validate_files(spark: SparkSession, paths: str | Sequence[str], content_type: str | None = None) -> DataFrame:
     """One row per file: path, file_name, format, valid, total_records, columns, error."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    listed = _uploads(spark, paths)
     listed = listed.withColumn("file_name", F.element_at(F.split("path", "/"), -1)).withColumn(
         "format", detect_format(F.col("file_name"), F.lit(content_type).cast("string"))
     )
@@ -110,7 +123,7 @@ def validate_files(spark: SparkSession, paths: str | Sequence[str], content_type
     )
     # NDJSON is checked line by line, so files of any size spread over many tasks.
     lines = spark.read.option("recursiveFileLookup", "true").text(paths).select(
-        F.col("_metadata.file_path").alias("path"), "value",
+        F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("path"), "value",
         F.col("_metadata.file_block_start").alias("block"),
     )
     name = F.element_at(F.split("path", "/"), -1)
