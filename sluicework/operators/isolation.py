@@ -48,20 +48,26 @@ def _grow(tree: int, points: np.ndarray, seed: int) -> list[tuple]:
     return nodes
 
 
-def grow_forest(df: DataFrame, key: Sequence[str], columns: Sequence[str], trees: int = 200, sample: int = 256, seed: int = 42) -> DataFrame:
-    """Node table of the forest, at most ``trees * (2 * sample - 1)`` rows.
+def grow_forest(
+    df: DataFrame, total: int, key: Sequence[str], columns: Sequence[str], trees: int = 200, sample: int = 256, seed: int = 42
+) -> DataFrame:
+    """Node table of the forest over a table of ``total`` rows, at most ``trees * (2 * sample - 1)`` rows.
 
     Each tree learns from ``sample`` random rows, which is what the method asks for. The
-    rows come from a pool of about ``POOL_ROWS`` chosen by key hash over the whole table,
-    so a tree never pulls more than its own small sample into a task.
+    rows come from a pool of about ``POOL_ROWS`` chosen by key hash over the whole table.
+    Per tree a second hash keeps about four times the sample before the shuffle, of
+    which the ``sample`` lowest hashes are taken.
     """
-    total = df.count()
+    steps = 1_000_000_000
     pool = df.select(*key, *columns)
     if total > POOL_ROWS:
-        cut = int(POOL_ROWS / total * 1_000_000_000)
-        pool = pool.where(F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1_000_000_000)) < cut)
+        pool = pool.where(F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(steps)) < int(POOL_ROWS / total * steps))
     drawn = pool.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    draw = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed), F.col("tree"), *key), *key)
+    drawn = drawn.withColumn("__draw", F.pmod(F.xxhash64(F.lit(seed), F.col("tree"), *key), F.lit(steps)))
+    near = min(total, POOL_ROWS)
+    if near > 8 * sample:
+        drawn = drawn.where(F.col("__draw") < int(4 * sample / near * steps))
+    draw = Window.partitionBy("tree").orderBy("__draw", *key)
     drawn = drawn.withColumn("__nth", F.row_number().over(draw)).where(F.col("__nth") <= sample)
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
@@ -83,8 +89,9 @@ def _dense(nodes: pd.DataFrame, trees: int) -> tuple[np.ndarray, np.ndarray, np.
 
 def isolation_scores(df: DataFrame, key: Sequence[str], columns: Sequence[str], trees: int = 200, sample: int = 256, seed: int = 42) -> DataFrame:
     """Append ``raw_score`` in (0, 1); higher is easier to isolate."""
-    rows = min(sample, df.count())
-    nodes = grow_forest(df, key, columns, trees, sample, seed).toPandas()  # bounded by trees * sample
+    total = df.count()
+    rows = min(sample, total)
+    nodes = grow_forest(df, total, key, columns, trees, sample, seed).toPandas()  # bounded by trees * sample
     forest = df.sparkSession.sparkContext.broadcast(_dense(nodes, trees))
     norm = _expected_depth(rows) or 1.0
     schema = T.StructType([*df.schema.fields, T.StructField("raw_score", T.DoubleType())])

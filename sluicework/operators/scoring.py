@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from sluicework.functions import constants as K
 from sluicework.functions.scalar import flag, half_even, recency_weight, weighted_sum
 from sluicework.operators.aggregates import best_row, own_top_quartile, weighted_means
-from sluicework.operators.reshape import to_long
 from sluicework.operators.skew import exact_quantiles, rank_rows
 from sluicework.session import cut_lineage
 
@@ -253,10 +252,18 @@ def swot(profiles: DataFrame, names: Mapping[str, str] = K.TACTICAL_NAMES, lower
 
 
 def cluster_deviations(rows: DataFrame, cluster: str, columns: Sequence[str]) -> DataFrame:
-    """(cluster, feature): cluster size and mean against the mean of the table."""
-    long = to_long(rows, [cluster], columns)
-    overall = long.groupBy("feature").agg(F.avg("value").alias("global_mean"))
-    means = long.groupBy(cluster, "feature").agg(F.count("*").alias("size"), F.avg("value").alias("cluster_mean"))
+    """(cluster, feature): cluster size and mean against the mean of the table.
+
+    One pass sums every column per cluster; only those sums are turned into rows, and the
+    table mean adds them up again.
+    """
+    cells = [
+        F.struct(F.lit(c).alias("feature"), F.sum(F.col(c).cast("double")).alias("s"), F.count(c).alias("n"))
+        for c in columns
+    ]
+    sums = rows.groupBy(cluster).agg(F.count("*").alias("size"), F.array(*cells).alias("f")).select(cluster, "size", F.inline("f"))
+    overall = sums.groupBy("feature").agg((F.sum("s") / F.sum("n")).alias("global_mean"))
+    means = sums.withColumn("cluster_mean", F.col("s") / F.col("n")).drop("s", "n")
     return means.join(overall, "feature").withColumn("diff", F.col("cluster_mean") - F.col("global_mean"))
 
 

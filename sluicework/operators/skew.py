@@ -191,11 +191,12 @@ def exact_quantiles(
     """Linear-interpolated quantiles, NULLs left out: one row per (keys, feature).
 
     Output columns: keys, ``feature`` and ``q0``, ``q1``, … in the order asked for.
-    Small groups use the built-in ``percentile``; it keeps every distinct value of a
-    group in one task, so large groups are ranked in slices instead.
+    Small groups use the built-in ``percentile``; it keeps every distinct value of all
+    columns of a group in one task, so large groups are ranked in slices instead.
     """
     keys = list(keys)
-    if not is_oversized(df, keys, limit):
+    limit = group_row_limit(df.sparkSession) if limit is None else limit
+    if not is_oversized(df, keys, limit // len(columns)):
         shape = F.array(
             *[
                 F.struct(

@@ -37,6 +37,9 @@ def detect_format(name: Column, content_type: Column) -> Column:
     return chosen
 
 
+_CELL_LIMIT = 2**31 - 1
+
+
 def _uploads(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """path, length, content of every file. Scans skip empty files, so those are added
     from the file listing, which the driver holds anyway."""
@@ -44,7 +47,11 @@ def _uploads(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     plain = "^file:/+"
     names = spark.createDataFrame([(n,) for n in found.inputFiles()], "path string")
     names = names.withColumn("path", F.regexp_replace("path", plain, "file:/"))
-    found = found.select(F.regexp_replace("path", plain, "file:/").alias("path"), "length", "content")
+    named = found.withColumn("path", F.regexp_replace("path", plain, "file:/"))
+    # Content is one cell, at most 2 GiB; the length filter keeps larger files from being read.
+    whole = named.where(F.col("length") < _CELL_LIMIT).select("path", "length", "content")
+    large = named.where(F.col("length") >= _CELL_LIMIT).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    found = whole.unionByName(large)
     empty = names.join(found.select("path"), "path", "left_anti").select(
         "path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")
     )
@@ -97,8 +104,12 @@ def _whole_file_checks(files: DataFrame) -> DataFrame:
         .otherwise(_verdict(error=F.concat(F.lit("Unsupported binary format: ."), ext)))
     )
     unsupported = _verdict(error=F.concat(F.lit("Unsupported file format: ."), ext))
-    kind = F.col("format")
-    verdict = F.when(kind == "csv", csv).when(kind == "json", json).when(kind == "binary", binary).otherwise(unsupported)
+    kind, large = F.col("format"), F.col("content").isNull()
+    # Typed files check themselves when read; text must be split into smaller uploads.
+    unread = F.when(kind == "binary", _verdict(F.lit(0).cast("long"))).otherwise(
+        _verdict(error="File is too large to be checked as a whole")
+    )
+    verdict = F.when(large & kind.isin("csv", "json", "binary"), unread).when(kind == "csv", csv).when(kind == "json", json).when(kind == "binary", binary).otherwise(unsupported)
     return files.withColumn("v", verdict).select("path", "file_name", "format", "v.*")
 
 
@@ -169,7 +180,7 @@ def read_raw(spark: SparkSession, paths: str | Sequence[str], fmt: str, multi_li
     if fmt == "ndjson":
         return ndjson_rows(spark.read.text(paths))
     if fmt == "parquet":
-        return spark.read.parquet(paths)
+        return spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
     if fmt == "avro":
         return spark.read.format("avro").load(paths)  # needs the spark-avro package
     raise ValueError(f"unsupported format {fmt!r}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,7 +14,9 @@ from sluicework.functions.scalar import dataset_name
 from sluicework.operators.cleansing import check_rows, cast_rows, dedup_rows, detect_pii, infer_types, mask_pii, schema_of
 from sluicework.session import scratch_path
 from sluicework.sources.files import list_files, read_raw, validate_files
-from sluicework.sources.sinks import load_curated, load_staging, reject_records, write_rejects, write_silver
+from sluicework.sources.sinks import (
+    load_curated, load_staging, read_curated, reject_records, write_rejects, write_silver,
+)
 
 
 @dataclass(frozen=True)
@@ -57,16 +60,35 @@ class Cleaned:
     stats: Mapping[str, int]
 
 
-def clean_rows(raw: DataFrame, columns: Sequence[str], order_by: Sequence[str]) -> Cleaned:
+def fit_known(inferred: Mapping[str, str], known: Mapping[str, str]) -> dict[str, str]:
+    """Inferred types, widened to those a table already has.
+
+    A batch of zeros and ones alone looks BOOLEAN, whole numbers alone look INT64; in a
+    column known as INT64, FLOAT64 or STRING they are read as such.
+    """
+    # Known column type to the inferred types that fit into it.
+    wider = {"bigint": ("INT64", ["BOOLEAN"]), "double": ("FLOAT64", ["BOOLEAN", "INT64"]), "string": ("STRING", ["BOOLEAN", "INT64", "FLOAT64"])}
+    fitted = {}
+    for c, kind in inferred.items():
+        target, fits = wider.get(known.get(c, ""), (kind, []))
+        fitted[c] = target if kind in fits else kind
+    return fitted
+
+
+def clean_rows(
+    raw: DataFrame, columns: Sequence[str], order_by: Sequence[str], known: Mapping[str, str] | None = None
+) -> Cleaned:
     """Mask, infer, remove copies, cast: the order matters, masking sees the raw text.
 
     The checked rows are written once to the shared folder; good rows, bad rows and
     counts all read that table, so the copies are removed in a single shuffle.
     """
     spark = raw.sparkSession
-    pii = detect_pii(raw, columns, order_by)
+    # Detection and inference look at the first rows only: one scan fetches them for both.
+    head = spark.createDataFrame(raw.orderBy(*order_by).limit(100).collect(), raw.schema)
+    pii = detect_pii(head, columns, order_by)
     masked = mask_pii(raw, pii)
-    schema = schema_of(infer_types(masked, columns, order_by))
+    schema = fit_known(schema_of(infer_types(mask_pii(head, pii), columns, order_by)), known or {})
     total = Observation()
     counted = masked.observe(total, F.count(F.lit(1)).alias("n"))
     path = scratch_path(spark, "checked")
@@ -114,7 +136,7 @@ def ingest_batch(
     if order_by is None:
         raw = raw.withColumn(_POSITION, F.monotonically_increasing_id())
         order_by = [_POSITION]
-    cleaned = clean_rows(raw, columns, order_by)
+    cleaned = clean_rows(raw, columns, order_by, known_types(spark, zones.curated(dataset)))
     record.update(cleaned.stats)
     if cleaned.stats["valid"] == 0:
         error = f"All {cleaned.stats['rejected']} records failed type validation"
@@ -126,6 +148,14 @@ def ingest_batch(
     return {**record, "status": "TRANSFORMING", "error": None}
 
 
+def known_types(spark: SparkSession, path: str) -> dict[str, str]:
+    """Column types of a table that may not exist yet."""
+    try:
+        return dict(read_curated(spark, path).dtypes)
+    except AnalysisException:
+        return {}
+
+
 def record_failure(spark: SparkSession, zones: Zones, job_id: str, dataset: str, error: str, path: str) -> None:
     row = spark.range(1).select(
         F.lit(job_id).alias("job_id"), F.lit(dataset).alias("dataset"), F.lit(error).alias("error"),
@@ -148,9 +178,10 @@ _JOB = "job_id string, dataset string, status string, error string, total_record
 
 def _log(spark: SparkSession, zones: Zones, records: Sequence[Mapping[str, object]]) -> None:
     names = [c.split()[0] for c in _JOB.split(", ")]
-    rows = [tuple(r.get(n) for n in names) for r in records]
-    stamped = spark.createDataFrame(rows, _JOB).withColumn("updated_at", F.current_timestamp())
-    stamped.withColumn("seq", F.unix_micros("updated_at")).write.mode("append").parquet(zones.jobs)
+    rows = [(*[r.get(n) for n in names], i) for i, r in enumerate(records)]
+    stamped = spark.createDataFrame(rows, f"{_JOB}, step long").withColumn("updated_at", F.current_timestamp())
+    # Records of one batch share a time: their order in the batch tells them apart.
+    stamped.withColumn("seq", F.unix_micros("updated_at") + F.col("step")).drop("step").write.mode("append").parquet(zones.jobs)
 
 
 def stream_ingest(
