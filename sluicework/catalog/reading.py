@@ -139,7 +139,8 @@ def st_events_window(t):
 
     stream = counts.writeStream.outputMode("complete").option("checkpointLocation", scratch_path(t.spark, "state")).trigger(availableNow=True).foreachBatch(keep).start()
     stream.awaitTermination()
-    return t.spark.read.parquet(out)
+    wall = {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
+    return t.spark.read.parquet(out).withColumns(wall)
 
 
 @query("st_load", sql="SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, DATE '1970-01-01' AS ingest_date, 'batch-0' AS batch_id FROM orders")

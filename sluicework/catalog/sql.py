@@ -199,7 +199,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT "raceId", "driverId", min(year) AS year, min(race_name) AS race_name, min(driver) AS driver,
                      min(constructor) AS constructor, min(grid) AS grid, min(finish_position) AS finish_position,
                      min(positions_gained) AS positions_gained, min(total_laps) AS total_laps,
-                     max(stop_number) AS total_stops, {even('avg(stop_duration_sec)', 3)} AS avg_stop_duration,
+                     max(stop_number) AS total_stops, {even(up('avg(stop_duration_sec)', 9), 3)} AS avg_stop_duration,
                      {even('min(stop_duration_sec)', 3)} AS min_stop_duration,
                      {big('sum(stop_duration_ms)')} AS total_pit_time_ms, min(stop_lap) AS first_stop_lap,
                      max(stop_lap) AS last_stop_lap

@@ -55,6 +55,12 @@ def half_even(value: Column, digits: int) -> Column:
     return F.bround(value, digits)
 
 
+def steady_mean(column: str) -> Column:
+    """Mean to nine digits, so that later rounding does not depend on the order in which
+    partitions were added up."""
+    return F.round(F.avg(column), 9)
+
+
 def flag(condition: Column) -> Column:
     """1 when true, 0 when false or NULL."""
     return F.when(condition, 1).otherwise(0)

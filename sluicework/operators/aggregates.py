@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluicework.functions.scalar import flag, safe_divide, share
+from sluicework.functions.scalar import flag, half_even, safe_divide, share, steady_mean
 from sluicework.operators.quality import numeric_columns
 from sluicework.operators.reshape import both_sides, to_long
 from sluicework.operators.skew import exact_quantiles
@@ -141,7 +141,7 @@ def race_driver_stops(stops: DataFrame) -> DataFrame:
     grouped = stops.groupBy("raceId", "driverId").agg(
         *[F.min(c).alias(c) for c in constant],
         F.max("stop_number").alias("total_stops"),
-        F.bround(F.avg("stop_duration_sec"), 3).alias("avg_stop_duration"),
+        half_even(steady_mean("stop_duration_sec"), 3).alias("avg_stop_duration"),
         F.bround(F.min("stop_duration_sec"), 3).alias("min_stop_duration"),
         F.sum("stop_duration_ms").alias("total_pit_time_ms"),
         F.min("stop_lap").alias("first_stop_lap"),
@@ -152,7 +152,7 @@ def race_driver_stops(stops: DataFrame) -> DataFrame:
 
 def pit_crew_stats(stops: DataFrame) -> DataFrame:
     return stops.groupBy("constructor", "year").agg(
-        F.bround(F.avg("stop_duration_sec"), 3).alias("avg_pit_duration"),
+        half_even(steady_mean("stop_duration_sec"), 3).alias("avg_pit_duration"),
         F.bround(F.min("stop_duration_sec"), 3).alias("min_pit_duration"),
         F.count("stop_number").alias("total_pit_stops"),
         F.bround(F.avg("positions_gained"), 3).alias("avg_positions_gained"),

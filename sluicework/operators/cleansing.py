@@ -80,41 +80,54 @@ def preview_types(df: DataFrame, columns: Sequence[str], order_by: Sequence[str]
     )
 
 
-def _cast(value: Column, kind: str) -> tuple[Column, Column]:
-    """(typed value, true when the text does not fit the type)."""
-    text = strip(null_token(value))
+def _typed_value(text: Column, kind: str) -> Column:
+    """The typed value of trimmed text, NULL where the text does not fit."""
     if kind == "INT64":
-        typed = F.when(text.rlike(K.INT_PATTERN), text.try_cast("long"))
-        return typed, text.isNotNull() & typed.isNull()
+        return F.when(text.rlike(K.INT_PATTERN), text.try_cast("long"))
     if kind == "FLOAT64":
-        typed = F.when(text.rlike(K.FLOAT_PATTERN), text.try_cast("double"))
-        return typed, text.isNotNull() & typed.isNull()
+        return F.when(text.rlike(K.FLOAT_PATTERN), text.try_cast("double"))
     if kind == "BOOLEAN":
         word = F.lower(text)
-        typed = F.when(word.isin(K.TRUE_WORDS), True).when(word.isin(K.FALSE_WORDS), False)
-        return typed, text.isNotNull() & typed.isNull()
+        return F.when(word.isin(K.TRUE_WORDS), True).when(word.isin(K.FALSE_WORDS), False)
     if kind == "TIMESTAMP":
-        return text, text.isNotNull() & ~text.rlike(K.TIMESTAMP_PATTERN)
-    return text, F.lit(False)
+        return F.when(text.rlike(K.TIMESTAMP_PATTERN), text)
+    return text
+
+
+def _typed_rows(df: DataFrame, schema: Mapping[str, str]) -> DataFrame:
+    """Append the trimmed text ``__t_c``, the typed value ``__v_c`` and ``__errors``.
+
+    Text and value are columns of their own, so each pattern is tested once per cell.
+    """
+    texts = {}
+    for c in schema:
+        text = strip(F.col(c))
+        texts[f"__t_{c}"] = F.when(text.isin(K.NULL_TOKENS), F.lit(None)).otherwise(text)
+    typed = df.withColumns(texts).withColumns({f"__v_{c}": _typed_value(F.col(f"__t_{c}"), k) for c, k in schema.items()})
+    messages = [
+        F.when(
+            F.col(f"__t_{c}").isNotNull() & F.col(f"__v_{c}").isNull(),
+            F.concat(F.lit(f'{c}: expected {kind}, got "'), F.col(f"__t_{c}"), F.lit('"')),
+        )
+        for c, kind in schema.items()
+        if kind != "STRING"
+    ]
+    errors = F.array_compact(F.array(*messages)) if messages else F.array().cast("array<string>")
+    return typed.withColumn("__errors", errors)
 
 
 def check_rows(df: DataFrame, schema: Mapping[str, str]) -> DataFrame:
     """Append ``__errors``, one message per column whose text does not fit its type."""
-    messages = []
-    for c, kind in schema.items():
-        _, wrong = _cast(F.col(c), kind)
-        text = strip(F.col(c))
-        messages.append(F.when(wrong, F.concat(F.lit(f'{c}: expected {kind}, got "'), text, F.lit('"'))))
-    return df.withColumn("__errors", F.array_compact(F.array(*messages)))
+    return _typed_rows(df, schema).select(*df.columns, "__errors")
 
 
 def cast_rows(df: DataFrame, schema: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
     """(typed good rows, bad rows as they came with an ``errors`` list)."""
-    checked = check_rows(df, schema)
+    typed = _typed_rows(df, schema)
     extra = [c for c in df.columns if c not in schema]
-    typed = [_cast(F.col(c), kind)[0].cast(_SPARK_TYPES[kind]).alias(c) for c, kind in schema.items()]
-    good = checked.where(F.size("__errors") == 0).select(*typed, *extra)
-    bad = checked.where(F.size("__errors") > 0).withColumnRenamed("__errors", "errors")
+    values = [F.col(f"__v_{c}").cast(_SPARK_TYPES[kind]).alias(c) for c, kind in schema.items()]
+    good = typed.where(F.size("__errors") == 0).select(*values, *extra)
+    bad = typed.where(F.size("__errors") > 0).select(*df.columns, F.col("__errors").alias("errors"))
     return good, bad
 
 

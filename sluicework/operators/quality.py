@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -41,6 +41,15 @@ PROFILES = {
 }
 
 
+def _check(check: str, column: str | None, observed: str, threshold: float, violated: str) -> str:
+    """One report row as an SQL struct; text keeps wide tables from costing thousands of calls."""
+    name = "CAST(NULL AS STRING)" if column is None else f"'{column}'"
+    return (
+        f"named_struct('check_name', '{check}', 'column_name', {name}, 'observed', {observed}, "
+        f"'threshold', {float(threshold)}D, 'violated', coalesce({violated}, false))"
+    )
+
+
 def dq_report(df: DataFrame, rules: QualityRules) -> DataFrame:
     """One row per check: check, column_name, observed, threshold, violated.
 
@@ -52,38 +61,27 @@ def dq_report(df: DataFrame, rules: QualityRules) -> DataFrame:
         for f in df.schema.fields
         if isinstance(f.dataType, NumericType) and f.name not in rules.skip_variance
     ]
-    checks: list[tuple[str, str | None, Column, float, Column]] = []
-    rows = F.count(F.lit(1)).cast("double")
-    checks.append(("min_rows", None, rows, float(rules.min_rows), rows < rules.min_rows))
+    rows = "CAST(count(*) AS DOUBLE)"
+    checks = [_check("min_rows", None, rows, rules.min_rows, f"{rows} < {rules.min_rows}")]
     for c in df.columns:
-        rate = F.avg(F.col(c).isNull().cast("double"))
-        checks.append(("all_null", c, rate, 1.0, rate == 1.0))
-        checks.append(("null_rate", c, rate, rules.max_null_rate, (rate > rules.max_null_rate) & (rate < 1.0)))
+        rate = f"avg(CAST(`{c}` IS NULL AS DOUBLE))"
+        checks.append(_check("all_null", c, rate, 1.0, f"{rate} = 1"))
+        checks.append(_check("null_rate", c, rate, rules.max_null_rate, f"{rate} > {rules.max_null_rate} AND {rate} < 1"))
     for c, (low, high) in rules.ranges.items():
         if c in df.columns:
-            value = F.col(c).try_cast("double")
-            out = F.count_if((value < low) | (value > high)).cast("double")
-            checks.append(("range", c, out, 0.0, out > 0))
+            value = f"try_cast(`{c}` AS DOUBLE)"
+            out = f"CAST(count_if({value} < {low} OR {value} > {high}) AS DOUBLE)"
+            checks.append(_check("range", c, out, 0.0, f"{out} > 0"))
     for c in numeric:
-        spread = F.stddev_samp(F.col(c).cast("double"))
-        checks.append(("zero_variance", c, spread, 0.0, F.coalesce(spread == 0, F.lit(False))))
-
-    def entry(check, column, observed, threshold, violated):
-        return F.struct(
-            F.lit(check).alias("check_name"), F.lit(column).cast("string").alias("column_name"),
-            observed.alias("observed"), F.lit(threshold).alias("threshold"),
-            F.coalesce(violated, F.lit(False)).alias("violated"),
-        )
+        spread = f"stddev_samp(CAST(`{c}` AS DOUBLE))"
+        checks.append(_check("zero_variance", c, spread, 0.0, f"{spread} = 0"))
 
-    report = df.agg(F.array(*[entry(*c) for c in checks]).alias("e")).select(F.inline("e"))
+    report = df.agg(F.expr(f"array({', '.join(checks)})").alias("e")).select(F.inline("e"))
     if rules.key and set(rules.key) <= set(df.columns):
-        copies = df.groupBy(*rules.key).agg((F.count("*") - 1).alias("extra")).agg(
-            F.coalesce(F.sum("extra"), F.lit(0)).cast("double").alias("extra")
-        )
-        name = ",".join(rules.key)
-        report = report.unionByName(
-            copies.select(F.inline(F.array(entry("duplicate_key", name, F.col("extra"), 0.0, F.col("extra") > 0))))
-        )
+        copies = df.groupBy(*rules.key).agg((F.count("*") - 1).alias("extra"))
+        total = "coalesce(CAST(sum(extra) AS DOUBLE), 0D)"
+        entry = _check("duplicate_key", ",".join(rules.key), total, 0.0, f"{total} > 0")
+        report = report.unionByName(copies.agg(F.expr(f"array({entry})").alias("e")).select(F.inline("e")))
     return report
 
 

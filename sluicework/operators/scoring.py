@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluicework.functions import constants as K
-from sluicework.functions.scalar import flag, half_even, recency_weight, weighted_sum
+from sluicework.functions.scalar import flag, half_even, recency_weight, steady_mean, weighted_sum
 from sluicework.operators.aggregates import best_row, own_top_quartile, weighted_means
 from sluicework.operators.skew import exact_quantiles, rank_rows
 from sluicework.session import cut_lineage
@@ -187,7 +187,7 @@ def multi_year_windows(seasons: DataFrame, measures: Mapping[str, tuple[str, int
     )
     grouped = placed.groupBy("team", "__start").agg(
         F.count("*").alias("seasons_in_window"),
-        *[half_even(F.avg(c), digits).alias(out) for out, (c, digits) in measures.items()],
+        *[half_even(steady_mean(c), digits).alias(out) for out, (c, digits) in measures.items()],
     )
     starts = years.select(F.col("__i").alias("__start"), F.col("year").alias("window_start"))
     ends = years.select((F.col("__i") - (span - 1)).alias("__start"), F.col("year").alias("window_end"))
@@ -337,6 +337,6 @@ def team_overperformance(predictions: DataFrame, signed: bool = False) -> DataFr
         F.struct(F.col("away_team").alias("team"), (F.col("residual") * turn).alias("r")),
     )
     pooled = predictions.select(F.inline(sides)).groupBy("team").agg(
-        half_even(F.avg("r"), 4).alias("avg_overperformance"), F.count("*").alias("total_matches")
+        half_even(steady_mean("r"), 4).alias("avg_overperformance"), F.count("*").alias("total_matches")
     )
     return rank_rows(pooled, [F.asc("avg_overperformance"), F.asc("team")], "overperformance_rank")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluicework.functions import constants as K
-from sluicework.functions.scalar import half_even
+from sluicework.functions.scalar import half_even, steady_mean
 from sluicework.operators import aggregates as A
 from sluicework.operators import learning as L
 from sluicework.operators import scoring as S
@@ -371,7 +371,7 @@ def tactical_profiles(features: DataFrame) -> DataFrame:
     Nine digits are kept, so that teams with equal seasons tie whatever order their rows
     were added up in; quartile tests on the means then do not depend on partitioning.
     """
-    return features.groupBy("team").agg(*[F.round(F.avg(c), 9).alias(c) for c in K.TACTICAL_NAMES])
+    return features.groupBy("team").agg(*[steady_mean(c).alias(c) for c in K.TACTICAL_NAMES])
 
 
 def coaching_insights(features: DataFrame, matches: DataFrame, ks: Sequence[int] = range(3, 7), starts: int = 10, rules: QualityRules | None = PROFILES["nrl_coaching"]) -> Tables:
