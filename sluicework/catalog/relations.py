@@ -61,7 +61,7 @@ def join_self_asof_rolling(t):
 
 @query("join_theta_h2h", sql=using("h2h", body='SELECT match_id AS "matchId", h2h_home_wins, h2h_away_wins, h2h_total FROM h2h'))
 def join_theta_h2h(t):
-    return J.head_to_head(matches(t), ["matchId"]).select("matchId", "h2h_home_wins", "h2h_away_wins", "h2h_total")
+    return J.head_to_head(cut_lineage(matches(t))).select("matchId", "h2h_home_wins", "h2h_away_wins", "h2h_total")
 
 
 @query("join_cast_keys", sql="SELECT o_orderkey, o_custkey, c_name, c_mktsegment FROM orders LEFT JOIN customer ON CAST(o_custkey AS VARCHAR) = CAST(c_custkey AS VARCHAR)")

@@ -41,21 +41,20 @@ def full_join_zero(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Da
     return left.join(right, list(keys), "full").fillna(0)
 
 
-def head_to_head(matches: DataFrame, key: Sequence[str]) -> DataFrame:
+def head_to_head(matches: DataFrame, onto: DataFrame | None = None) -> DataFrame:
     """Prior meetings of the same two teams, whoever was at home.
 
-    Input: ``key``, match_date, home_team, away_team, home_score, away_score. Adds
-    h2h_home_wins, h2h_away_wins and h2h_total over strictly earlier dates. A pair
-    without history has total 1 and no wins, as the reported figures always had it.
+    Input: match_date, home_team, away_team, home_score, away_score. Adds h2h_home_wins,
+    h2h_away_wins and h2h_total over strictly earlier dates, to the matches or to ``onto``,
+    a table derived from them. A pair without history has total 1 and no wins, as the
+    reported figures always had it.
 
     An OR-join on "same or swapped pair" would compare all rows with all rows. Here the
     meetings of a pair are first summed per day (combined map-side), so the running sum
     sees at most one row per pair and calendar day, however many matches a pair has.
     """
-    paired = matches.withColumns(
-        {"__lo": F.least("home_team", "away_team"), "__hi": F.greatest("home_team", "away_team")}
-    )
-    daily = paired.groupBy("__lo", "__hi", "match_date").agg(
+    pair = {"__lo": F.least("home_team", "away_team"), "__hi": F.greatest("home_team", "away_team")}
+    daily = matches.withColumns(pair).groupBy("__lo", "__hi", "match_date").agg(
         F.count("*").alias("n"),
         F.count_if(F.col("home_score") > F.col("away_score")).alias("hw"),
         F.count_if(F.col("away_score") > F.col("home_score")).alias("aw"),
@@ -69,6 +68,7 @@ def head_to_head(matches: DataFrame, key: Sequence[str]) -> DataFrame:
         F.coalesce(F.sum("aw").over(before), F.lit(0)).alias("h2h_away_wins"),
         F.greatest(F.coalesce(F.sum("n").over(before), F.lit(0)), F.lit(1)).alias("h2h_total"),
     )
+    paired = (matches if onto is None else onto).withColumns(pair)
     return paired.join(history, ["__lo", "__hi", "match_date"], "left").drop("__lo", "__hi")
 
 

@@ -211,7 +211,7 @@ def match_features(fixtures: DataFrame, key: Sequence[str] = ("home_team", "away
         *[F.max(F.when(F.col("is_home") == 1, F.col(c))).alias(f"home_{c}") for c in wanted],
         *[F.max(F.when(F.col("is_home") == 0, F.col(c))).alias(f"away_{c}") for c in wanted],
     )
-    joined = head_to_head(per_match, key)
+    joined = head_to_head(matches, per_match)
 
     def gap(c: str) -> Column:
         return F.round(F.coalesce(F.col(f"home_{c}"), F.lit(0.5)) - F.coalesce(F.col(f"away_{c}"), F.lit(0.5)), 3)

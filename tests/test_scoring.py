@@ -36,7 +36,7 @@ def matches(spark):
 
 def test_head_to_head_equals_the_pairwise_definition(matches):
     rows = matches.collect()
-    got = {r["id"]: (r["h2h_home_wins"], r["h2h_away_wins"], r["h2h_total"]) for r in J.head_to_head(matches, ["id"]).collect()}
+    got = {r["id"]: (r["h2h_home_wins"], r["h2h_away_wins"], r["h2h_total"]) for r in J.head_to_head(matches).collect()}
     for m in rows:
         prior = [p for p in rows if p.match_date < m.match_date and {p.home_team, p.away_team} == {m.home_team, m.away_team}]
         want = (sum(p.home_score > p.away_score for p in prior), sum(p.away_score > p.home_score for p in prior), max(len(prior), 1))
