@@ -8,11 +8,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluicework.session import cut_lineage
+from sluicework.session import cut_lineage, ship_package
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One of the given tables."""
+    """One of the given tables; the workers get this package, since its functions run in tasks."""
+    ship_package(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
