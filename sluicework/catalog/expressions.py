@@ -7,7 +7,7 @@ from sluicework.catalog.sql import div, even, up, using
 from sluicework.functions import constants as K
 from sluicework.functions import scalar as S
 from sluicework.plans import bindings as B
-from sluicework.sources.sinks import json_numbers
+from sluicework.sources.sinks import json_metrics
 
 
 @query("select_alias", sql="SELECT o_orderkey AS order_key, o_custkey AS cust_key, o_orderpriority AS priority, CAST(o_orderdate AS DATE) AS order_day FROM orders")
@@ -135,15 +135,16 @@ def arith_features(t):
 @query("json_flatten", sql="""
 SELECT event_id, 'k' AS metric_name, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS metric_value FROM events
 UNION ALL SELECT event_id, 'user.id', CAST(user_id AS DOUBLE) FROM events
+UNION ALL SELECT event_id, 'user.deep.a.b.c.d', CAST(event_id AS DOUBLE) FROM events
 UNION ALL SELECT event_id, 'user.deep.bad', CAST(CAST(event_type = 'error' AS INTEGER) AS DOUBLE) FROM events""")
 def json_flatten(t):
-    """Metrics nested around the event properties; text and lists drop out."""
+    """Metrics nested six deep around the event properties; text and lists drop out."""
     doc = F.concat(
         F.lit('{"user": {"id": '), F.col("user_id").cast("string"), F.lit(', "deep": {"bad": '),
-        (F.col("event_type") == "error").cast("string"), F.lit('}, "type": "'), F.col("event_type"),
-        F.lit('", "text_number": "5"}, "list": [1, 2], '), F.substring("props", 2, 1_000_000),
+        (F.col("event_type") == "error").cast("string"), F.lit(', "a": {"b": {"c": {"d": '), F.col("event_id").cast("string"),
+        F.lit('}}}}, "type": "'), F.col("event_type"), F.lit('", "text_number": "5"}, "list": [1, 2], '), F.expr("substring(props, 2)"),
     )
-    return t.events.select("event_id", F.inline(json_numbers(doc)))
+    return json_metrics(t.events.select("event_id", doc.alias("doc")), "doc", ["event_id"])
 
 
 def _subject_sql() -> str:
@@ -174,7 +175,7 @@ FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(substr(url, 8), '[^
 def table_name_sanitise(t):
     return t.pages.select(
         "page_id", S.table_name(F.col("url")).alias("plain_name"),
-        S.table_name(F.substring("url", 8, 1_000_000), collapse=True).alias("batch_name"),
+        S.table_name(F.expr("substring(url, 8)"), collapse=True).alias("batch_name"),
     )
 
 

@@ -22,7 +22,12 @@ from sluicework.session import cut_lineage
 TREES = 5
 STARTS = 2
 QUICK = P.Boost(trees=TREES, depth=4)
-EMB = [f"e{i}" for i in range(64)]
+
+
+def places(rows):
+    """The columns that hold the vector."""
+    return [c for c in rows.columns if c not in ("vec_id", "label")]
+
 
 _SCALED = ["n_orders", "spent", "c_nationkey"]
 
@@ -51,7 +56,8 @@ def ml_style_columns(t):
 
 @query("ml_kmeans_sweep")
 def ml_kmeans_sweep(t):
-    _, sweep = L.kmeans_sweep(B.embedding_rows(t), EMB, range(3, 7), STARTS)
+    rows = B.embedding_rows(t)
+    _, sweep = L.kmeans_sweep(rows, places(rows), range(3, 7), STARTS)
     return sweep
 
 
@@ -67,7 +73,7 @@ def ml_kmeans_clusters(t):
 @query("ml_isolation_forest")
 def ml_isolation_forest(t):
     rows = B.embedding_rows(t)
-    return I.find_anomalies(rows, ["vec_id"], EMB, 0.05, trees=50).select("vec_id", "anomaly_score", "is_anomaly")
+    return I.find_anomalies(rows, ["vec_id"], places(rows), 0.05, trees=50).select("vec_id", "anomaly_score", "is_anomaly")
 
 
 @query("ml_isolation_forest_lines")

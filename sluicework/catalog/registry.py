@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sluicework.plans.bindings import Tables
+from sluicework.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,6 +18,7 @@ def query(name: str, sql: str | None = None):
 
     def add(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship_package(spark)
             return fn(Tables(spark, folder))
 
         run.__name__, run.__doc__ = name, fn.__doc__

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sluicework.catalog import views as V
 from sluicework.catalog.registry import query
-from sluicework.catalog.sql import even, up, using
+from sluicework.catalog.sql import even, exact_mean, up, using
 from sluicework.functions import constants as K
 from sluicework.functions import scalar as S
 from sluicework.operators import joins as J
@@ -193,8 +193,8 @@ def win_quartile_flag(t):
 TREND_SQL = f"""
 , years AS (SELECT year, row_number() OVER (ORDER BY year) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT year FROM coaching)),
 trend AS (
-  SELECT team, s.year AS window_start, e.year AS window_end, count(*) AS seasons_in_window, {even(up('avg(win_rate)', 9), 3)} AS avg_win_rate,
-         {even(up('avg(avg_margin)', 9), 2)} AS avg_margin, {even(up('avg(close_game_win_rate)', 9), 3)} AS avg_close_game_wr, {even(up('avg(bounce_back_rate)', 9), 3)} AS avg_bounce_back
+  SELECT team, s.year AS window_start, e.year AS window_end, count(*) AS seasons_in_window, {even(exact_mean('win_rate'), 3)} AS avg_win_rate,
+         {even(exact_mean('avg_margin'), 2)} AS avg_margin, {even(exact_mean('close_game_win_rate'), 3)} AS avg_close_game_wr, {even(exact_mean('bounce_back_rate'), 3)} AS avg_bounce_back
   FROM years s JOIN years e ON e.i = s.i + 4 JOIN coaching c ON c.year BETWEEN s.year AND e.year
   GROUP BY ALL HAVING count(*) >= 3)
 """

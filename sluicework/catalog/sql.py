@@ -25,6 +25,11 @@ def even(x: str, n: int) -> str:
     )
 
 
+def exact_mean(x: str) -> str:
+    """Mean from an exact decimal sum, divided once."""
+    return f"(CAST(sum(CAST({x} AS DECIMAL(38,12))) AS DOUBLE) / count({x}))"
+
+
 def div(a: str, b: str) -> str:
     return f"(CAST({a} AS DOUBLE) / nullif(CAST({b} AS DOUBLE), 0))"
 
@@ -161,7 +166,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
                {up(div(n_if('margin <= -13'), 'count(*)'), 3)} AS blowout_loss_rate,
                {up(div('avg(pf)', 'avg(pa)'), 3)} AS attack_defense_ratio
         FROM lagged GROUP BY team, year HAVING count(*) >= 5"""),
-    "profiles": (("coaching",), "SELECT team, " + ", ".join(f"{up(f'avg({c})', 9)} AS {c}" for c in TACTICAL_NAMES) + " FROM coaching GROUP BY team"),
+    "profiles": (("coaching",), "SELECT team, " + ", ".join(f"{exact_mean(c)} AS {c}" for c in TACTICAL_NAMES) + " FROM coaching GROUP BY team"),
     "constructor_season": (("results", "races", "constructors", "status"), f"""
         SELECT constructor_id AS "constructorId", constructor, nationality, year, count(*) AS race_entries,
                sum(points) AS total_points, {n_if('place = 1')} AS wins, {n_if('place <= 3')} AS podiums,
@@ -199,7 +204,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT "raceId", "driverId", min(year) AS year, min(race_name) AS race_name, min(driver) AS driver,
                      min(constructor) AS constructor, min(grid) AS grid, min(finish_position) AS finish_position,
                      min(positions_gained) AS positions_gained, min(total_laps) AS total_laps,
-                     max(stop_number) AS total_stops, {even(up('avg(stop_duration_sec)', 9), 3)} AS avg_stop_duration,
+                     max(stop_number) AS total_stops, {even(exact_mean('stop_duration_sec'), 3)} AS avg_stop_duration,
                      {even('min(stop_duration_sec)', 3)} AS min_stop_duration,
                      {big('sum(stop_duration_ms)')} AS total_pit_time_ms, min(stop_lap) AS first_stop_lap,
                      max(stop_lap) AS last_stop_lap

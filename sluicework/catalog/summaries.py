@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sluicework.catalog import relations as R
 from sluicework.catalog import views as V
 from sluicework.catalog.registry import query
-from sluicework.catalog.sql import big, cents, div, even, n_if, up, using
+from sluicework.catalog.sql import big, cents, div, even, exact_mean, n_if, up, using
 from sluicework.functions import constants as K
 from sluicework.functions import scalar as S
 from sluicework.operators import aggregates as A
@@ -72,7 +72,7 @@ def agg_first(t):
 
 query("agg_race_driver", sql=using("race_driver", body="SELECT * FROM race_driver"))(lambda t: A.race_driver_stops(V.pitstop_view(t)))
 
-CREWS = f"""SELECT constructor, year, {even(up('avg(stop_duration_sec)', 9), 3)} AS avg_pit_duration, {even('min(stop_duration_sec)', 3)} AS min_pit_duration,
+CREWS = f"""SELECT constructor, year, {even(exact_mean('stop_duration_sec'), 3)} AS avg_pit_duration, {even('min(stop_duration_sec)', 3)} AS min_pit_duration,
   count(stop_number) AS total_pit_stops, {even('avg(positions_gained)', 3)} AS avg_positions_gained FROM pit_features GROUP BY constructor, year"""
 query("agg_pit_stats", sql=using("pit_features", body=CREWS))(lambda t: A.pit_crew_stats(V.pitstop_view(t)))
 query("agg_fastest_crews", sql=using("pit_features", body=f"SELECT constructor, year, avg_pit_duration, total_pit_stops FROM ({CREWS}) WHERE year >= 2000 ORDER BY avg_pit_duration, constructor, year LIMIT 10"))(
@@ -284,7 +284,7 @@ FORM = f"""form AS (SELECT "matchId", home_team, away_team, margin AS actual_mar
 
 def _over(sign: str) -> str:
     return using("match_features", body="") + f""", {FORM} SELECT team, avg_overperformance, total_matches, row_number() OVER (ORDER BY avg_overperformance, team) AS overperformance_rank FROM
-  (SELECT team, {even(up('avg(r)', 9), 4)} AS avg_overperformance, count(*) AS total_matches FROM (SELECT home_team AS team, residual AS r FROM form UNION ALL SELECT away_team, {sign}residual FROM form) GROUP BY team)"""
+  (SELECT team, {even(exact_mean('r'), 4)} AS avg_overperformance, count(*) AS total_matches FROM (SELECT home_team AS team, residual AS r FROM form UNION ALL SELECT away_team, {sign}residual FROM form) GROUP BY team)"""
 
 
 query("ml_overperformance", sql=_over(""))(lambda t: C.team_overperformance(form_predictions(t)))

@@ -227,20 +227,14 @@ def style_members(profiles: DataFrame) -> DataFrame:
     return profiles.select("playing_style", "team").distinct()
 
 
-def style_summary(profiles: DataFrame, max_members: int = 100_000) -> DataFrame:
+def style_summary(profiles: DataFrame) -> DataFrame:
     """Size and joined, sorted member names of each style.
 
-    A name list is one cell, so styles beyond ``max_members`` have no list (NULL); their
-    members are the rows of :func:`style_members`.
+    The names are one cell by definition; :func:`style_members` gives them as rows.
     """
-    sizes = profiles.groupBy("playing_style").agg(F.count("*").alias("style_count"))
-    small = sizes.where(F.col("style_count") <= max_members).select("playing_style")
-    names = (
-        profiles.join(small, "playing_style")
-        .groupBy("playing_style")
-        .agg(F.array_join(F.sort_array(F.collect_list("team")), ", ").alias("teams"))
+    return profiles.groupBy("playing_style").agg(
+        F.count("*").alias("style_count"), F.array_join(F.sort_array(F.collect_list("team")), ", ").alias("teams")
     )
-    return sizes.join(names, "playing_style", "left")
 
 
 def ledger_rollup(jobs: DataFrame) -> DataFrame:

@@ -16,7 +16,6 @@ from sluicework.operators.skew import exact_quantiles
 from sluicework.session import cut_lineage
 
 _NODES = "tree int, node int, feature int, threshold double, depth double"
-POOL_ROWS = 50_000  # rows the trees draw their samples from
 
 
 def _expected_depth(n: float) -> float:
@@ -53,20 +52,18 @@ def grow_forest(
 ) -> DataFrame:
     """Node table of the forest over a table of ``total`` rows, at most ``trees * (2 * sample - 1)`` rows.
 
-    Each tree learns from ``sample`` random rows, which is what the method asks for. The
-    rows come from a pool of about ``POOL_ROWS`` chosen by key hash over the whole table.
-    Per tree a second hash keeps about four times the sample before the shuffle, of
-    which the ``sample`` lowest hashes are taken.
+    Each tree learns from ``sample`` random rows of the whole table, which is what the
+    method asks for: a hash of tree and key draws about four times as many, and those with
+    the lowest hashes are taken. A row is copied only for the trees that draw it.
     """
-    steps = 1_000_000_000
-    pool = df.select(*key, *columns)
-    if total > POOL_ROWS:
-        pool = pool.where(F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(steps)) < int(POOL_ROWS / total * steps))
-    drawn = pool.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    drawn = drawn.withColumn("__draw", F.pmod(F.xxhash64(F.lit(seed), F.col("tree"), *key), F.lit(steps)))
-    near = min(total, POOL_ROWS)
-    if near > 8 * sample:
-        drawn = drawn.where(F.col("__draw") < int(4 * sample / near * steps))
+    steps = 1 << 62
+    share = min(steps, 4 * sample * steps // max(1, total) + 1)
+
+    def hashed(tree):
+        return F.pmod(F.xxhash64(F.lit(seed), tree, *key), F.lit(steps))
+
+    numbers = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: hashed(tree) < F.lit(share))
+    drawn = df.select(*key, *columns, F.explode(numbers).alias("tree")).withColumn("__draw", hashed(F.col("tree")))
     draw = Window.partitionBy("tree").orderBy("__draw", *key)
     drawn = drawn.withColumn("__nth", F.row_number().over(draw)).where(F.col("__nth") <= sample)
 

@@ -44,9 +44,9 @@ def allowed_step(before: Column, after: Column) -> Column:
     )
 
 
-def check_transitions(events: DataFrame, limit: int | None = None) -> DataFrame:
+def check_transitions(events: DataFrame) -> DataFrame:
     """Append prev_status and is_allowed to every event of the log."""
-    lagged = ordered_columns(events, ["job_id"], [F.asc("seq")], [Ordered("lag", "prev_status", "status")], limit)
+    lagged = ordered_columns(events, ["job_id"], [F.asc("seq")], [Ordered("lag", "prev_status", "status")])
     return lagged.withColumn("is_allowed", allowed_step(F.col("prev_status"), F.col("status")))
 
 

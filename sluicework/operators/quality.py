@@ -41,9 +41,19 @@ PROFILES = {
 }
 
 
+def _text(value: str) -> str:
+    """A Python string as an SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _name(column: str) -> str:
+    """A column name quoted for SQL."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def _check(check: str, column: str | None, observed: str, threshold: float, violated: str) -> str:
     """One report row as an SQL struct; text keeps wide tables from costing thousands of calls."""
-    name = "CAST(NULL AS STRING)" if column is None else f"'{column}'"
+    name = "CAST(NULL AS STRING)" if column is None else _text(column)
     return (
         f"named_struct('check_name', '{check}', 'column_name', {name}, 'observed', {observed}, "
         f"'threshold', {float(threshold)}D, 'violated', coalesce({violated}, false))"
@@ -64,16 +74,16 @@ def dq_report(df: DataFrame, rules: QualityRules) -> DataFrame:
     rows = "CAST(count(*) AS DOUBLE)"
     checks = [_check("min_rows", None, rows, rules.min_rows, f"{rows} < {rules.min_rows}")]
     for c in df.columns:
-        rate = f"avg(CAST(`{c}` IS NULL AS DOUBLE))"
+        rate = f"avg(CAST({_name(c)} IS NULL AS DOUBLE))"
         checks.append(_check("all_null", c, rate, 1.0, f"{rate} = 1"))
         checks.append(_check("null_rate", c, rate, rules.max_null_rate, f"{rate} > {rules.max_null_rate} AND {rate} < 1"))
     for c, (low, high) in rules.ranges.items():
         if c in df.columns:
-            value = f"try_cast(`{c}` AS DOUBLE)"
+            value = f"try_cast({_name(c)} AS DOUBLE)"
             out = f"CAST(count_if({value} < {low} OR {value} > {high}) AS DOUBLE)"
             checks.append(_check("range", c, out, 0.0, f"{out} > 0"))
     for c in numeric:
-        spread = f"stddev_samp(CAST(`{c}` AS DOUBLE))"
+        spread = f"stddev_samp(CAST({_name(c)} AS DOUBLE))"
         checks.append(_check("zero_variance", c, spread, 0.0, f"{spread} = 0"))
 
     report = df.agg(F.expr(f"array({', '.join(checks)})").alias("e")).select(F.inline("e"))

@@ -1,10 +1,10 @@
 """Ordered computations that stay correct and parallel when one key owns most rows.
 
-A window ``PARTITION BY key ORDER BY t`` sends every row of a key to one task. The
-functions here first measure the largest key with a partially aggregated count. While
-it fits they use the plain window. Beyond the limit they range-partition the rows by
-(key, order), give every piece a slice number, compute inside the slices, and add what
-the earlier slices of the same key contribute. Both ways give the same rows.
+A window ``PARTITION BY key ORDER BY t`` sends every row of a key to one task. Here rows are
+range-partitioned by (key, order), every piece gets a slice number, windows run inside the
+slices, and what the earlier slices of the same key add up to is joined in. It is done this
+way at every size. Sums are exact (whole numbers, or decimals of twelve places), so they do
+not depend on where the slices are cut.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluicework.session import cut_lineage, group_row_limit
+from sluicework.session import cut_lineage
 
 SLICE = "__slice"
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
 @dataclass(frozen=True)
@@ -35,32 +36,28 @@ class Ordered:
     rows: int = 0
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the biggest group; counts combine map-side, one number reaches the driver."""
-    counts = df.groupBy(*keys).count() if keys else df.select(F.count("*").alias("count"))
-    return counts.agg(F.max("count").alias("n")).first()["n"] or 0
-
-
-def is_oversized(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> bool:
-    limit = group_row_limit(df.sparkSession) if limit is None else limit
-    return largest_group(df, keys) > limit
-
-
 def slice_by_order(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Range-partition by (keys, order) and store each row's slice number.
 
     Slice numbers follow the order, so for one key all rows of a lower slice precede
     those of a higher slice. Ranges are drawn over keys and order together, so a hot key
-    is cut into many slices; there are enough of them to keep each within the row limit.
-    Storing the rows pins the numbers for every later use.
+    is cut into many slices. The input is stored first, because finding the ranges reads it
+    too; storing the ranges pins the numbers for every later use.
     """
-    spark = df.sparkSession
-    needed = 2 * df.count() // group_row_limit(spark) + 1
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), needed, 2)
-    ranged = df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
+    stored = cut_lineage(df)
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), stored.rdd.getNumPartitions(), 2)
+    ranged = stored.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
     return cut_lineage(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 
+def exact(df: DataFrame, column: str) -> Column:
+    """A column as a number whose sums do not depend on the order of addition."""
+    kind = dict(df.dtypes)[column]
+    if kind in _WHOLE:
+        return F.col(column).cast("long")
+    return F.col(column).cast("decimal(38,12)")
+
+
 def _attach(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
     """Left join on equal keys, NULL keys matching NULL keys."""
     renamed = right.withColumnsRenamed({n: f"__r{i}" for i, n in enumerate(names)})
@@ -70,41 +67,9 @@ def _attach(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFram
     return left.join(renamed, same, "left").drop(*[f"__r{i}" for i in range(len(names))])
 
 
-def ordered_columns(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    specs: Sequence[Ordered],
-    limit: int | None = None,
-    oversized: bool | None = None,
-) -> DataFrame:
-    """Append the ordered columns; ``order`` must place the rows of a key uniquely.
-
-    ``oversized`` skips the size check when the caller already knows its outcome.
-    """
+def ordered_columns(df: DataFrame, keys: Sequence[str], order: Sequence[Column], specs: Sequence[Ordered]) -> DataFrame:
+    """Append the ordered columns; ``order`` must place the rows of a key uniquely."""
     keys, order, specs = list(keys), list(order), list(specs)
-    if is_oversized(df, keys, limit) if oversized is None else oversized:
-        return _sliced_columns(df, keys, order, specs)
-    window = Window.partitionBy(*keys).orderBy(*order)
-    before = window.rowsBetween(Window.unboundedPreceding, -1)
-    made = {}
-    for s in specs:
-        if s.kind == "lag":
-            made[s.out] = F.lag(s.source).over(window)
-        elif s.kind == "trailing":
-            made[s.out] = F.avg(s.source).over(window.rowsBetween(-s.rows, -1))
-        elif s.kind == "running":
-            made[s.out] = F.avg(s.source).over(before)
-        elif s.kind == "cumulative":
-            made[s.out] = F.sum(s.source).over(window.rowsBetween(Window.unboundedPreceding, 0))
-        elif s.kind == "position":
-            made[s.out] = F.row_number().over(window).cast("long")
-        else:
-            raise ValueError(f"unknown ordered column kind {s.kind!r}")
-    return df.withColumns(made)
-
-
-def _sliced_columns(df, keys, order, specs):
     sliced = slice_by_order(df, keys, order)
     group = [*keys, SLICE]
     local = Window.partitionBy(*group).orderBy(*order)
@@ -115,7 +80,7 @@ def _sliced_columns(df, keys, order, specs):
     # One row per (key, slice): size, sums, and the last few rows in order.
     facts = [F.count("*").alias("__n")]
     for i, c in enumerate(totals):
-        facts += [F.sum(c).alias(f"__s{i}"), F.count(c).alias(f"__c{i}")]
+        facts += [F.sum(exact(df, c)).alias(f"__s{i}"), F.count(c).alias(f"__c{i}")]
     slices = sliced.groupBy(*group).agg(*facts)
     if reach:
         record = F.struct(F.col("__from_end"), *[F.col(c) for c in recent])
@@ -163,62 +128,40 @@ def _sliced_columns(df, keys, order, specs):
             i = totals.index(s.source)
             old_sum = F.coalesce(F.col(f"__s0{i}"), F.lit(0))
             if s.kind == "running":
-                total = F.coalesce(F.sum(s.source).over(here), F.lit(0)) + old_sum
+                total = F.coalesce(F.sum(exact(df, s.source)).over(here), F.lit(0)) + old_sum
                 rows = F.count(s.source).over(here) + F.col(f"__c0{i}")
-                made[s.out] = F.when(rows > 0, total / rows)
+                made[s.out] = F.when(rows > 0, total.cast("double") / rows)
             elif s.kind == "cumulative":
                 upto = local.rowsBetween(Window.unboundedPreceding, 0)
-                total = F.coalesce(F.sum(s.source).over(upto), F.lit(0)) + old_sum
+                total = F.coalesce(F.sum(exact(df, s.source)).over(upto), F.lit(0)) + old_sum
                 rows = F.count(s.source).over(upto) + F.col(f"__c0{i}")
-                made[s.out] = F.when(rows > 0, total)
+                made[s.out] = F.when(rows > 0, total if dict(df.dtypes)[s.source] in _WHOLE else total.cast("double"))
             else:
                 raise ValueError(f"unknown ordered column kind {s.kind!r}")
     return joined.withColumns(made).select(*df.columns, *made)
 
 
-def rank_rows(df: DataFrame, order: Sequence[Column], out: str = "rank", limit: int | None = None) -> DataFrame:
+def rank_rows(df: DataFrame, order: Sequence[Column], out: str = "rank") -> DataFrame:
     """1..n over the whole table; ``order`` must end in a unique key."""
-    return ordered_columns(df, [], order, [Ordered("position", out)], limit)
+    return ordered_columns(df, [], order, [Ordered("position", out)])
 
 
-def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probabilities: Sequence[float],
-    keys: Sequence[str] = (),
-    limit: int | None = None,
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
     """Linear-interpolated quantiles, NULLs left out: one row per (keys, feature).
 
-    Output columns: keys, ``feature`` and ``q0``, ``q1``, … in the order asked for.
-    Small groups use the built-in ``percentile``; it keeps every distinct value of all
-    columns of a group in one task, so large groups are ranked in slices instead.
+    Output columns: keys, ``feature`` and ``q0``, ``q1``, … in the order asked for; a group
+    without a value has NULLs. Different values are counted first, then placed in slices, so
+    that no task holds the values of a group.
     """
     keys = list(keys)
-    limit = group_row_limit(df.sparkSession) if limit is None else limit
-    if not is_oversized(df, keys, limit // len(columns)):
-        shape = F.array(
-            *[
-                F.struct(
-                    F.lit(c).alias("feature"),
-                    *[
-                        F.percentile(F.col(c).cast("double"), F.lit(p)).alias(f"q{i}")
-                        for i, p in enumerate(probabilities)
-                    ],
-                )
-                for c in columns
-            ]
-        )
-        grouped = df.groupBy(*keys) if keys else df.groupBy()
-        return grouped.agg(shape.alias("__f")).select(*keys, F.inline("__f"))
     long = df.select(
         *keys,
         F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("__v")) for c in columns])),
-    ).where(F.col("__v").isNotNull())
+    )
     group = [*keys, "feature"]
-    counted = long.groupBy(*group, "__v").agg(F.count("*").alias("__m"))
-    placed = ordered_columns(counted, group, [F.col("__v")], [Ordered("cumulative", "__hi", "__m")], limit)
-    sizes = counted.groupBy(*group).agg(F.sum("__m").alias("__size"))
+    counted = cut_lineage(long.groupBy(*group, "__v").agg(F.count("*").alias("__m")))
+    sizes = counted.groupBy(*group).agg(F.coalesce(F.sum(F.when(F.col("__v").isNotNull(), F.col("__m"))), F.lit(0)).alias("__size"))
+    placed = ordered_columns(counted.where(F.col("__v").isNotNull()), group, [F.col("__v")], [Ordered("cumulative", "__hi", "__m")])
     placed = _attach(placed, sizes, group)
     first, last = F.col("__hi") - F.col("__m"), F.col("__hi") - 1
     picks = []
@@ -226,10 +169,10 @@ def exact_quantiles(
         spot = (F.col("__size") - 1) * F.lit(float(p))
         for tag, at in (("lo", F.floor(spot)), ("up", F.ceil(spot))):
             picks.append(F.max(F.when((at >= first) & (at <= last), F.col("__v"))).alias(f"__{tag}{i}"))
-    found = placed.groupBy(*group).agg(F.max("__size").alias("__size"), *picks)
+    found = _attach(sizes, placed.groupBy(*group).agg(*picks), group)
     results = []
     for i, p in enumerate(probabilities):
         spot = (F.col("__size") - 1) * F.lit(float(p))
-        low, up = F.col(f"__lo{i}"), F.col(f"__up{i}")
-        results.append((low + (up - low) * (spot - F.floor(spot))).alias(f"q{i}"))
+        share, low, up = spot - F.floor(spot), F.col(f"__lo{i}"), F.col(f"__up{i}")
+        results.append(F.when(low == up, low).otherwise(low * (1 - share) + up * share).alias(f"q{i}"))
     return found.select(*group, *results)

@@ -264,6 +264,9 @@ PEOPLE_COLUMNS = [
 ]
 
 
-def embedding_rows(t: Tables, width: int = 64) -> DataFrame:
-    """vec_id, label and the vector as columns e0…"""
+def embedding_rows(t: Tables) -> DataFrame:
+    """vec_id, label and the vector as columns e0…; all vectors must have as many places."""
+    least, width = t.embeddings.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if least != width:
+        raise ValueError(f"vectors of {least} to {width} places")
     return t.embeddings.select("vec_id", F.col("label").cast("long").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(width)])

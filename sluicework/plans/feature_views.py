@@ -11,7 +11,7 @@ from sluicework.functions.scalar import flag, safe_divide, safe_double, safe_lon
 from sluicework.operators.aggregates import home_away_season, season_rates, tactical_season
 from sluicework.operators.joins import head_to_head, star_join
 from sluicework.operators.reshape import both_sides
-from sluicework.operators.skew import Ordered, is_oversized, ordered_columns
+from sluicework.operators.skew import Ordered, ordered_columns
 
 
 def player_features(profiles: DataFrame, stats: DataFrame) -> DataFrame:
@@ -168,12 +168,12 @@ def team_season_features(fixtures: DataFrame) -> DataFrame:
     return home_away_season(both_sides(league_matches(fixtures), ["year"]))
 
 
-def coaching_features(fixtures: DataFrame, key: Sequence[str] = ("home_team", "away_team"), limit: int | None = None) -> DataFrame:
+def coaching_features(fixtures: DataFrame, key: Sequence[str] = ("home_team", "away_team")) -> DataFrame:
     """Tactical season profile; ``key`` tells matches of one day apart."""
     sides = both_sides(_keyed(fixtures, key), ["match_date", "year", "round", *_renamed(key)])
     order = [F.asc("match_date"), *[F.asc(k) for k in _renamed(key)]]
     lagged = ordered_columns(
-        sides, ["team"], order, [Ordered("lag", "prev_win", "win"), Ordered("lag", "prev_loss", "loss")], limit
+        sides, ["team"], order, [Ordered("lag", "prev_win", "win"), Ordered("lag", "prev_loss", "loss")]
     )
     return tactical_season(lagged)
 
@@ -188,11 +188,11 @@ def _keyed(fixtures: DataFrame, key: Sequence[str]) -> DataFrame:
     return matches.withColumns({f"__key_{k}": F.col(k) for k in key})
 
 
-def match_features(fixtures: DataFrame, key: Sequence[str] = ("home_team", "away_team"), limit: int | None = None) -> DataFrame:
+def match_features(fixtures: DataFrame, key: Sequence[str] = ("home_team", "away_team")) -> DataFrame:
     """Form, season and head-to-head features of every match, from earlier matches only.
 
     ``key`` must name a match uniquely within its day. Both teams' rows come out of one
-    scan, run through two windows on the team (one shuffle), and are put together again
+    scan, run through the two ordered computations on the team, and are put together again
     by match, instead of joining the fixture list twice with the rolling table.
     """
     keys = _renamed(key)
@@ -202,10 +202,8 @@ def match_features(fixtures: DataFrame, key: Sequence[str] = ("home_team", "away
     sides = both_sides(matches, own).withColumn("__home_win", F.when(F.col("is_home") == 1, F.col("win")))
     last5 = [Ordered("trailing", f"last5_{o}", c, 5) for o, c in (("win_rate", "win"), ("avg_margin", "margin"), ("avg_pf", "pf"), ("avg_pa", "pa"))]
     season = [Ordered("running", "season_win_rate", "win"), Ordered("running", "season_home_win_rate", "__home_win")]
-    # One season of a team is never larger than all its matches: one check serves both.
-    hot = is_oversized(sides, ["team"], limit)
-    formed = ordered_columns(sides, ["team"], order, last5, limit, hot)
-    rolled = ordered_columns(formed, ["team", "year"], order, season, limit, None if hot else False)
+    formed = ordered_columns(sides, ["team"], order, last5)
+    rolled = ordered_columns(formed, ["team", "year"], order, season)
     wanted = [s.out for s in last5 + season]
     per_match = rolled.groupBy(*own).agg(
         *[F.max(F.when(F.col("is_home") == 1, F.col(c))).alias(f"home_{c}") for c in wanted],

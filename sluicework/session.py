@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import pathlib
+import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-GROUP_ROWS_CONF = "spark.sluicework.maxGroupRows"
-GROUP_ROWS_DEFAULT = 5_000_000
-
 
 def build_session(app: str = "sluicework", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators rely on (UTC clock, adaptive plans)."""
@@ -57,6 +57,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def group_row_limit(spark: SparkSession) -> int:
-    """Rows one task may hold as a single ordered group before the group is split."""
-    return int(spark.conf.get(GROUP_ROWS_CONF, str(GROUP_ROWS_DEFAULT)))
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session.
+
+    Functions that run in tasks are pickled by reference, so the workers must be able to
+    import them wherever the driver was started.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_sluicework_shipped", False):
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    # Below the folder from which Spark serves the driver's files; Spark removes it with the session.
+    folder = pathlib.Path(SparkFiles.getRootDirectory(), "shipped")
+    folder.mkdir(parents=True, exist_ok=True)
+    context.addPyFile(shutil.make_archive(str(folder / package.name), "zip", package.parent, package.name))
+    context._sluicework_shipped = True

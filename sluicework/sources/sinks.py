@@ -113,11 +113,32 @@ def run_metrics(metrics: DataFrame, run_id: str, name: str, at: Column) -> DataF
     )
 
 
-def json_numbers(text: Column, depth: int = 4) -> Column:
+def json_depth(text: Column) -> Column:
+    """How deep the braces of a JSON text nest, strings left out."""
+    braces = F.regexp_replace(F.regexp_replace(text, r'"(\\.|[^"\\])*"', ""), "[^{}]", "")
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(held: Column, brace: Column) -> Column:
+        now = held["now"] + F.when(brace == "{", 1).when(brace == "}", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(held["most"], now).alias("most"))
+
+    return F.aggregate(F.split(braces, ""), zero, step, lambda held: held["most"])
+
+
+def json_metrics(df: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(keep…, metric_name, metric_value) of every nested JSON number, however deep.
+
+    The depth comes from the data first; it decides how many levels the expression opens.
+    """
+    depth = df.agg(F.max(json_depth(F.col(text)))).first()[0] or 1
+    return df.select(*keep, F.inline(json_numbers(F.col(text), depth)))
+
+
+def json_numbers(text: Column, depth: int) -> Column:
     """Nested JSON numbers as an array of (metric_name, metric_value), dotted names.
 
     Booleans count as 1 and 0; text, lists and nulls are left out. Objects are opened
-    ``depth`` levels deep, one expression per level.
+    ``depth`` levels deep, one expression per level; :func:`json_metrics` measures it.
     """
 
     def cells(entries: Column, prefix: Column | None) -> Column:

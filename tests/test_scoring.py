@@ -141,9 +141,10 @@ def test_subjects(spark):
 
 
 def test_json_numbers(spark):
-    text = '{"a": 1, "b": {"c": 2.5, "d": "5", "e": {"f": true}}, "g": [1], "h": null}'
-    rows = spark.createDataFrame([(text,)], "t string").select(F.inline(Z.json_numbers(F.col("t")))).collect()
-    assert dict(rows) == {"a": 1.0, "b.c": 2.5, "b.e.f": 1.0}
+    deep = '{"a": 1, "b": {"c": 2.5, "d": "{5", "e": {"f": true, "x": {"y": {"z": {"q": 7}}}}}, "g": [1], "h": null}'
+    table = spark.createDataFrame([(deep,), ("{}",), (None,), ('{"p": "}{\\"{{{"}',)], "t string")
+    assert [r[0] for r in table.select(Z.json_depth(F.col("t"))).collect()] == [6, 1, None, 1]
+    assert dict(Z.json_metrics(table, "t").collect()) == {"a": 1.0, "b.c": 2.5, "b.e.f": 1.0, "b.e.x.y.z.q": 7.0}
 
 
 def test_safe_casts(spark):
