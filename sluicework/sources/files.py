@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluicework.functions.scalar import dataset_name, strip
@@ -37,30 +37,35 @@ def detect_format(name: Column, content_type: Column) -> Column:
     return chosen
 
 
-_CELL_LIMIT = 2**31 - 1
+_PLAIN = "^file:/+"
+_CELL = 2**31 - 1  # bytes of Spark's largest cell
 
 
-def _uploads(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """path, length, content of every file. Scans skip empty files, so those are added
-    from the file listing, which the driver holds anyway."""
+def _listed(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """path, file_name, length of every file; no content is read.
+
+    Scans skip empty files, so those are added from the file listing, which the driver holds
+    anyway.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    plain = "^file:/+"
     names = spark.createDataFrame([(n,) for n in found.inputFiles()], "path string")
-    names = names.withColumn("path", F.regexp_replace("path", plain, "file:/"))
-    named = found.withColumn("path", F.regexp_replace("path", plain, "file:/"))
-    # Content is one cell, at most 2 GiB; the length filter keeps larger files from being read.
-    whole = named.where(F.col("length") < _CELL_LIMIT).select("path", "length", "content")
-    large = named.where(F.col("length") >= _CELL_LIMIT).select("path", "length", F.lit(None).cast("binary").alias("content"))
-    found = whole.unionByName(large)
-    empty = names.join(found.select("path"), "path", "left_anti").select(
-        "path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")
+    names = names.withColumn("path", F.regexp_replace("path", _PLAIN, "file:/"))
+    sizes = found.select(F.regexp_replace("path", _PLAIN, "file:/").alias("path"), "length")
+    every = names.join(sizes, "path", "left").withColumn("length", F.coalesce("length", F.lit(0)))
+    return every.withColumn("file_name", F.element_at(F.split("path", "/"), -1))
+
+
+def _lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """path, block, value, __row: the lines of all files; a file is split over tasks by blocks."""
+    return spark.read.option("recursiveFileLookup", "true").text(paths).select(
+        F.regexp_replace(F.col("_metadata.file_path"), _PLAIN, "file:/").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("__row"),
     )
-    return found.unionByName(empty)
 
 
 def list_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """path, file_name, length: names only, no content is read."""
-    return _uploads(spark, paths).select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "length")
+    return _listed(spark, paths).select("path", "file_name", "length")
 
 
 def _json_object(text: Column) -> Column:
@@ -70,46 +75,70 @@ def _json_object(text: Column) -> Column:
 _RESULT = ["path", "file_name", "format", "valid", "total_records", "columns", "error"]
 
 
-def _whole_file_checks(files: DataFrame) -> DataFrame:
-    """CSV, JSON and binary verdicts; a file is at most one 2 GiB cell of one task."""
-    text = F.col("text")
-    # A quoted section holds no quote, so taking them out leaves only an unclosed one.
-    bare = F.regexp_replace(text, '"[^"]*"', "q")
-    lines = F.filter(F.split(bare, r"\r\n|\n|\r"), lambda l: l != "")
-    rows = F.size(lines).cast("long") - 1
-    header = F.element_at(F.filter(F.split(text, r"\r\n|\n|\r"), lambda l: l != ""), 1)
-    names = F.transform(F.split(header, ","), lambda c: F.regexp_replace(c, '^"|"$', ""))
-    csv = (
-        F.when(F.contains(bare, F.lit('"')), _verdict(error="CSV parse error: quote not closed"))
-        .when(rows < 1, _verdict(error="CSV file is empty (no data rows)"))
+def _csv_checks(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """CSV verdicts from lines, for files of any size and with quoted line ends.
+
+    A record ends with a line after which the quotes of the file so far are even. Quotes are
+    added up per block first, so only a block's lines are ever put in order.
+    """
+    held = lines.withColumn("__q", F.regexp_count("value", F.lit('"')).cast("long"))
+    block = Window.partitionBy("path", "block")
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = held.groupBy("path", "block").agg(F.sum("__q").alias("__n")).select(
+        F.col("path").alias("__p"), F.col("block").alias("__b"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base")
+    )
+    upto = F.sum("__q").over(block.orderBy("__row").rowsBetween(Window.unboundedPreceding, 0))
+    placed = held.withColumn("__upto", upto).join(bases, (F.col("path") == F.col("__p")) & (F.col("block") == F.col("__b")))
+    after = F.col("__base") + F.col("__upto")
+    inside = (after - F.col("__q")) % 2 == 1
+    filled = F.col("value") != ""
+    facts = placed.groupBy("path").agg(
+        F.sum("__q").alias("quotes"), F.count_if((after % 2 == 0) & (filled | inside)).alias("records"),
+        F.min_by(F.when(filled, F.col("value")), F.when(filled, F.struct("block", "__row"))).alias("header"),
+    )
+    # Commas between an even number of quotes on either side separate names.
+    cells = F.split("header", r',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    names = F.transform(cells, lambda c: F.replace(F.regexp_replace(F.regexp_replace(c, "\r$", ""), '^"|"$', ""), F.lit('""'), F.lit('"')))
+    rows = F.coalesce(F.col("records"), F.lit(0)) - 1
+    verdict = (
+        F.when(F.col("quotes") % 2 == 1, _verdict(error="CSV: a quote is never closed (parse error)"))
+        .when(rows < 1, _verdict(error="CSV: no data rows, the file counts as empty"))
         .otherwise(_verdict(rows, names))
     )
+    return files.join(facts, "path", "left").select("path", "file_name", "format", verdict.alias("v")).select("path", "file_name", "format", "v.*")
+
+
+def _whole_file_checks(files: DataFrame) -> DataFrame:
+    """Verdicts on JSON documents and binary files.
+
+    A JSON document or the head of a binary file is read as one cell, which Spark bounds by
+    2 GiB: larger JSON must come as NDJSON, larger binary files are left to their readers.
+    """
+    text = F.col("content").cast("string")
     length = F.json_array_length(text).cast("long")
     scalar = strip(text).rlike(r'^("([^"\\]|\\.)*"|-?[0-9.]+([eE][+-]?[0-9]+)?|true|false|null)\z')
     broken = F.json_object_keys(text).isNull() & length.isNull()
     json = (
-        F.when(scalar, _verdict(error="JSON root must be an object or array"))
-        .when(broken, _verdict(error="JSON parse error"))
-        .when(length == 0, _verdict(error="JSON array is empty"))
+        F.when(F.col("length") > _CELL, _verdict(error="JSON: documents beyond 2 GiB must be sent as NDJSON"))
+        .when(scalar, _verdict(error="JSON: the root is neither an object nor an array"))
+        .when(broken, _verdict(error="JSON: not well-formed (parse error)"))
+        .when(length == 0, _verdict(error="JSON: the array is empty"))
         .when(length > 0, _verdict(length, F.json_object_keys(F.get_json_object(text, "$[0]"))))
         .otherwise(_verdict(F.lit(1).cast("long"), F.json_object_keys(text)))
     )
     ext, magic = extension(F.col("file_name")), F.hex(F.substring("content", 1, 4))
+    fine = _verdict(F.lit(0).cast("long"))
     binary = (
-        F.when(F.col("length") == 0, _verdict(error="File is empty"))
-        .when((ext == "parquet") & (magic == "50415231"), _verdict(F.lit(0).cast("long")))
-        .when(ext == "parquet", _verdict(error="Invalid Parquet file (missing PAR1 magic bytes)"))
-        .when((ext == "avro") & (magic == "4F626A01"), _verdict(F.lit(0).cast("long")))
-        .when(ext == "avro", _verdict(error="Invalid Avro file (missing Obj magic bytes)"))
-        .otherwise(_verdict(error=F.concat(F.lit("Unsupported binary format: ."), ext)))
-    )
-    unsupported = _verdict(error=F.concat(F.lit("Unsupported file format: ."), ext))
-    kind, large = F.col("format"), F.col("content").isNull()
-    # Typed files check themselves when read; text must be split into smaller uploads.
-    unread = F.when(kind == "binary", _verdict(F.lit(0).cast("long"))).otherwise(
-        _verdict(error="File is too large to be checked as a whole")
+        F.when(F.col("length") == 0, _verdict(error="The file is empty"))
+        .when(F.col("length") > _CELL, fine)
+        .when((ext == "parquet") & (magic == "50415231"), fine)
+        .when(ext == "parquet", _verdict(error="Parquet: the PAR1 mark is missing"))
+        .when((ext == "avro") & (magic == "4F626A01"), fine)
+        .when(ext == "avro", _verdict(error="Avro: the Obj mark is missing"))
+        .otherwise(_verdict(error=F.concat(F.lit("Unsupported binary format "), ext)))
     )
-    verdict = F.when(large & kind.isin("csv", "json", "binary"), unread).when(kind == "csv", csv).when(kind == "json", json).when(kind == "binary", binary).otherwise(unsupported)
+    unsupported = _verdict(error=F.concat(F.lit("Unsupported format "), ext))
+    verdict = F.when(F.col("format") == "json", json).when(F.col("format") == "binary", binary).otherwise(unsupported)
     return files.withColumn("v", verdict).select("path", "file_name", "format", "v.*")
 
 
@@ -125,34 +154,32 @@ def _verdict(rows: Column | None = None, columns: Column | None = None, error: s
 
 def validate_files(spark: SparkSession, paths: str | Sequence[str], content_type: str | None = None) -> DataFrame:
     """One row per file: path, file_name, format, valid, total_records, columns, error."""
-    listed = _uploads(spark, paths)
-    listed = listed.withColumn("file_name", F.element_at(F.split("path", "/"), -1)).withColumn(
-        "format", detect_format(F.col("file_name"), F.lit(content_type).cast("string"))
-    )
-    whole = _whole_file_checks(
-        listed.where(F.col("format") != "ndjson").withColumn("text", F.col("content").cast("string"))
-    )
-    # NDJSON is checked line by line, so files of any size spread over many tasks.
-    lines = spark.read.option("recursiveFileLookup", "true").text(paths).select(
-        F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:/").alias("path"), "value",
-        F.col("_metadata.file_block_start").alias("block"),
+    ctype = F.lit(content_type).cast("string")
+    listed = _listed(spark, paths).withColumn("format", detect_format(F.col("file_name"), ctype))
+    lines = _lines(spark, paths).withColumn("format", detect_format(F.element_at(F.split("path", "/"), -1), ctype))
+    content = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).where(F.col("length") <= _CELL)
+        .select(F.regexp_replace("path", _PLAIN, "file:/").alias("path"), "content")
+        .where(~detect_format(F.element_at(F.split("path", "/"), -1), ctype).isin("csv", "ndjson"))
     )
-    name = F.element_at(F.split("path", "/"), -1)
-    lines = lines.where(detect_format(name, F.lit(content_type).cast("string")) == "ndjson").where(strip(F.col("value")) != "")
+    others = listed.where(~F.col("format").isin("csv", "ndjson")).join(content, "path", "left")
+    whole = _whole_file_checks(others.withColumn("content", F.coalesce("content", F.lit(b""))))
+    csv = _csv_checks(listed.where("format = 'csv'"), lines.where("format = 'csv'"))
+    lines = lines.where("format = 'ndjson'").where(strip(F.col("value")) != "")
     good = _json_object(F.col("value"))
     counted = lines.groupBy("path").agg(
         F.count_if(good).alias("total_records"),
-        F.min_by(F.when(good, F.json_object_keys("value")), F.when(good, F.col("block"))).alias("columns"),
+        F.min_by(F.json_object_keys("value"), F.when(good, F.struct("block", "__row"))).alias("columns"),
     )
-    nd = listed.where(F.col("format") == "ndjson").select("path", "file_name", "format").join(counted, "path", "left")
-    error = F.when(F.col("total_records").isNull(), "NDJSON file is empty").when(
-        F.col("total_records") == 0, "No valid NDJSON records"
+    nd = listed.where("format = 'ndjson'").select("path", "file_name", "format").join(counted, "path", "left")
+    error = F.when(F.col("total_records").isNull(), "NDJSON: the file is empty").when(
+        F.col("total_records") == 0, "NDJSON: no line is an object"
     )
     nd = nd.select(
         "path", "file_name", "format", error.isNull().alias("valid"),
         F.coalesce("total_records", F.lit(0)).cast("long").alias("total_records"), "columns", error.alias("error"),
     )
-    return whole.select(*_RESULT).unionByName(nd.select(*_RESULT))
+    return whole.select(*_RESULT).unionByName(csv.select(*_RESULT)).unionByName(nd.select(*_RESULT))
 
 
 def csv_spans_lines(spark: SparkSession, paths: str | Sequence[str]) -> bool:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,7 +72,10 @@ def load_curated(df: DataFrame, path: str, batch_id: str, ingest_date: Column |
 
     Only the batch's own partitions are replaced, so a replay after a failure cannot add
     the rows twice. New columns are fine: readers align them by name (:func:`read_curated`).
+    Columns are cast to the wider type the table has; a batch whose type does not fit the
+    table's is refused before anything is written, as it would make the table unreadable.
     """
+    df = fit_table(df, df.sparkSession, path)
     columns = choose_cluster_columns(df.schema, style)
     day = F.lit(ingest_date) if isinstance(ingest_date, str) else ingest_date
     placed = cluster_rows(df, columns).withColumns({"ingest_date": day.cast("date"), "batch_id": F.lit(batch_id)})
@@ -81,6 +85,26 @@ def load_curated(df: DataFrame, path: str, batch_id: str, ingest_date: Column |
     )
 
 
+# Table type to the narrower types that fit into it without loss.
+_FITS = {"bigint": ("int", "smallint", "tinyint"), "int": ("smallint", "tinyint"), "double": ("float", "bigint", "int", "smallint", "tinyint"), "string": ("bigint", "int", "double", "boolean", "date", "timestamp")}
+
+
+def fit_table(df: DataFrame, spark: SparkSession, path: str) -> DataFrame:
+    """The batch in the types of the curated table below ``path``, if there is one already."""
+    try:
+        known = dict(read_curated(spark, path).dtypes)
+    except AnalysisException:
+        return df
+    casts = {}
+    for c, kind in df.dtypes:
+        held = known.get(c, kind)
+        if held != kind and kind not in _FITS.get(held, ()):
+            raise ValueError(f"column {c} is {kind}, the table {path} has {held}; nothing was written")
+        if held != kind:
+            casts[c] = F.col(c).cast(held)
+    return df.withColumns(casts) if casts else df
+
+
 def read_curated(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(path)
 

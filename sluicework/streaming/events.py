@@ -37,21 +37,23 @@ _OUT = "job_id string, seq long, status string, accepted boolean, current_status
 def guard_states(changes: DataFrame) -> DataFrame:
     """Live state machine per job: a change counts only if it may follow the current state.
 
-    Input: job_id, seq, status. State is one status and one number per job. Changes with
-    a sequence number already seen are redeliveries and are not accepted again.
+    Input: job_id, seq, status. State is one status and one number per job. A job's changes
+    of one micro-batch are judged in order of seq. Changes with a sequence number already
+    seen are redeliveries and are not accepted again.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         status, seen = state.get if state.exists else (None, -1)
-        for batch in batches:
-            rows = []
-            for seq, wanted in batch.sort_values("seq")[["seq", "status"]].itertuples(index=False):
-                open_ = wanted == "UPLOADING" if status is None else wanted in NEXT_STATES[status]
-                accepted = bool(open_ and seq > seen)
-                if accepted:
-                    status, seen = wanted, int(seq)
-                rows.append((key[0], int(seq), wanted, accepted, status))
-            yield pd.DataFrame(rows, columns=["job_id", "seq", "status", "accepted", "current_status"])
+        # A group comes in several Arrow batches; the order is that of all its changes.
+        changes = pd.concat([b[["seq", "status"]] for b in batches]).sort_values("seq", kind="stable")
+        rows = []
+        for seq, wanted in changes.itertuples(index=False):
+            open_ = wanted == "UPLOADING" if status is None else wanted in NEXT_STATES[status]
+            accepted = bool(open_ and seq > seen)
+            if accepted:
+                status, seen = wanted, int(seq)
+            rows.append((key[0], int(seq), wanted, accepted, status))
+        yield pd.DataFrame(rows, columns=["job_id", "seq", "status", "accepted", "current_status"])
         if status is not None:
             state.update((status, seen))
 

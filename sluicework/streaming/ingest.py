@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+import threading
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -12,8 +17,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sluicework.functions.scalar import dataset_name
 from sluicework.operators.cleansing import check_rows, cast_rows, dedup_rows, detect_pii, infer_types, mask_pii, schema_of
-from sluicework.session import scratch_path
-from sluicework.sources.files import list_files, read_raw, validate_files
+from sluicework.session import cut_lineage, scratch_path
+from sluicework.sources.files import CONTENT_TYPES, expand_archives, list_files, read_raw, validate_files
 from sluicework.sources.sinks import (
     load_curated, load_staging, read_curated, reject_records, write_rejects, write_silver,
 )
@@ -110,38 +115,26 @@ def batch_stats(total: int, valid: int, rejected: int) -> dict[str, int]:
     }
 
 
-def ingest_batch(
-    spark: SparkSession, paths: Sequence[str], fmt: str, dataset: str, job_id: str, zones: Zones,
-    order_by: Sequence[str] | None = None, content_type: str | None = None,
-) -> dict[str, object]:
-    """Validate and clean the files of one dataset into silver; returns the job record.
+def ingest_file(spark: SparkSession, path: str, fmt: str, dataset: str, job_id: str, zones: Zones, content_type: str | None = None) -> dict[str, object]:
+    """Validate and clean one upload into silver; returns the job record.
 
-    Broken files and batches without a single good row are rejected as a whole and
-    listed in the failures table. Text rows are sampled in file order by default.
+    Types, personal columns and the verdict come from this file alone. A broken file, or one
+    without a single good row, is rejected as a whole. Rows are sampled in file order.
     """
-    verdicts = validate_files(spark, list(paths), content_type)
-    checked = verdicts.select("path", "valid", "error").collect()  # one row per file of the batch
-    fine = [r["path"] for r in checked if r["valid"]]
-    for r in checked:
-        if not r["valid"]:
-            record_failure(spark, zones, job_id, dataset, r["error"], r["path"])
-    record: dict[str, object] = {"job_id": job_id, "dataset": dataset}
-    if not fine:
-        return {**record, "status": "REJECTED", "error": checked[0]["error"] if checked else "no files"}
+    record: dict[str, object] = {"job_id": job_id, "dataset": dataset, "path": path, "format": fmt}
+    if fmt not in ("parquet", "avro") or path.lower().endswith(f".{fmt}"):  # unpacked members have no such name: their reader judges them
+        checked = validate_files(spark, [path], content_type).select("valid", "error").first()
+        if checked is None or not checked["valid"]:
+            return {**record, "status": "REJECTED", "error": checked["error"] if checked else "no such file"}
     if fmt in ("parquet", "avro"):
-        write_silver(read_raw(spark, fine, fmt), f"{zones.silver(dataset)}/{job_id}")
+        write_silver(read_raw(spark, [path], fmt), f"{zones.silver(dataset)}/{job_id}")
         return {**record, "status": "TRANSFORMING", "error": None}
-    raw = read_raw(spark, fine, fmt)
-    columns = [c for c in raw.columns if c != _POSITION]
-    if order_by is None:
-        raw = raw.withColumn(_POSITION, F.monotonically_increasing_id())
-        order_by = [_POSITION]
-    cleaned = clean_rows(raw, columns, order_by, known_types(spark, zones.curated(dataset)))
-    record.update(cleaned.stats)
+    raw = read_raw(spark, [path], fmt)
+    columns = raw.columns
+    cleaned = clean_rows(raw.withColumn(_POSITION, F.monotonically_increasing_id()), columns, [_POSITION], known_types(spark, zones.curated(dataset)))
+    record |= {**cleaned.stats, "schema": json.dumps(cleaned.schema), "masked": json.dumps(cleaned.pii)}
     if cleaned.stats["valid"] == 0:
-        error = f"All {cleaned.stats['rejected']} records failed type validation"
-        record_failure(spark, zones, job_id, dataset, error, fine[0])
-        return {**record, "status": "REJECTED", "error": error}
+        return {**record, "status": "REJECTED", "error": f"none of the {cleaned.stats['rejected']} records fits the types"}
     if cleaned.stats["rejected"]:
         write_rejects(reject_records(cleaned.bad, job_id, F.current_timestamp()), f"{zones.rejected(dataset)}/{job_id}")
     write_silver(cleaned.good, f"{zones.silver(dataset)}/{job_id}")
@@ -156,12 +149,13 @@ def known_types(spark: SparkSession, path: str) -> dict[str, str]:
         return {}
 
 
-def record_failure(spark: SparkSession, zones: Zones, job_id: str, dataset: str, error: str, path: str) -> None:
+def record_failure(spark: SparkSession, zones: Zones, job_id: str, dataset: str, error: str, path: str, attempt: int) -> None:
+    """One row for each failed attempt of a job; writing an attempt again changes nothing."""
     row = spark.range(1).select(
-        F.lit(job_id).alias("job_id"), F.lit(dataset).alias("dataset"), F.lit(error).alias("error"),
-        F.lit(path).alias("path"), F.unix_micros(F.current_timestamp()).alias("seq"),
+        F.lit(dataset).alias("dataset"), F.lit(error).alias("error"), F.lit(path).alias("path"),
+        F.unix_micros(F.current_timestamp()).alias("seq"),
     )
-    row.write.mode("append").parquet(zones.failures)
+    row.write.mode("overwrite").parquet(f"{zones.failures}/job_id={job_id}/attempt={attempt}")
 
 
 def load_batch(spark: SparkSession, dataset: str, job_id: str, zones: Zones, day: str) -> int:
@@ -173,27 +167,143 @@ def load_batch(spark: SparkSession, dataset: str, job_id: str, zones: Zones, day
     return staged.count()
 
 
-_JOB = "job_id string, dataset string, status string, error string, total_records long, valid long, rejected long, duplicates_removed long, loaded long"
+_JOB = (
+    "job_id string, dataset string, path string, format string, status string, error string, total_records long, valid long, "
+    "rejected long, duplicates_removed long, loaded long, schema string, masked string"
+)
+
+
+_LOG_LOCK = threading.Lock()
+
+
+def job_name(dataset: str, path: str) -> str:
+    """The id of an upload's job: the same file has the same job, whenever and wherever it is seen."""
+    return f"{dataset}-{hashlib.sha256(re.sub('^file:/+', 'file:/', path).encode()).hexdigest()[:20]}"
 
 
 def _log(spark: SparkSession, zones: Zones, records: Sequence[Mapping[str, object]]) -> None:
+    if not records:
+        return
     names = [c.split()[0] for c in _JOB.split(", ")]
     rows = [(*[r.get(n) for n in names], i) for i, r in enumerate(records)]
     stamped = spark.createDataFrame(rows, f"{_JOB}, step long").withColumn("updated_at", F.current_timestamp())
-    # Records of one batch share a time: their order in the batch tells them apart.
-    stamped.withColumn("seq", F.unix_micros("updated_at") + F.col("step")).drop("step").write.mode("append").parquet(zones.jobs)
+    # Records of one call share a time: their order tells them apart.
+    with _LOG_LOCK:  # two appends to one folder at a time would clear each other's pending files
+        stamped.withColumn("seq", F.unix_micros("updated_at") + F.col("step")).drop("step").write.mode("append").parquet(zones.jobs)
+
+
+def _known_jobs(spark: SparkSession, zones: Zones, ids: Sequence[str] | None = None) -> dict[str, dict]:
+    """The named jobs (all that wait in UPLOADING by default): last record, day of arrival, attempts so far."""
+    try:
+        log = spark.read.schema(f"{_JOB}, updated_at timestamp, seq long").parquet(zones.jobs)
+    except AnalysisException:
+        return {}
+    log = log.where(F.col("job_id").isin(list(ids))) if ids is not None else log
+    last = F.max_by(F.struct("dataset", "path", "format", "status"), "seq").alias("last")
+    jobs = log.groupBy("job_id").agg(
+        last, F.to_date(F.min("updated_at")).cast("string").alias("day"), F.count_if(F.col("status") == "UPLOADING").alias("attempts")
+    )
+    jobs = jobs.where("last.status = 'UPLOADING'") if ids is None else jobs
+    return {r.job_id: {**r["last"].asDict(), "day": r.day, "attempts": r.attempts} for r in jobs.collect()}  # the files of a batch
+
+
+def take_files(spark: SparkSession, uploads: Sequence[tuple[str, str, str]], zones: Zones, load: bool = True, day: str | None = None, again: bool = False) -> None:
+    """Run each upload (dataset, format, path) as its own job.
+
+    A job is logged as UPLOADING before anything else; that entry fixes the day of its curated
+    partition. Jobs that ended before are left alone, so a replay, on another day or with a new
+    checkpoint, changes nothing; ``again`` runs jobs that wait in UPLOADING. A file that raises
+    is FAILED, and the others go on. Datasets run side by side, the files of one in order of
+    their path, since each adapts to the table the earlier ones left.
+    """
+    known = _known_jobs(spark, zones, [job_name(d, p) for d, _, p in uploads])
+    fresh = sorted({(d, f, p) for d, f, p in uploads if job_name(d, p) not in known})
+    _log(spark, zones, [{"job_id": job_name(d, p), "dataset": d, "path": p, "format": f, "status": "UPLOADING"} for d, f, p in fresh])
+    waiting = [u for u in uploads if again or job_name(u[0], u[2]) not in known or known[job_name(u[0], u[2])]["status"] not in ENDED]
+    known |= _known_jobs(spark, zones, [job_name(d, p) for d, _, p in fresh]) if fresh else {}
+    by_dataset: dict[str, list] = {}
+    for d, f, p in sorted(set(waiting), key=lambda u: (u[0], u[2])):
+        by_dataset.setdefault(d, []).append((f, p))
+    children: list[tuple[str, str, str]] = []
+
+    def run(dataset: str) -> None:
+        for fmt, path in by_dataset[dataset]:
+            job = job_name(dataset, path)
+            found = known[job]
+            children.extend(_run_job(spark, zones, job, dataset, fmt, path, load, day or found["day"], found))
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(run, by_dataset))
+    if children:
+        take_files(spark, children, zones, load, day)
+
+
+# The states that end a job.
+ENDED = ("LOADED", "REJECTED", "FAILED")
+
+
+def _run_job(spark: SparkSession, zones: Zones, job: str, dataset: str, fmt: str, path: str, load: bool, day: str, found: Mapping) -> list[tuple[str, str, str]]:
+    """One job from VALIDATING to its end; the uploads an archive holds are returned."""
+    about = {"job_id": job, "dataset": dataset, "path": path, "format": fmt}
+    records: list[dict[str, object]] = [{**about, "status": "VALIDATING"}] if found["status"] == "UPLOADING" else []
+    inside: list[tuple[str, str, str]] = []
+    try:
+        if fmt == "zip":
+            inside = unpack_archive(spark, path, f"{zones.root}/expanded/{job}")
+            ended = {**about, "status": "LOADED", "loaded": 0} if inside else {**about, "status": "REJECTED", "error": "the archive holds no supported file"}
+        else:
+            ended = ingest_file(spark, path, fmt, dataset, job, zones, CONTENT_TYPES.get(fmt))
+            if load and ended["status"] == "TRANSFORMING":
+                records.append(ended)
+                ended = {**ended, "status": "LOADED", "loaded": load_batch(spark, dataset, job, zones, day)}
+    except Exception as error:  # noqa: BLE001  whatever went wrong belongs to this job alone
+        ended = {**about, "status": "FAILED", "error": str(error)[:2000]}
+    records.append(ended)
+    if ended["status"] in ("REJECTED", "FAILED"):
+        record_failure(spark, zones, job, dataset, str(ended["error"]), path, found["attempts"])
+    _log(spark, zones, records)
+    return inside
+
+
+def unpack_archive(spark: SparkSession, path: str, folder: str) -> list[tuple[str, str, str]]:
+    """Write an archive's members to the shared folder, byte for byte; returns them as uploads.
+
+    Spark's text writer closes each row with a separator, so a member is written as all but
+    its last byte, with that byte as the separator: one write for each different last byte.
+    """
+    members = cut_lineage(
+        expand_archives(spark, [path]).where("member is not null and length(content) > 0")
+        .withColumns({"fmt": F.lower(F.element_at(F.split("member", r"\."), -1)), "ending": F.hex(F.substring("content", -1, 1))})
+    )
+    endings = [r.ending for r in members.select("ending").distinct().collect()]  # at most 256
+    found: list[tuple[str, str, str]] = []
+    for ending in endings:
+        part = members.where(F.col("ending") == ending).withColumn("file", F.md5("member"))
+        body = F.expr("substring(content, 1, length(content) - 1)").cast("string")
+        target = f"{folder}/ending={ending}"
+        part.select(body.alias("value"), "dataset", "fmt", "file").repartition("dataset", "fmt", "file").write.mode("overwrite").partitionBy(
+            "dataset", "fmt", "file"
+        ).option("encoding", "ISO-8859-1").option("lineSep", bytes.fromhex(ending).decode("latin-1")).text(target)
+        found += [(r.dataset, r.fmt, f"{target}/dataset={r.dataset}/fmt={r.fmt}/file={r.file}") for r in part.select("dataset", "fmt", "file").distinct().collect()]
+    return found
+
+
+def resume(spark: SparkSession, zones: Zones, load: bool = True, day: str | None = None) -> int:
+    """Run the jobs that wait in UPLOADING, such as those set back by ``retriggers``; returns their number."""
+    waiting = _known_jobs(spark, zones)
+    take_files(spark, [(j["dataset"], j["format"], j["path"]) for j in waiting.values()], zones, load, day, again=True)
+    return len(waiting)
 
 
 def stream_ingest(
     spark: SparkSession, inbox: str, zones: Zones, checkpoint: str, files_per_batch: int = 1000, load: bool = True,
     day: str | None = None,
 ) -> StreamingQuery:
-    """Watch a folder ``<inbox>/<dataset>/…`` and take every new file once.
+    """Watch a folder ``<inbox>/<dataset>/…`` and take every new file once, each as its own job.
 
-    The stream carries file names only. Each micro-batch reads its files by dataset and
-    format with the batch operators. Job ids come from the batch number, and every
-    write replaces its own job's folder, so a replayed batch leaves the same tables.
+    The stream carries file names only. Jobs that were set back to UPLOADING run first.
     """
+    resume(spark, zones, load, day)
     schema = "path string, modificationTime timestamp, length long, content binary"
     arrivals = (
         spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true")
@@ -203,21 +313,7 @@ def stream_ingest(
     named = arrivals.select("path", dataset.alias("dataset"), F.lower(F.element_at(F.split("path", r"\."), -1)).alias("fmt"))
 
     def take(batch: DataFrame, number: int) -> None:
-        groups: dict[tuple[str, str], list[str]] = {}
-        for r in batch.collect():  # file names, at most files_per_batch
-            groups.setdefault((r["dataset"], r["fmt"]), []).append(r["path"])
-        records = []
-        for (name, fmt), paths in sorted(groups.items()):
-            job = f"{name}-{fmt}-{number}"
-            record = ingest_batch(spark, sorted(paths), fmt, name, job, zones)
-            records.append({"job_id": job, "dataset": name, "status": "UPLOADING"})
-            records.append(record)
-            if load and record["status"] == "TRANSFORMING":
-                at = day or str(spark.range(1).select(F.current_date().cast("string").alias("d")).first()["d"])
-                loaded = load_batch(spark, name, job, zones, at)
-                records.append({**record, "status": "LOADED", "loaded": loaded})
-        if records:
-            _log(spark, zones, records)
+        take_files(spark, [(r.dataset, r.fmt, r.path) for r in batch.collect()], zones, load, day)  # at most files_per_batch names
 
     return (
         named.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(take).start()

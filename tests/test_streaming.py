@@ -2,58 +2,112 @@
 
 from __future__ import annotations
 
+import json
+import zipfile
+
+import pytest
 from pyspark.sql import functions as F
 
-from sluicework.operators.ledger import current_jobs, dead_letters, retained
-from sluicework.sources.sinks import read_curated
+from sluicework.operators.ledger import check_transitions, current_jobs, retained, retriggers
+from sluicework.sources.sinks import load_curated, read_curated
 from sluicework.streaming import events as E
 from sluicework.streaming import ingest as N
 
 
-def test_files_arrive_get_cleaned_and_loaded_once(spark, tmp_path):
+def states(spark, zones):
+    """dataset/file name to its states in order."""
+    found = {}
+    for r in spark.read.parquet(zones.jobs).orderBy("seq").collect():
+        found.setdefault(f"{r.dataset}/{r.path.rsplit('/', 1)[-1]}", []).append(r.status)
+    return found
+
+
+def test_every_file_is_its_own_job(spark, tmp_path):
     inbox, zones = tmp_path / "inbox", N.Zones(str(tmp_path / "zones"))
-    (inbox / "people").mkdir(parents=True)
-    (inbox / "people" / "a.csv").write_text("id,email,n\n1,a@x.org,5\n2,b@x.org,6\n2,b@x.org,6\n" + "".join(f"{i},c{i}@x.org,{i}\n" for i in range(10, 110)) + "7,z@x.org,many\n")
-    (inbox / "broken").mkdir()
+    for folder in ("people", "broken"):
+        (inbox / folder).mkdir(parents=True)
+    (inbox / "people" / "a.csv").write_text("id,note,email,n\n1,x,a@x.org,5\n2,y,b@x.org,6\n2,y,b@x.org,6\n" + "".join(f"{i},z,c{i}@x.org,{i}\n" for i in range(10, 110)) + "7,w,z@x.org,many\n")
+    (inbox / "people" / "b.csv").write_text("email,n,note,id\nq@y.org,1,first,500\nr@y.org,2,second,501\n")
+    (inbox / "people" / "c.csv").write_text("id,note,email,n\n" + "".join(f"{i},x,d{i}@x.org,n/{i}\n" for i in range(3)))
     (inbox / "broken" / "b.csv").write_text('id,v\n"1,2\n')
-
-    def run():
-        N.stream_ingest(spark, str(inbox), zones, str(tmp_path / "state"), day="2024-01-01").awaitTermination()
+    (inbox / "broken" / "c.parquet").write_bytes(b"PAR1" + bytes(50))
+    with zipfile.ZipFile(inbox / "broken" / "more.zip", "w") as z:
+        z.writestr("in/Extra Rows.csv", "k,v\n1,a\n2,b")
+        z.writestr("lines.ndjson", '{"k": 1}\n{"k": 2}\n')
+        z.writestr("notes.txt", "x")
+        spark.range(7).coalesce(1).write.parquet(str(tmp_path / "pq"))
+        z.write(next((tmp_path / "pq").glob("*.parquet")), "cube.parquet")
+    with zipfile.ZipFile(inbox / "broken" / "none.zip", "w") as z:
+        z.writestr("notes.txt", "x")
+
+    def run(state="state", day="2024-01-01"):
+        N.stream_ingest(spark, str(inbox), zones, str(tmp_path / state), day=day).awaitTermination()
 
     run()
     rows = read_curated(spark, zones.curated("people"))
-    assert rows.count() == 102 and dict(rows.dtypes)["n"] == "bigint"
-    assert rows.where(F.col("email").endswith("@masked.invalid")).count() == 102
-    rejected = spark.read.json(zones.rejected("people") + "/*").collect()
-    assert [r["errors"] for r in rejected] == [['n: expected INT64, got "many"']]
-    jobs = {r["dataset"]: r for r in current_jobs(spark.read.parquet(zones.jobs)).collect()}
-    assert jobs["people"]["status"] == "LOADED" and jobs["people"]["duplicates_removed"] == 1 and jobs["people"]["loaded"] == 102
-    assert jobs["broken"]["status"] == "REJECTED"
-    failures = spark.read.parquet(zones.failures)
-    assert failures.count() == 1 and "quote" in failures.first()["error"]
-    assert dead_letters(failures, 1).count() == 1 and dead_letters(failures).count() == 0
-
-    run()  # nothing new: nothing changes
-    assert read_curated(spark, zones.curated("people")).count() == 102
-    (inbox / "people" / "c.csv").write_text("id,email,n\n500,q@x.org,1\n")
-    run()
-    assert read_curated(spark, zones.curated("people")).count() == 103
-
-
-def test_all_rows_bad_rejects_the_batch(spark, tmp_path):
+    assert rows.where("id >= 500").select("id", "note", "n").orderBy("id").collect() == [(500, "first", 1), (501, "second", 2)]
+    assert rows.count() == 102 + 2 and dict(rows.dtypes)["id"] == "bigint"
+    assert rows.where(F.col("email").endswith("@masked.invalid")).count() == rows.count()
+    rejected = [r.value for r in spark.read.option("recursiveFileLookup", "true").text(zones.rejected("people")).collect()]
+    assert rejected and not any("@x.org" in r or "@y.org" in r for r in rejected)
+    got = states(spark, zones)
+    loaded = ["UPLOADING", "VALIDATING", "TRANSFORMING", "LOADED"]
+    assert got["people/a.csv"] == got["people/b.csv"] == loaded
+    assert got["broken/b.csv"] == ["UPLOADING", "VALIDATING", "REJECTED"] == got["broken/none.zip"]
+    assert got["broken/c.parquet"] == ["UPLOADING", "VALIDATING", "FAILED"]
+    assert got["people/c.csv"] == ["UPLOADING", "VALIDATING", "TRANSFORMING", "FAILED"]  # text where the table has numbers
+    assert got["broken/more.zip"] == ["UPLOADING", "VALIDATING", "LOADED"]
+    for name, n in (("extra_rows", 2), ("lines", 2), ("cube", 7)):
+        assert read_curated(spark, zones.curated(name)).count() == n
+    log = spark.read.parquet(zones.jobs)
+    assert check_transitions(log).where("not is_allowed").count() == 0
+    jobs = {r.path.rsplit("/", 1)[-1]: r for r in current_jobs(log).where("dataset = 'people'").collect()}
+    assert jobs["a.csv"].duplicates_removed == 1 and jobs["a.csv"].rejected == 1 and jobs["a.csv"].loaded == 102
+    assert json.loads(jobs["b.csv"].masked) == {"email": "email"} and json.loads(jobs["b.csv"].schema)["id"] == "INT64"
+    assert spark.read.parquet(zones.failures).count() == 4
+
+    before = log.count(), rows.count()
+    run()  # nothing new
+    run("other-state", "2024-02-02")  # a new checkpoint on another day sees all files again
+    assert (spark.read.parquet(zones.jobs).count(), read_curated(spark, zones.curated("people")).count()) == before
+    assert spark.read.parquet(zones.failures).count() == 4
+
+    # Set back after the file was mended: the next run picks it up.
+    spark.range(4).coalesce(1).write.parquet(str(tmp_path / "good"))
+    (inbox / "broken" / "c.parquet").write_bytes(next((tmp_path / "good").glob("*.parquet")).read_bytes())
+    failed = log.where("status = 'FAILED' and dataset = 'broken'").first().job_id
+    retriggers(spark.read.parquet(zones.jobs), F.current_timestamp(), [failed]).write.mode("append").parquet(zones.jobs)
+    assert N.resume(spark, zones) == 1
+    assert states(spark, zones)["broken/c.parquet"][3:] == loaded and read_curated(spark, zones.curated("broken")).count() == 4
+
+
+def test_a_batch_that_does_not_fit_is_refused(spark, tmp_path):
+    path = str(tmp_path / "t")
+    load_curated(spark.createDataFrame([(1, 2.5)], "n long, w double"), path, "b1", "2024-01-01")
+    load_curated(spark.createDataFrame([(2, 7)], "n int, w long"), path, "b2", "2024-01-01")
+    with pytest.raises(ValueError, match="nothing was written"):
+        load_curated(spark.createDataFrame([(1.5,)], "n double"), path, "b3", "2024-01-01")
+    assert sorted((r.n, r.w) for r in read_curated(spark, path).collect()) == [(1, 2.5), (2, 7.0)]
+
+
+def test_a_file_without_a_data_row_is_rejected(spark, tmp_path):
     (tmp_path / "a.csv").write_text("v\n")
-    zones = N.Zones(str(tmp_path / "z"))
-    record = N.ingest_batch(spark, [str(tmp_path / "a.csv")], "csv", "d", "j1", zones)
+    record = N.ingest_file(spark, str(tmp_path / "a.csv"), "csv", "d", "j1", N.Zones(str(tmp_path / "z")))
     assert record["status"] == "REJECTED" and "empty" in record["error"]
 
 
-def test_parquet_passes_through(spark, tmp_path):
-    spark.range(5).write.parquet(str(tmp_path / "in"))
-    files = [str(p) for p in (tmp_path / "in").glob("*.parquet")]
-    zones = N.Zones(str(tmp_path / "z"))
-    record = N.ingest_batch(spark, files, "parquet", "nums", "j1", zones)
-    assert record["status"] == "TRANSFORMING"
-    assert N.load_batch(spark, "nums", "j1", zones, "2024-01-01") == 5
+def test_a_job_with_more_changes_than_an_arrow_batch(spark, tmp_path):
+    steps = ["UPLOADING", "VALIDATING", "TRANSFORMING", "LOADED"]
+    spark.createDataFrame([("j", i, s) for i, s in reversed(list(enumerate(steps)))], "job_id string, seq long, status string").coalesce(1).write.parquet(str(tmp_path / "log"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        changes = spark.readStream.schema("job_id string, seq long, status string").parquet(str(tmp_path / "log"))
+        E.guard_states(changes).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+            "checkpointLocation", str(tmp_path / "state")
+        ).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(r.accepted for r in spark.read.parquet(str(tmp_path / "out")).collect())
 
 
 def test_state_machine_accepts_only_expected_changes(spark, tmp_path):
