@@ -393,6 +393,7 @@ def sink_metrics(t):
     b = t.customer.groupBy(F.concat("c_mktsegment", F.lit(".count")).alias("metric_name")).agg(F.count("*").alias("metric_value"))
     Z.log_metrics(a, path, "run-1", "orders", F.current_timestamp())
     Z.log_metrics(b, path, "run-2", "customers", F.current_timestamp())
+    Z.log_metrics(a, path, "run-1", "orders", F.current_timestamp())  # a replay
     return t.spark.read.parquet(path).drop("timestamp")
 
 

@@ -11,7 +11,7 @@ from sluicework.catalog import relations as R
 from sluicework.catalog import summaries as M
 from sluicework.catalog import views as V
 from sluicework.catalog.registry import query
-from sluicework.catalog.sql import even, up, using
+from sluicework.catalog.sql import even, ridge, up, using
 from sluicework.functions import scalar as S
 from sluicework.operators import isolation as I
 from sluicework.operators import learning as L
@@ -137,7 +137,7 @@ def ml_gbt_classifier(t):
     return L.boost_classifier(rows, ["l_quantity", "l_discount", "l_tax"], "is_elite", TREES)[0]
 
 
-@query("ml_ridge_cv")
+@query("ml_ridge_cv", sql=ridge("lineitem", "l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey", ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", [0.01, 0.1, 1.0, 10.0, 100.0]))
 def ml_ridge_cv(t):
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
     table, _ = L.ridge_sweep(rows, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")

@@ -135,12 +135,15 @@ def st_events_window(t):
     out = scratch_path(t.spark, "windows")
 
     def keep(batch, number):
-        batch.write.mode("overwrite").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    stream = counts.writeStream.outputMode("complete").option("checkpointLocation", scratch_path(t.spark, "state")).trigger(availableNow=True).foreachBatch(keep).start()
+    # Update mode: a window leaves the state once the watermark has passed it.
+    stream = counts.writeStream.outputMode("update").option("checkpointLocation", scratch_path(t.spark, "state")).trigger(availableNow=True).foreachBatch(keep).start()
     stream.awaitTermination()
     wall = {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
-    return t.spark.read.parquet(out).withColumns(wall)
+    key = ["window_start", "window_end", "event_type"]
+    last = t.spark.read.parquet(out).groupBy(*key).agg(F.max_by(F.struct("n_events", "value_cents"), "batch").alias("last"))
+    return last.select(*key, "last.*").withColumns(wall)
 
 
 @query("st_load", sql="SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, DATE '1970-01-01' AS ingest_date, 'batch-0' AS batch_id FROM orders")
@@ -171,7 +174,17 @@ def st_ingest(t):
     return t.spark.read.parquet(zones.curated("customers")).select("c_custkey", "c_mktsegment", "c_nationkey", "c_name")
 
 
-@query("st_state_machine")
+def _machine_sql() -> str:
+    allowed = " OR ".join(f"(w.current_status = '{a}' AND o.status IN ({', '.join(repr(b) for b in after)}))" for a, after in L.NEXT_STATES.items() if after)
+    return using("job_events", body=f"""SELECT job_id, seq, status, accepted, current_status FROM walk""").replace("WITH ", "WITH RECURSIVE ", 1).replace("\nSELECT job_id, seq", f""",
+o AS (SELECT job_id, seq, status, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS n FROM job_events),
+walk AS (SELECT job_id, seq, status, n, status = 'UPLOADING' AS accepted, CASE WHEN status = 'UPLOADING' THEN status END AS current_status FROM o WHERE n = 1
+  UNION ALL SELECT job_id, seq, status, n, accepted, CASE WHEN accepted THEN status ELSE before END FROM
+    (SELECT o.*, w.current_status AS before, coalesce((w.current_status IS NULL AND o.status = 'UPLOADING') OR {allowed}, false) AS accepted FROM walk w JOIN o ON o.job_id = w.job_id AND o.n = w.n + 1))
+SELECT job_id, seq""", 1)
+
+
+@query("st_state_machine", sql=_machine_sql())
 def st_state_machine(t):
     """The event log replayed through the live state machine, every change judged."""
     log = B.job_events(t).select("job_id", "seq", "status")

@@ -313,6 +313,38 @@ TABLES["dominance"] = (("team_features",), f"""
               FROM team_features WINDOW y AS (PARTITION BY year))""")
 
 
+def ridge(table: str, key: str, columns: list[str], target: str, alphas: list[float], folds: int = 5) -> str:
+    """Coefficients of a three-column ridge fit by Cramer's rule, the alpha by held-out R²."""
+    x, y = ["x0", "x1", "x2"], "y"
+    names = [*x, y]
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    scaled = ", ".join(f"(CAST({c} AS DOUBLE) - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {n}" for c, n in zip(columns, x))
+    moments = ["count(*)::DOUBLE AS n", *[f"sum({a}) AS s_{a}" for a in names], *[f"sum({a} * {b}) AS p_{a}_{b}" for a, b in pairs]]
+    facts = ["n", *[f"s_{a}" for a in names], *[f"p_{a}_{b}" for a, b in pairs]]
+
+    def cell(i: int, j: int) -> str:
+        a, b = x[min(i, j)], x[max(i, j)]
+        return f"(p_{a}_{b} - s_{a} * s_{b} / n{' + alpha' if i == j else ''})"
+
+    def det(m: list[list[str]]) -> str:
+        (a, b, c), (d, e, f), (g, h, i) = m
+        return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+    inner = [[cell(i, j) for j in range(3)] for i in range(3)]
+    right = [f"(p_{a}_y - s_{a} * s_y / n)" for a in x]
+    weights = ", ".join(f"{det([[right[i] if j == k else inner[i][j] for j in range(3)] for i in range(3)])} / {det(inner)} AS w{k}" for k in range(3))
+    sse = "h.p_y_y - 2 * c * h.s_y + h.n * c * c" + "".join(f" - 2 * w{i} * h.p_{a}_y + 2 * c * w{i} * h.s_{a}" for i, a in enumerate(x))
+    sse += "".join(f" + {1 if i == j else 2} * w{i} * w{j} * h.p_{x[i]}_{x[j]}" for i in range(3) for j in range(i, 3))
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS feature_name, {even(f'w{i}', 4)} AS ridge_coefficient FROM fit" for i, c in enumerate(columns))
+    return f"""WITH z AS (SELECT CAST(CAST('0x' || substr(md5({key}), 1, 8) AS BIGINT) % {folds} AS INTEGER) AS fold, {scaled}, CAST({target} AS DOUBLE) AS y FROM {table}),
+f AS (SELECT fold, {', '.join(moments)} FROM z GROUP BY fold), t AS (SELECT {', '.join(f'sum({c}) AS {c}' for c in facts)} FROM f),
+a(alpha) AS (VALUES {', '.join(f'({a}::DOUBLE)' for a in alphas)}),
+train AS (SELECT alpha, fold, {', '.join(f't.{c} - f.{c} AS {c}' for c in facts)} FROM f, t, a), w AS (SELECT *, {weights} FROM train),
+i AS (SELECT *, (s_y - w0 * s_x0 - w1 * s_x1 - w2 * s_x2) / n AS c FROM w),
+r AS (SELECT alpha, avg(1 - ({sse}) / (h.p_y_y - h.s_y * h.s_y / h.n)) AS r2 FROM i JOIN f h ON h.fold = i.fold GROUP BY alpha),
+fit AS (SELECT {weights} FROM t, (SELECT alpha FROM r ORDER BY r2 DESC, alpha LIMIT 1)) {rows}"""
+
+
 def using(*names: str, body: str) -> str:
     """``body`` with the named bound tables, and all they need, as a WITH list."""
     order: list[str] = []

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from sluicework.functions import constants as K
 from sluicework.functions.scalar import half_even
 from sluicework.operators.reshape import stack_frames
 from sluicework.operators.skew import rank_rows
-from sluicework.session import shared_dir
+from sluicework.session import cut_lineage, shared_dir
 
 FEATURES = "features"
 
@@ -91,9 +92,10 @@ def impact_score(point, centre):
 
 
 def fold_numbers(df: DataFrame, key: Sequence[str], folds: int = 5, blocks: bool = False) -> DataFrame:
-    """Append ``fold``: by key hash, or as consecutive blocks of the key order."""
+    """Append ``fold``: by a digest of the key as text, or as consecutive blocks of the key order."""
     if not blocks:
-        return df.withColumn("fold", F.pmod(F.xxhash64(*key), F.lit(folds)).cast("int"))
+        digest = F.substring(F.md5(F.concat_ws("-", *[F.col(k).cast("string") for k in key])), 1, 8)
+        return df.withColumn("fold", (F.conv(digest, 16, 10).cast("long") % folds).cast("int"))
     ranked = rank_rows(df, [F.asc(k) for k in key], "__rank")
     total = df.agg(F.count("*").alias("n")).scalar()
     return ranked.withColumn("fold", F.floor((F.col("__rank") - 1) * folds / total).cast("int")).drop("__rank")
@@ -128,8 +130,8 @@ def boost_out_of_fold(
     features = [f"__x_{c}" for c in columns]
     scaled = scale(df.withColumns({f"__x_{c}": F.col(c) for c in columns}), features)
     scaled = scaled.withColumn("__y", F.coalesce(F.col(target).cast("double"), F.lit(0.0)))
-    data = assemble(fold_numbers(scaled, key, folds, blocks), features).drop(*features)
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    # Stored, not cached: the returned rows are worked out from it later.
+    data = cut_lineage(assemble(fold_numbers(scaled, key, folds, blocks), features).drop(*features))
     learner = GBTRegressor(
         featuresCol=FEATURES, labelCol="__y", predictionCol="prediction", maxIter=trees, maxDepth=depth,
         stepSize=rate, subsamplingRate=subsample, minInstancesPerNode=min_leaf, seed=seed,
@@ -212,34 +214,48 @@ def ridge_sweep(
     """(feature_name, ridge_coefficient rows, {alpha, r2}): the alpha with the best mean
     held-out R² over key-hashed folds, refitted on all rows.
 
-    The penalty is on the summed squared error, so Spark's per-row form divides alpha by
-    the number of rows. The solver needs one pass and a columns × columns matrix.
+    One pass sums the products of the columns and the target in each fold; every fit and
+    every score follows from these small matrices. The penalty is on the summed squared
+    error, the intercept has none.
     """
+    names = [*columns, "__y"]
     scaled = scale(df, columns).withColumn("__y", F.coalesce(F.col(target).cast("double"), F.lit(0.0)))
-    data = assemble(fold_numbers(scaled, key, folds), columns).select("fold", FEATURES, "__y")
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    data = fold_numbers(scaled, key, folds)
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    sums = data.groupBy("fold").agg(
+        F.count("*").cast("double").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(names)],
+        *[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p{i}_{j}") for i, j in pairs],
+    )
+    moments = []
+    for r in sorted(sums.collect(), key=lambda r: r["fold"]):  # one row per fold
+        m = np.zeros((len(names) + 1, len(names) + 1))
+        m[0, 0] = r["n"]
+        m[0, 1:] = m[1:, 0] = [r[f"s{i}"] for i in range(len(names))]
+        for i, j in pairs:
+            m[i + 1, j + 1] = m[j + 1, i + 1] = r[f"p{i}_{j}"]
+        moments.append(m)
+    if not moments:
+        raise ValueError("no rows to fit")
+    whole = sum(moments)
+    scores = {a: float(np.mean([_r2(m, _ridge(whole - m, a)) for m in moments])) for a in alphas}
+    alpha = max(alphas, key=lambda a: scores[a])
+    weights = _ridge(whole, alpha)
+    rows = [(c, round(float(w), 4)) for c, w in zip(columns, weights[1:])]
+    table = df.sparkSession.createDataFrame(rows, "feature_name string, ridge_coefficient double")
+    return table, {"ridge_alpha": alpha, "ridge_r2": round(_r2(whole, weights), 4)}
 
-    def fit(rows: DataFrame, n: int, alpha: float):
-        return LinearRegression(
-            featuresCol=FEATURES, labelCol="__y", solver="normal", elasticNetParam=0.0,
-            regParam=alpha / n, standardization=False,
-        ).fit(rows)
 
-    try:
-        sizes = {r["fold"]: r["count"] for r in data.groupBy("fold").count().collect()}  # one row per fold
-        total = sum(sizes.values())
-        scores = {}
-        for alpha in alphas:
-            found = []
-            for fold, size in sizes.items():
-                model = fit(data.where(F.col("fold") != fold), total - size, alpha)
-                found.append(model.evaluate(data.where(F.col("fold") == fold)).r2)
-            scores[alpha] = sum(found) / len(found)
-        alpha = max(alphas, key=lambda a: scores[a])
-        model = fit(data, total, alpha)
-        r2 = model.evaluate(data).r2
-    finally:
-        data.unpersist()
-    rows = [(c, round(float(w), 4)) for c, w in zip(columns, model.coefficients)]
-    table = df.sparkSession.createDataFrame(rows, "feature_name string, ridge_coefficient double")
-    return table, {"ridge_alpha": alpha, "ridge_r2": round(r2, 4)}
+def _ridge(m: np.ndarray, alpha: float) -> np.ndarray:
+    """Intercept and weights from the moments of (1, columns, target)."""
+    n, means = m[0, 0], m[0] / m[0, 0]
+    centred = m - n * np.outer(means, means)
+    inner = centred[1:-1, 1:-1] + alpha * np.eye(len(m) - 2)
+    weights = np.linalg.solve(inner, centred[1:-1, -1])
+    return np.concatenate(([means[-1] - means[1:-1] @ weights], weights))
+
+
+def _r2(m: np.ndarray, weights: np.ndarray) -> float:
+    """R² of the weights on rows with these moments."""
+    with_target = np.append(-weights, 1.0)
+    spread = m[-1, -1] - m[0, -1] ** 2 / m[0, 0]
+    return 1.0 - float(with_target @ m @ with_target) / spread if spread > 0 else 0.0

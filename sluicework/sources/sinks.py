@@ -126,8 +126,9 @@ def write_rejects(records: DataFrame, path: str) -> None:
 
 
 def log_metrics(metrics: DataFrame, path: str, run_id: str, name: str, at: Column) -> None:
-    """Append (metric_name, metric_value) rows to the metrics log."""
-    run_metrics(metrics, run_id, name, at).write.mode("append").parquet(path)
+    """Put (metric_name, metric_value) rows into the metrics log; logging a run again replaces its rows."""
+    rows = run_metrics(metrics, run_id, name, at)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "pipeline_name").parquet(path)
 
 
 def run_metrics(metrics: DataFrame, run_id: str, name: str, at: Column) -> DataFrame:
