@@ -1,10 +1,12 @@
 """Model operators and the fourteen packaged analyses.
 
 Fitted values depend on the optimiser, so fits have no SQL counterpart; scaling,
-explanations and metrics do. Registered fits use fewer trees than the defaults of the
-analyses, on all rows of the tables.
+explanations and metrics do. Registered boosting fits use fewer trees than the defaults of
+the analyses; everything else runs with the defaults, on all rows of the tables.
 """
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from sluicework.catalog import relations as R
@@ -15,12 +17,12 @@ from sluicework.catalog.sql import even, ridge, up, using
 from sluicework.functions import scalar as S
 from sluicework.operators import isolation as I
 from sluicework.operators import learning as L
+from sluicework.operators import quality as Q
 from sluicework.plans import analyses as P
 from sluicework.plans import bindings as B
 from sluicework.session import cut_lineage
 
 TREES = 5
-STARTS = 2
 QUICK = P.Boost(trees=TREES, depth=4)
 
 
@@ -57,7 +59,7 @@ def ml_style_columns(t):
 @query("ml_kmeans_sweep")
 def ml_kmeans_sweep(t):
     rows = B.embedding_rows(t)
-    _, sweep = L.kmeans_sweep(rows, places(rows), range(3, 7), STARTS)
+    _, sweep = L.kmeans_sweep(rows, places(rows), range(3, 7))
     return sweep
 
 
@@ -66,14 +68,14 @@ def ml_kmeans_clusters(t):
     """Supplier-season clusters with distance to the own centre."""
     columns = ["points", "pass_td", "penalties", "rush_share"]
     scaled = L.scale(cut_lineage(V.team_view(t)).select("year", "team", *columns), columns)
-    model, _ = L.kmeans_sweep(scaled, columns, [3, 4], STARTS)
+    model, _ = L.kmeans_sweep(scaled, columns, [3, 4])
     return L.assign_clusters(scaled, model, columns).select("year", "team", "cluster_id", "impact_score")
 
 
 @query("ml_isolation_forest")
 def ml_isolation_forest(t):
     rows = B.embedding_rows(t)
-    return I.find_anomalies(rows, ["vec_id"], places(rows), 0.05, trees=50).select("vec_id", "anomaly_score", "is_anomaly")
+    return I.find_anomalies(rows, ["vec_id"], places(rows), 0.05).select("vec_id", "anomaly_score", "is_anomaly")
 
 
 @query("ml_isolation_forest_lines")
@@ -81,7 +83,7 @@ def ml_isolation_forest_lines(t):
     """Every line item scored on its four amounts."""
     columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    return I.find_anomalies(t.lineitem.select(*key, *columns), key, columns, 0.05, trees=20).select(*key, "anomaly_score", "is_anomaly")
+    return I.find_anomalies(t.lineitem.select(*key, *columns), key, columns, 0.05).select(*key, "anomaly_score", "is_anomaly")
 
 
 _CELLS = "SELECT c_custkey, 'n_orders' AS feature, abs(n_orders - avg(n_orders) OVER ()) AS d, c_nationkey FROM clustered UNION ALL SELECT c_custkey, 'spent', abs(spent - avg(spent) OVER ()), c_nationkey FROM clustered UNION ALL SELECT c_custkey, 'score', abs(score - avg(score) OVER ()), c_nationkey FROM clustered"
@@ -147,21 +149,29 @@ def ml_ridge_cv(t):
 # The packaged analyses, one main table each
 
 
+def gate(profile, **changes):
+    """The quality gate of an analysis, with the limits that the order tables cannot keep replaced."""
+    return dataclasses.replace(Q.PROFILES[profile], **changes)
+
+
+# Suppliers win more often than a team can in a season, and all reach the playoffs.
+_TEAM = gate("nfl_team", ranges={}, skip_variance=(*Q.PROFILES["nfl_team"].skip_variance, "is_playoff"))
+
 def _job(name, run, sql=None):
     query(f"job_{name}", sql)(run)
 
 
-_job("player_clusters", lambda t: P.player_clusters(V.player_view(t).drop("red_cards", "yellow_cards"), range(3, 6), STARTS, rules=None)["player_clusters"])
-_job("player_anomalies", lambda t: P.player_anomalies(V.player_view(t), trees=50, rules=None)["player_anomalies"])
-_job("player_ratings", lambda t: P.player_ratings(V.player_view(t), QUICK, rules=None)["player_rating_predictions"])
-_job("team_archetypes", lambda t: P.team_archetypes(V.team_view(t), range(3, 5), STARTS, rules=None)["team_archetypes"])
-_job("team_wins", lambda t: P.team_wins(V.team_view(t), P.Boost(trees=TREES, depth=4, rate=0.05, min_leaf=10), rules=None)["team_feature_importances"])
-_job("team_profile", lambda t: P.team_profile(V.team_view(t), rules=None)["team_optimal_profile"])
+_job("player_clusters", lambda t: P.player_clusters(V.player_view(t), rules=gate("player", max_null_rate=0.6))["player_clusters"])
+_job("player_anomalies", lambda t: P.player_anomalies(V.player_view(t), rules=gate("player", max_null_rate=0.6))["player_anomalies"])
+_job("player_ratings", lambda t: P.player_ratings(V.player_view(t), QUICK, rules=gate("player", max_null_rate=0.6))["player_rating_predictions"])
+_job("team_archetypes", lambda t: P.team_archetypes(V.team_view(t), rules=_TEAM)["team_archetypes"])
+_job("team_wins", lambda t: P.team_wins(V.team_view(t), P.Boost(trees=TREES, depth=4, rate=0.05, min_leaf=10), rules=_TEAM)["team_feature_importances"])
+_job("team_profile", lambda t: P.team_profile(V.team_view(t), rules=_TEAM)["team_optimal_profile"])
 _job("positional_values", lambda t: P.positional_values(cut_lineage(R.importances(t).withColumn("model_type", F.lit("controllable"))))["positional_value_weights"], R.with_positions("SELECT * FROM weights"))
-_job("team_dominance", lambda t: P.team_dominance(V.team_view(t), TREES, rules=None)["team_dominance_drivers"])
-_job("driver_positions", lambda t: P.driver_positions(V.driver_view(t), QUICK, rules=None)["f1_driver_predictions"])
-_job("constructor_rankings", lambda t: P.constructor_rankings(V.constructor_view(t), range(3, 5), STARTS, rules=None)["f1_constructor_rankings"])
-_job("pitstop_impact", lambda t: P.pitstop_impact(V.pitstop_view(t), QUICK, rules=None)["f1_pitstop_analysis"])
-_job("match_margins", lambda t: P.match_margins(V.match_view(t), ("matchId",), QUICK, rules=None)["nrl_match_predictions"])
-_job("league_rankings", lambda t: P.league_rankings(V.season_view(t), range(3, 5), STARTS, rules=None)["nrl_team_rankings"])
-_job("coaching_insights", lambda t: P.coaching_insights(V.coaching_view(t), R.matches(t), range(3, 5), STARTS, rules=None)["nrl_team_profiles"])
+_job("team_dominance", lambda t: P.team_dominance(V.team_view(t), TREES, rules=_TEAM)["team_dominance_drivers"])
+_job("driver_positions", lambda t: P.driver_positions(V.driver_view(t), QUICK, rules=gate("f1_driver", max_null_rate=0.6))["f1_driver_predictions"])
+_job("constructor_rankings", lambda t: P.constructor_rankings(V.constructor_view(t))["f1_constructor_rankings"])
+_job("pitstop_impact", lambda t: P.pitstop_impact(V.pitstop_view(t), QUICK)["f1_pitstop_analysis"])
+_job("match_margins", lambda t: P.match_margins(V.match_view(t), ("matchId",), QUICK)["nrl_match_predictions"])
+_job("league_rankings", lambda t: P.league_rankings(V.season_view(t), rules=gate("nrl_team", ranges={}))["nrl_team_rankings"])
+_job("coaching_insights", lambda t: P.coaching_insights(V.coaching_view(t), R.matches(t), rules=gate("nrl_coaching", ranges={}))["nrl_team_profiles"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark import StorageLevel
@@ -60,10 +61,9 @@ def kmeans_sweep(df: DataFrame, columns: Sequence[str], ks: Sequence[int], start
     best, sweep = None, []
     try:
         for k in ks:
-            fits = [
-                KMeans(k=k, seed=seed + s, featuresCol=FEATURES, predictionCol="cluster_id").fit(data)
-                for s in range(starts)
-            ]
+            learners = [KMeans(k=k, seed=seed + s, maxIter=300, featuresCol=FEATURES, predictionCol="cluster_id") for s in range(starts)]
+            with ThreadPoolExecutor(min(8, starts)) as pool:  # the starts are independent jobs
+                fits = list(pool.map(lambda learner: learner.fit(data), learners))
             model = min(fits, key=lambda m: m.summary.trainingCost)
             labelled = model.transform(data)
             found = labelled.select("cluster_id").distinct().limit(2).count()
@@ -136,11 +136,10 @@ def boost_out_of_fold(
         featuresCol=FEATURES, labelCol="__y", predictionCol="prediction", maxIter=trees, maxDepth=depth,
         stepSize=rate, subsamplingRate=subsample, minInstancesPerNode=min_leaf, seed=seed,
     )
-    held_out = []
-    for fold in range(folds):
-        training = data.where(F.col("fold") != fold)
-        held_out.append(learner.fit(training).transform(data.where(F.col("fold") == fold)))
-    final = learner.fit(data)
+    parts = [data.where(F.col("fold") != fold) for fold in range(folds)]
+    with ThreadPoolExecutor(folds + 1) as pool:  # the fits are independent jobs
+        *models, final = pool.map(learner.fit, [*parts, data])
+    held_out = [model.transform(data.where(F.col("fold") == fold)) for fold, model in enumerate(models)]
     rows = stack_frames(held_out).withColumns(
         {
             "residual": half_even(F.col("prediction") - F.col("__y"), 4),
