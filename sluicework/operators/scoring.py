@@ -37,9 +37,9 @@ def composite_index(
 ) -> DataFrame:
     """Min-max each metric, add them up by weight (plus ``extra``), rounded to 4 places.
 
-    The entity table is stored first: the extremes and the scores both read it.
+    The extremes and the scores both read the entity table, so it should be a stored one.
     """
-    scaled = min_max(cut_lineage(df), list(weights), invert)
+    scaled = min_max(df, list(weights), invert)
     total = weighted_sum({f"norm_{c}": w for c, w in weights.items()})
     if extra is not None:
         total = total + extra

@@ -253,7 +253,7 @@ def constructor_index(features: DataFrame) -> DataFrame:
         F.count_distinct("year").alias("seasons_active"),
     )
     peak = A.best_row(features, ["constructor"], "points_per_race", "year", "peak_season", "year")
-    return S.composite_index(totals.join(peak, "constructor", "left"), K.CONSTRUCTOR_WEIGHTS, ["mean_avg_finish"])
+    return S.composite_index(cut_lineage(totals.join(peak, "constructor", "left")), K.CONSTRUCTOR_WEIGHTS, ["mean_avg_finish"])
 
 
 def constructor_rankings(features: DataFrame, ks: Sequence[int] = range(3, 6), starts: int = 10, rules: QualityRules | None = PROFILES["f1_constructor"]) -> Tables:
@@ -341,7 +341,7 @@ def league_index(features: DataFrame) -> DataFrame:
     peak = A.best_row(features, ["team"], "win_rate", "year", "peak_season", "year")
     modern = S.modern_dominance(features).select("team", "modern_dominance")
     wide = totals.withColumn("defensive_strength", F.col("mean_avg_points_against"))
-    wide = wide.join(peak, "team", "left").join(modern, "team", "left")
+    wide = cut_lineage(wide.join(peak, "team", "left").join(modern, "team", "left"))
     return S.composite_index(wide, K.LEAGUE_WEIGHTS, ["defensive_strength"], S.longevity(wide))
 
 
