@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import io
 import re
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -27,6 +28,7 @@ SPAN = 24
 UNKNOWN = "und"
 RUNS = re.compile(r"[^\W\d_]+")
 HIDDEN = 16
+GROUP, GROUP_SIZE = 512, 1_000_000  # texts, and characters of all but the last, that are read together
 DIRECTIONS = ("f", "b")
 
 
@@ -118,15 +120,35 @@ class Tagger:
                 np.add.at(sums, owners[part], np.column_stack((probs.sum(axis=1), vote.sum(axis=1))))
         return [row.tobytes() for row in sums.astype(np.float32)]
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, mean probability over all letter bytes); ``und`` and 0 without a letter. Ties go to the first name."""
-        runs = RUNS.findall((text or "").lower())
-        if runs:
-            sums = np.frombuffer(b"".join(self.memory.over(runs)), np.float32).reshape(-1, len(self.languages) + 1).sum(axis=0, dtype=np.float64)
-            if sums[-1] > 0:
-                best = int(sums[:-1].argmax())
-                return self.languages[best], round(float(min(1.0, sums[best] / sums[-1])), 4)
-        return UNKNOWN, 0.0
+    def predict(self, texts: Sequence[str | None]) -> list[tuple[str, float]]:
+        """(language, mean probability over all letter bytes) of each text; ``und`` and 0 without a letter.
+
+        Ties go to the first name. The texts of a group share their unknown runs, so that the
+        network reads many at a time.
+        """
+        found, at = [], 0
+        while at < len(texts):
+            group, size = [], 0
+            while at < len(texts) and len(group) < GROUP and size < GROUP_SIZE:
+                group.append(RUNS.findall((texts[at] or "").lower()) if self.languages else [])
+                size += len(texts[at] or "")
+                at += 1
+            found += self._predict_group(group)
+        return found
+
+    def _predict_group(self, group: list[list[str]]) -> list[tuple[str, float]]:
+        out = [(UNKNOWN, 0.0)] * len(group)
+        filled = [i for i, runs in enumerate(group) if runs]
+        if not filled:
+            return out
+        held = self.memory.over([run for i in filled for run in group[i]])
+        sums = np.frombuffer(b"".join(held), np.float32).reshape(-1, len(self.languages) + 1).astype(np.float64)
+        starts = np.concatenate(([0], np.cumsum([len(group[i]) for i in filled])[:-1]))
+        for i, row in zip(filled, np.add.reduceat(sums, starts, axis=0), strict=True):
+            if row[-1] > 0:
+                best = int(row[:-1].argmax())
+                out[i] = self.languages[best], round(float(min(1.0, row[best] / row[-1])), 4)
+        return out
 
     def _gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy at the letter bytes of rows ``x`` of languages ``y``, and its gradient through time."""
@@ -236,7 +258,7 @@ def identify(docs: DataFrame, tagger: Tagger, id_col: str = "doc_id", text_col:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = _tagger(blob)
-        found = [own.predict(t.as_py()) for t in batch.column(1)]
+        found = own.predict(batch.column(1).to_pylist())
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["id", "lang_pred", "score"]
         )
@@ -250,7 +272,7 @@ def keep_identified(docs: DataFrame, tagger: Tagger, least: float = 0.0, text_co
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = _tagger(blob)
-        found = [own.predict(t.as_py()) for t in batch.column(at)]
+        found = own.predict(batch.column(at).to_pylist())
         return batch.filter(pa.array([language != UNKNOWN and score >= least for language, score in found], pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)

@@ -59,15 +59,14 @@ def test_pooled_probabilities_equal_reading_every_byte():
             sums += probs[vote].sum(axis=0)
             n += vote.sum()
     assert n == sum(len(c.encode()) for c in text.lower() if c.isalpha())
-    lang, score = net.predict(text)
+    (lang, score), (longer, _), none = net.predict([text, text * 50, None])
     assert lang == "abc"[int(sums.argmax())] and score == pytest.approx(sums.max() / n, abs=1e-3)
-    assert net.predict(text * 50)[0] == lang
+    assert longer == lang and none == ("und", 0.0)
 
 
 def test_no_letter_is_undetermined():
     net = L.Tagger.fresh(["a", "b"])
-    for text in (None, "", "  \n", "12 ½ — !?", "_ __"):
-        assert net.predict(text) == ("und", 0.0)
+    assert net.predict([None, "", "  \n", "12 ½ — !?", "_ __"]) == [("und", 0.0)] * 5 and net.predict([]) == []
 
 
 def test_training_uses_no_held_out_row_and_no_row_without_label(spark, docs_of):
