@@ -16,6 +16,7 @@ id closes each document, and the topmost byte of an offset, always zero, closes
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,17 +37,24 @@ class Tokenizer:
     """A vocabulary of the tokenizers library whose pre-tokeniser never keeps ASCII white space.
 
     Words between white space are then encoded independently of each other, and each different
-    one once for each Python worker. A text that holds the string of an added token is encoded
-    whole.
+    one once for each Python worker. With a normaliser that lower-cases, ASCII letters are
+    lower-cased first; with a pre-tokeniser that parts letters from other signs, a full stop or
+    comma that ends a word after an ASCII letter is a word of its own. A text that holds the
+    string of an added token is encoded whole.
     """
 
+    MARKS = re.compile(rb"(?<=[A-Za-z])([.,])(?=[ \n]|$)")
+
     def __init__(self, path: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer as Library
 
         self.library, self.dtype = Library.from_file(path), dtype
         self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-        self.memory = WordMemory(self._cut)
+        self.memory = WordMemory(self._cut, limit=400_000)
+        normal, cutter = self.library.normalizer, self.library.pre_tokenizer
+        self.lowers = normal is not None and normal.normalize_str("Ab Z") == "ab z"
+        self.parts = cutter is not None and [p for p, _ in cutter.pre_tokenize_str("ab. cd, ef.")] == ["ab", ".", "cd", ",", "ef", "."]
 
     def _cut(self, words: list[bytes]) -> list[bytes]:
         made = self.library.encode_batch([w.decode() for w in words], add_special_tokens=False)
@@ -59,8 +67,12 @@ class Tokenizer:
             data = (text or "").encode()
             if any(a in data for a in self.added):
                 out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes())
-            else:
-                out.append(b"".join(self.memory.over(data.split())))
+                continue
+            if self.lowers:
+                data = data.lower()
+            if self.parts:
+                data = self.MARKS.sub(rb" \1", data)
+            out.append(b"".join(self.memory.over(data.split())))
         return out
 
 
@@ -122,7 +134,9 @@ def write(docs: DataFrame, vocabulary_path: str, end_id: int, folder: str, id_co
 
 def _index(spark: SparkSession, staged: str, closing: bytes) -> DataFrame:
     """(part, position, doc_id, start, n_tokens): a part's base is the prefix sum of the sizes of earlier parts."""
-    lines = spark.read.option("encoding", "ISO-8859-1").option("lineSep", closing.decode("latin-1")).text(f"{staged}/kind=documents")
+    # A table without rows leaves no folder of either kind, so the parts are chosen by their path.
+    lines = spark.read.schema("value string").option("encoding", "ISO-8859-1").option("lineSep", closing.decode("latin-1")).text(staged)
+    lines = lines.where("_metadata.file_path like '%/kind=documents/%'")
     cell = F.split("value", ",")
     rows = lines.select(
         cell[0].cast("int").alias("part"), cell[1].cast("long").alias("position"),
@@ -141,7 +155,7 @@ def _index(spark: SparkSession, staged: str, closing: bytes) -> DataFrame:
 
 def files(spark: SparkSession, folder: str, content: bool) -> DataFrame:
     """(part, path, bytes[, content]) of the id files; a part is the number Spark gave the file's task."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/staged/kind=ids")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/staged").where("path like '%/kind=ids/%'")
     part = F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("part")
     return found.select(part, "path", F.col("length").alias("bytes"), *(["content"] if content else []))
 
