@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from sluicework.session import cut_lineage, ship_package
 
 
+AT_ONCE = 512
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the given tables; the workers get this package, since its functions run in tasks."""
     ship_package(spark)
@@ -23,15 +26,16 @@ def task_count(df: DataFrame) -> int:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
-    """``fn`` over every Arrow batch of the rows."""
+    """``fn`` over the rows, at most ``AT_ONCE`` of an Arrow batch at a time, so that few texts are held as Python objects."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = fn(batch)
-            if isinstance(made, pa.RecordBatch):
-                yield made
-            else:
-                yield from made
+            for at in range(0, max(1, batch.num_rows), AT_ONCE):
+                made = fn(batch.slice(at, AT_ONCE))
+                if isinstance(made, pa.RecordBatch):
+                    yield made
+                else:
+                    yield from made
 
     return df.mapInArrow(run, schema)
 

@@ -51,7 +51,7 @@ class Tagger:
 
     def __init__(self, languages: list[str], weights: dict[str, np.ndarray]):
         self.languages, self.w = languages, weights
-        self.memory = WordMemory(self._read_runs)
+        self.memory = WordMemory(self._read_runs, limit=120_000)
 
     @classmethod
     def fresh(cls, languages: list[str], hidden: int = HIDDEN, seed: int = 3) -> Tagger:
@@ -210,11 +210,11 @@ class Tagger:
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g**2
                 self.w[k] -= (pace * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-        self.memory = WordMemory(self._read_runs)
+        self.memory = WordMemory(self._read_runs, limit=120_000)
         return losses
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)  # a worker reads with one network, and its memory of runs is large
 def _tagger(blob: bytes) -> Tagger:
     return Tagger.load(blob)
 

@@ -187,21 +187,22 @@ def link_fingerprints(points: DataFrame, radius: int = 2, shard_rows: int = SHAR
     sample = np.sort(np.array([r.fp for r in picked.limit(2 * sample_rows).collect()], np.int64).view(np.uint64))
     tree = ShardTree(sample, shards, radius)
 
-    def route(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        values = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        for shard, part, at_home in tree.route(values):
-            if len(part):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(part), shard, np.int32)), pa.array(part.view(np.int64)), pa.array(np.full(len(part), at_home))],
-                    ["shard", "fp", "home"],
-                )
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            for shard, part, at_home in tree.route(values):
+                if len(part):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(part), shard, np.int32)), pa.array(part.view(np.int64)), pa.array(np.full(len(part), at_home))],
+                        ["shard", "fp", "home"],
+                    )
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         values = rows["fp"].to_numpy(np.int64).view(np.uint64)
         home = rows["home"].to_numpy(bool)
         return spanning_links(values[home], values[~home], radius)
 
-    routed = map_arrow(points.select("fp"), route, "shard int, fp long, home boolean")
+    routed = points.select("fp").mapInArrow(route, "shard int, fp long, home boolean")
     return routed.groupBy("shard").applyInPandas(search, "a long, b long")
 
 
