@@ -1,0 +1,90 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+
+import corpus_pipeline
+from sluicework.llm import nearcopies as N
+
+
+def plain_set(text):
+    words = "".join(c.lower() if c.isascii() else c for c in text or "").encode().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) or frozenset([tuple(words)] if words else [])
+
+
+def plain_components(rows):
+    """Groups by brute force over all pairs of sets of comparable size."""
+    top, least = {}, {}
+    for i, t in rows:
+        s = plain_set(t)
+        least[s] = min(i, least.get(s, i))
+    sets = sorted(least, key=len)
+    parent = {s: s for s in sets}
+
+    def root(s):
+        while parent[s] != s:
+            s = parent[s]
+        return s
+
+    for k, a in enumerate(sets):
+        for b in sets[k + 1 :]:
+            if 4 * len(b) > 5 * len(a):
+                break
+            if 5 * len(a & b) >= 4 * len(a | b):
+                x, y = root(a), root(b)
+                if x != y:
+                    x, y = sorted((x, y), key=least.get)
+                    parent[y] = x
+    for i, t in rows:
+        top[i] = least[root(plain_set(t))]
+    return top
+
+
+def edited(words, draw, edits):
+    words = list(words)
+    for at in draw.sample(range(len(words)), edits):
+        words[at] = f"new{draw.randrange(10**9)}"
+    return " ".join(words)
+
+
+@pytest.fixture(scope="module")
+def planted():
+    """Texts with few words replaced, a large group of edited copies of one text, and a common line in many texts."""
+    draw = random.Random(5)
+    rows = []
+    for _ in range(40):
+        base = [f"w{draw.randrange(5000)}" for _ in range(draw.randrange(100, 400))]
+        rows += [" ".join(base), edited(base, draw, 1), edited(base, draw, 2), edited(base, draw, 40)]
+    base = [f"w{draw.randrange(5000)}" for _ in range(150)]
+    rows += [edited(base, draw, k % 6) for k in range(240)]
+    line = " ".join(f"w{draw.randrange(5000)}" for _ in range(40))
+    rows += [" ".join(f"w{draw.randrange(5000)}" for _ in range(20)) + " " + line for _ in range(80)] + [line, line.upper(), "", None, "one two", "One two", "one"]
+    return [(1000 - 2 * i, t) for i, t in enumerate(rows)]
+
+
+def test_one_changed_word_is_found(docs_of):
+    draw = random.Random(3)
+    base = [f"w{draw.randrange(5000)}" for _ in range(200)]
+    docs = docs_of([(2, " ".join(base)), (5, edited(base, draw, 1)), (7, edited(base, draw, 2)), (9, edited(base, draw, 30))])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(docs.sparkSession, docs, "").collect()) == [2, 9]
+
+
+def test_groups_equal_brute_force(docs_of, planted):
+    got = {r.id: r.component for r in N.near_copies(docs_of(planted)).collect()}
+    assert got == plain_components(planted)
+
+
+def test_tables_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    assert {r.id: r.component for r in N.near_copies(docs).collect()} == plain_components(rows)
+
+
+def test_odd_rows(docs_of):
+    assert N.deduplicate(docs_of([])).count() == 0
+    base = "the quick brown fox jumps over the lazy dog and runs far away from here"
+    docs = docs_of([(5, base), (3, base), (9, base.upper()), (1, "else"), (1, "else"), (2, None), (4, ""), (None, base)])
+    kept = N.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, base), (1, "else"), (2, None), (None, base)], key=str)
