@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from sluicework.llm.common import map_arrow
 from sluicework.llm.graph import components
+from sluicework.llm.nearcopies import deduplicate  # noqa: F401 - verified on the texts, not on fingerprints
 from sluicework.session import cut_lineage
 
 SEED = 42
@@ -218,16 +219,3 @@ def near_duplicates(prints: DataFrame, radius: int = 2) -> DataFrame:
     tops = placed.groupBy("root").agg(F.min("least").alias("component"))
     labels = cut_lineage(placed.join(tops, "root").select("fp", "component"))
     return prints.join(labels, "fp").select("id", "fp", "component")
-
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id.
-
-    A document is kept when it is its group's smallest id. Repeated rows of that id with the
-    same text are reduced to one; rows without an id cannot be named and all stay.
-    """
-    prints = cut_lineage(fingerprints(docs, id_col, text_col, words))
-    found = near_duplicates(prints, radius).where("id = component").select(F.col("id").alias("__keep")).distinct()
-    key = docs[id_col].cast("long")
-    kept = docs.join(found, key == F.col("__keep"), "left_semi").dropDuplicates([id_col, text_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -6,6 +6,7 @@ import pytest
 
 import corpus_pipeline
 from sluicework.llm import nearcopies as N
+from sluicework.llm import simhash as H
 
 
 def plain_set(text):
@@ -88,3 +89,10 @@ def test_odd_rows(docs_of):
     kept = N.deduplicate(docs)
     assert kept.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, base), (1, "else"), (2, None), (None, base)], key=str)
+
+
+def test_equal_fingerprints_alone_remove_nothing(docs_of):
+    base = "the and of " * 200
+    rows = [(1, base + "alpha beta gamma delta epsilon zeta eta theta"), (2, base + "one two three four five six seven eight")]
+    assert len({H.fingerprint(H.shingles(t)) for _, t in rows}) == 1
+    assert sorted(r.doc_id for r in H.deduplicate(docs_of(rows)).collect()) == [1, 2]
