@@ -4,10 +4,13 @@ In each pass a vector is hashed by the signs of random projections, concatenated
 Rows are sorted by key, each is compared to a bounded window of its successors, and pairs that
 reach the cosine are linked. The links of all passes make components. A window cannot hold a
 large group, so the pairs inside a component are then compared completely, tile by tile.
+The more vectors, the more leading signs two neighbours must share to stay within the window,
+so the number of passes grows with the number of vectors to keep the recall.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +26,7 @@ from sluicework.llm.vectors import packed, unpacked, vectors
 from sluicework.session import cut_lineage
 
 PASSES, WINDOW, BITS = 12, 64, 48
+RECALL = 0.99
 TILE = 1024
 
 
@@ -60,10 +64,26 @@ def window_links(ids: np.ndarray, x: np.ndarray, least: float, window: int, bloc
     return np.concatenate(found)
 
 
+def pass_count(total: int, least: float = 0.9, window: int = WINDOW) -> int:
+    """Passes, ``PASSES`` at least, that bring an isolated pair at cosine ``least`` together with probability ``RECALL``.
+
+    Of ``total`` evenly spread vectors about a window share log2(total / window) leading signs;
+    a pair agrees in each sign with probability 1 - angle / pi.
+    """
+    met = (1 - math.acos(min(1.0, max(-1.0, least))) / math.pi) ** math.log2(max(1.0, total / window))
+    if met <= 0 or met >= 1:
+        return PASSES
+    return max(PASSES, math.ceil(math.log(1 - RECALL) / math.log1p(-met)))
+
+
+def directions_of(number: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The projections of one pass, and the weights that make a key of their signs."""
+    return np.random.default_rng(1000 + number).normal(size=(size, BITS)), 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+
+
 def projection_pass(rows: DataFrame, number: int, size: int, least: float, window: int) -> DataFrame:
     """Links (a, b) of one pass over ``rows`` (id, data)."""
-    directions = np.random.default_rng(1000 + number).normal(size=(size, BITS))
-    weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+    directions, weights = directions_of(number, size)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,8 +159,8 @@ def count_links(members: DataFrame, least: float) -> DataFrame:
     return both.groupBy("piece").applyInPandas(piece, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row.
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.9, passes: int | None = None, window: int = WINDOW) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row; without ``passes``, ``pass_count`` of the different vectors.
 
     Equal vectors are compared once and linked to each other. Rows that cannot be compared (see
     ``vectors``) have no link and are their own component.
@@ -159,7 +179,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         alone = F.col("vec_id")
         return everything.select("vec_id", F.lit(0).cast("long").alias("n_links"), alone.alias("component_id"), F.lit(True).alias("kept"))
     links = None
-    for number in range(passes):
+    for number in range(passes or pass_count(reps.count(), least, window)):
         found = cut_lineage(projection_pass(reps, number, len(sample.data) // 8, least, window))
         links = found if links is None else links.unionByName(found)
     groups = components(links).withColumnsRenamed({"node": "class"})

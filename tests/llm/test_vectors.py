@@ -72,6 +72,22 @@ def test_a_group_larger_than_a_tile_is_counted_whole(vectors_of, monkeypatch):
     assert got == {i: int(hit[i].sum()) for i, _ in rows}
 
 
+def test_passes_keep_the_recall_of_isolated_pairs():
+    """Planted pairs at a cosine just over the threshold among 200,000 vectors, with the keys of the passes."""
+    rng = np.random.default_rng(0)
+    x, k, c = rng.normal(size=(200_000, 64)), 500, 0.9001
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=(k, 64))
+    side -= (side * x[:k]).sum(axis=1, keepdims=True) * x[:k]
+    x[k : 2 * k] = c * x[:k] + (1 - c * c) ** 0.5 * side / np.linalg.norm(side, axis=1, keepdims=True)
+    found = np.zeros(k, bool)
+    for number in range(P.pass_count(len(x), 0.9, P.WINDOW)):
+        directions, weights = P.directions_of(number, 64)
+        place = np.argsort(np.argsort((x @ directions > 0) @ weights, kind="stable"))
+        found |= np.abs(place[:k] - place[k : 2 * k]) <= P.WINDOW
+    assert found.mean() >= 0.97
+
+
 ODD = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [None, 1.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [2.0, 0.0]), (8, []), (9, [1.0, 2.0, 3.0]), (None, [1.0, 0.0]), (11, [1.0, 0.0]), (11, [0.0, 5.0])]
 
 
