@@ -1,8 +1,8 @@
 """Model operators and the fourteen packaged analyses.
 
 Fitted values depend on the optimiser, so fits have no SQL counterpart; scaling,
-explanations and metrics do. Registered boosting fits use fewer trees than the defaults of
-the analyses; everything else runs with the defaults, on all rows of the tables.
+explanations and metrics do. Everything runs with the defaults of the analyses, boosting fits
+with all their trees, on all rows of the tables.
 """
 
 import dataclasses
@@ -22,9 +22,6 @@ from sluicework.plans import analyses as P
 from sluicework.plans import bindings as B
 from sluicework.session import cut_lineage
 
-TREES = 5
-QUICK = P.Boost(trees=TREES, depth=4)
-
 
 def places(rows):
     """The columns that hold the vector."""
@@ -102,19 +99,19 @@ def ml_gbt_oof(t):
     """Line prices predicted out of fold from quantity, discount and tax."""
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    out, _ = L.boost_out_of_fold(rows, key, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", **QUICK.options())
+    out, _ = L.boost_out_of_fold(rows, key, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", **P.Boost().options())
     return out.select(*key, "l_extendedprice", "fold", "prediction", "residual")
 
 
 @query("ml_gbt_two_views")
 def ml_gbt_two_views(t):
-    return P.team_wins(V.team_view(t), P.Boost(trees=TREES, depth=4, rate=0.05, min_leaf=10), rules=None)["team_win_predictions"]
+    return P.team_wins(V.team_view(t), rules=_TEAM)["team_win_predictions"]
 
 
 @query("ml_importance_table")
 def ml_importance_table(t):
     rows = t.orders.select("o_orderkey", "o_custkey", F.month("o_orderdate").alias("m"), F.year("o_orderdate").alias("y"), "o_totalprice")
-    return L.boost_out_of_fold(rows, ["o_orderkey"], ["o_custkey", "m", "y"], "o_totalprice", **QUICK.options())[1]
+    return L.boost_out_of_fold(rows, ["o_orderkey"], ["o_custkey", "m", "y"], "o_totalprice", **P.Boost().options())[1]
 
 
 _FOLDED = "folded AS (SELECT *, CAST(o_orderkey % 5 AS INTEGER) AS fold FROM predictions)"
@@ -136,7 +133,7 @@ def ml_report(t):
 @query("ml_gbt_classifier")
 def ml_gbt_classifier(t):
     rows = t.lineitem.select("l_quantity", "l_discount", "l_tax", S.flag(F.col("l_extendedprice") > 60000).alias("is_elite"))
-    return L.boost_classifier(rows, ["l_quantity", "l_discount", "l_tax"], "is_elite", TREES)[0]
+    return L.boost_classifier(rows, ["l_quantity", "l_discount", "l_tax"], "is_elite")[0]
 
 
 @query("ml_ridge_cv", sql=ridge("lineitem", "l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey", ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", [0.01, 0.1, 1.0, 10.0, 100.0]))
@@ -163,15 +160,15 @@ def _job(name, run, sql=None):
 
 _job("player_clusters", lambda t: P.player_clusters(V.player_view(t), rules=gate("player", max_null_rate=0.6))["player_clusters"])
 _job("player_anomalies", lambda t: P.player_anomalies(V.player_view(t), rules=gate("player", max_null_rate=0.6))["player_anomalies"])
-_job("player_ratings", lambda t: P.player_ratings(V.player_view(t), QUICK, rules=gate("player", max_null_rate=0.6))["player_rating_predictions"])
+_job("player_ratings", lambda t: P.player_ratings(V.player_view(t), rules=gate("player", max_null_rate=0.6))["player_rating_predictions"])
 _job("team_archetypes", lambda t: P.team_archetypes(V.team_view(t), rules=_TEAM)["team_archetypes"])
-_job("team_wins", lambda t: P.team_wins(V.team_view(t), P.Boost(trees=TREES, depth=4, rate=0.05, min_leaf=10), rules=_TEAM)["team_feature_importances"])
+_job("team_wins", lambda t: P.team_wins(V.team_view(t), rules=_TEAM)["team_feature_importances"])
 _job("team_profile", lambda t: P.team_profile(V.team_view(t), rules=_TEAM)["team_optimal_profile"])
 _job("positional_values", lambda t: P.positional_values(cut_lineage(R.importances(t).withColumn("model_type", F.lit("controllable"))))["positional_value_weights"], R.with_positions("SELECT * FROM weights"))
-_job("team_dominance", lambda t: P.team_dominance(V.team_view(t), TREES, rules=_TEAM)["team_dominance_drivers"])
-_job("driver_positions", lambda t: P.driver_positions(V.driver_view(t), QUICK, rules=gate("f1_driver", max_null_rate=0.6))["f1_driver_predictions"])
+_job("team_dominance", lambda t: P.team_dominance(V.team_view(t), rules=_TEAM)["team_dominance_drivers"])
+_job("driver_positions", lambda t: P.driver_positions(V.driver_view(t), rules=gate("f1_driver", max_null_rate=0.6))["f1_driver_predictions"])
 _job("constructor_rankings", lambda t: P.constructor_rankings(V.constructor_view(t))["f1_constructor_rankings"])
-_job("pitstop_impact", lambda t: P.pitstop_impact(V.pitstop_view(t), QUICK)["f1_pitstop_analysis"])
-_job("match_margins", lambda t: P.match_margins(V.match_view(t), ("matchId",), QUICK)["nrl_match_predictions"])
+_job("pitstop_impact", lambda t: P.pitstop_impact(V.pitstop_view(t))["f1_pitstop_analysis"])
+_job("match_margins", lambda t: P.match_margins(V.match_view(t), ("matchId",))["nrl_match_predictions"])
 _job("league_rankings", lambda t: P.league_rankings(V.season_view(t), rules=gate("nrl_team", ranges={}))["nrl_team_rankings"])
 _job("coaching_insights", lambda t: P.coaching_insights(V.coaching_view(t), R.matches(t), rules=gate("nrl_coaching", ranges={}))["nrl_team_profiles"])

@@ -98,3 +98,24 @@ def test_team_dominance_job(tables):
     assert sorted(drivers["rank"]) == list(range(1, len(drivers) + 1))
     assert out["best_team_pillars"].count() == 4
     assert 0.5 < out["metrics"].first()["metric_value"] <= 1
+
+
+class Asked(Exception):
+    pass
+
+
+@pytest.mark.parametrize("name", ["ml_gbt_oof", "ml_gbt_two_views", "ml_importance_table", "ml_gbt_classifier", "job_player_ratings", "job_team_wins", "job_team_dominance", "job_driver_positions", "job_pitstop_impact", "job_match_margins"])
+def test_registered_fits_ask_for_all_trees(spark, monkeypatch, name):
+    from sluicework.catalog import QUERIES
+
+    def folds(df, key, columns, label, trees=200, **more):
+        raise Asked(trees)
+
+    def elite(df, columns, label, trees=200, *more):
+        raise Asked(trees)
+
+    monkeypatch.setattr(L, "boost_out_of_fold", folds)
+    monkeypatch.setattr(L, "boost_classifier", elite)
+    with pytest.raises(Asked) as asked:
+        QUERIES[name](spark, "/root/testdata/sf0.01")
+    assert asked.value.args == (200,)
