@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicework.llm import findings, flatfile, langid, licenses, packing, passes, sentencepieces, sharding, simhash, topk
+from sluicework.llm import findings, flatfile, langid, licenses, packing, passes, sentencepieces, sharding, simhash, spelling, topk
 from sluicework.llm.common import table
 from sluicework.session import cut_lineage, scratch_path
 
@@ -121,3 +121,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's licence notices."""
     return licenses.scan(table(spark, folder, "documents"))
+
+
+@query("op11_spelling_variants", sql=spelling.ORACLE)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Every repeated word's near words, the form it varies and the root its forms lead to."""
+    return spelling.variants(spelling.words(table(spark, folder, "documents")))
