@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluicework.llm import findings, flatfile, langid, licenses, packing, passes, sentencepieces, sharding, simhash, spelling, topk
+from sluicework.llm import findings, flatfile, langid, lexical, licenses, packing, passes, sentencepieces, sharding, simhash, spelling, topk, warc
 from sluicework.llm.common import table
 from sluicework.session import cut_lineage, scratch_path
 
@@ -127,3 +127,17 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     """Every repeated word's near words, the form it varies and the root its forms lead to."""
     return spelling.variants(spelling.words(table(spark, folder, "documents")))
+
+
+@query("op12_lexical_search", sql=lexical.ORACLE)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Every benchmark item's ten best documents by integer impacts."""
+    return lexical.search(table(spark, folder, "benchmark"), table(spark, folder, "documents"))
+
+
+@query("op13_warc_archives", sql=warc.ORACLE)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's record, read back from the archives by way of their index."""
+    target = scratch_path(spark, "warc")
+    warc.write(table(spark, folder, "pages"), target)
+    return warc.read(spark, target, warc.index(spark, target)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
