@@ -7,20 +7,18 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluicework.functions import constants as K
 from sluicework.functions.scalar import half_even
-from sluicework.operators.reshape import stack_frames
+from sluicework.operators import boosting as B
 from sluicework.operators.skew import rank_rows
-from sluicework.session import cut_lineage, shared_dir
+from sluicework.session import cut_lineage
 
 FEATURES = "features"
 
@@ -101,10 +99,11 @@ def fold_numbers(df: DataFrame, key: Sequence[str], folds: int = 5, blocks: bool
     return ranked.withColumn("fold", F.floor((F.col("__rank") - 1) * folds / total).cast("int")).drop("__rank")
 
 
-def _checkpointing(df: DataFrame) -> None:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
+def _inputs(df: DataFrame, columns: Sequence[str], target: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with the model columns and the target as doubles, null as 0, under names of their own."""
+    names = [f"__x{k}" for k in range(len(columns))]
+    cells = {n: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for n, c in zip(names, columns, strict=True)}
+    return df.withColumns({**cells, "__y": F.coalesce(F.col(target).cast("double"), F.lit(0.0))}), names
 
 
 def boost_out_of_fold(
@@ -124,29 +123,21 @@ def boost_out_of_fold(
     """(rows with fold, prediction and residual, ranked importances).
 
     Each row is predicted by the model of the folds it is not in. residual = prediction
-    minus actual. Importances come from a fit on all rows.
+    minus actual. Importances come from a fit on all rows. All models grow together, see
+    :mod:`sluicework.operators.boosting`.
     """
-    _checkpointing(df)
-    features = [f"__x_{c}" for c in columns]
-    scaled = scale(df.withColumns({f"__x_{c}": F.col(c) for c in columns}), features)
-    scaled = scaled.withColumn("__y", F.coalesce(F.col(target).cast("double"), F.lit(0.0)))
+    filled, names = _inputs(df, columns, target)
     # Stored, not cached: the returned rows are worked out from it later.
-    data = cut_lineage(assemble(fold_numbers(scaled, key, folds, blocks), features).drop(*features))
-    learner = GBTRegressor(
-        featuresCol=FEATURES, labelCol="__y", predictionCol="prediction", maxIter=trees, maxDepth=depth,
-        stepSize=rate, subsamplingRate=subsample, minInstancesPerNode=min_leaf, seed=seed,
-    )
-    parts = [data.where(F.col("fold") != fold) for fold in range(folds)]
-    with ThreadPoolExecutor(folds + 1) as pool:  # the fits are independent jobs
-        *models, final = pool.map(learner.fit, [*parts, data])
-    held_out = [model.transform(data.where(F.col("fold") == fold)) for fold, model in enumerate(models)]
-    rows = stack_frames(held_out).withColumns(
+    data = cut_lineage(fold_numbers(filled, key, folds, blocks))
+    settings = B.Settings(trees, depth, rate, subsample, min_leaf, seed=seed)
+    fits = B.fit_folds(data, names, "__y", "fold", folds, settings)
+    rows = B.predict(data, names, fits, "fold").withColumns(
         {
             "residual": half_even(F.col("prediction") - F.col("__y"), 4),
             "prediction": half_even(F.col("prediction"), 4),
         }
     )
-    return rows.drop(FEATURES, "__y"), importance_table(df, columns, final.featureImportances.toArray())
+    return rows.drop(*names, "__y"), importance_table(df, columns, fits[-1].importances())
 
 
 def importance_table(df: DataFrame, columns: Sequence[str], values, digits: int = 4) -> DataFrame:
@@ -185,21 +176,13 @@ def metrics_long(metrics: DataFrame) -> DataFrame:
 
 def boost_classifier(df: DataFrame, columns: Sequence[str], label: str, trees: int = 200, depth: int = 4, rate: float = 0.1, seed: int = 42):
     """(ranked importances, training accuracy) of a two-class boosted model."""
-    _checkpointing(df)
-    features = [f"__x_{c}" for c in columns]
-    scaled = scale(df.withColumns({f"__x_{c}": F.col(c) for c in columns}), features)
-    data = assemble(scaled, features).select(FEATURES, F.col(label).cast("double").alias("__y"))
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        learner = GBTClassifier(
-            featuresCol=FEATURES, labelCol="__y", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed
-        )
-        model = learner.fit(data)
-        hit = F.avg((F.col("prediction") == F.col("__y")).cast("double"))
-        accuracy = model.transform(data).agg(hit.alias("a")).first()["a"]
-    finally:
-        data.unpersist()
-    return importance_table(df, columns, model.featureImportances.toArray(), 6), round(accuracy, 4)
+    filled, names = _inputs(df, columns, label)
+    data = cut_lineage(filled.select(*names, "__y", F.lit(0).alias("__model")))
+    settings = B.Settings(trees, depth, rate, subsample=1.0, logistic=True, seed=seed)
+    fits = B.fit_folds(data, names, "__y", "__model", 0, settings)
+    hit = F.avg(((F.col("prediction") > 0).cast("double") == F.col("__y")).cast("double"))
+    accuracy = B.predict(data, names, fits, "__model").agg(hit.alias("a")).first()["a"]
+    return importance_table(df, columns, fits[0].importances(), 6), round(accuracy, 4)
 
 
 def ridge_sweep(
