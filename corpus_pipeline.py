@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluicework.llm import findings, langid, nearcopies, packing
+from sluicework.llm import findings, langid, packing, simhash
 from sluicework.session import scratch_path
 
 LEAST_SCORE = 0.3
@@ -20,8 +20,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word Jaccard of 0.8 or more) stays, the one with the smallest id."""
-    return nearcopies.deduplicate(docs)
+    """One document of each group whose fingerprints of 3-word shingles are linked over 2 or fewer differing bits stays, the one with the smallest id."""
+    return simhash.deduplicate(docs, words=3, radius=2)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
