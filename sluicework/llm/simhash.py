@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from sluicework.llm.common import map_arrow
 from sluicework.llm.graph import components
-from sluicework.llm.nearcopies import deduplicate  # noqa: F401 - verified on the texts, not on fingerprints
 from sluicework.session import cut_lineage
 
 SEED = 42
@@ -219,3 +218,17 @@ def near_duplicates(prints: DataFrame, radius: int = 2) -> DataFrame:
     tops = placed.groupBy("root").agg(F.min("least").alias("component"))
     labels = cut_lineage(placed.join(tops, "root").select("fp", "component"))
     return prints.join(labels, "fp").select("id", "fp", "component")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
+    """``docs`` with one document of each group of linked fingerprints: the one with the smallest id.
+
+    Repeated rows of that id are reduced to one where their texts are equal (by two 64-bit
+    hashes); rows without an id cannot be named and all stay.
+    """
+    prints = cut_lineage(fingerprints(docs, id_col, text_col, words))
+    found = near_duplicates(prints, radius).where("id = component").select(F.col("id").alias("__keep")).distinct()
+    kept = docs.join(found, docs[id_col].cast("long") == F.col("__keep"), "left_semi")
+    hashes = {f"__hash{k}": F.xxhash64(F.lit(k), F.col(text_col)) for k in (0, 1)}
+    kept = kept.withColumns(hashes).dropDuplicates([id_col, *hashes]).drop(*hashes)
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
