@@ -222,15 +222,21 @@ def record(data: bytes) -> tuple:
     return _page(fields["warc-record-id"]), fields.get("warc-target-uri"), fields["warc-type"], _page(fields.get("warc-refers-to")), size, digest, payload
 
 
-def read(spark: SparkSession, folder: str, selected: DataFrame, whole: bool | None = None, gap: int = 1 << 16, most: int = 1 << 23) -> DataFrame:
-    """The records of ``selected``, rows of the index, with their payloads; a row selected twice comes once."""
+def read(spark: SparkSession, folder: str, selected: DataFrame, whole: bool | None = None, gap: int = 1 << 16, most: int = 1 << 23, task_bytes: int = 1 << 26) -> DataFrame:
+    """The records of ``selected``, rows of the index, with their payloads; a row selected twice comes once.
+
+    Ranges are dealt over the session's number of shuffle partitions, or one for each
+    ``task_bytes`` of selected records: what is read decides, not the small rows that ask for it.
+    """
     whole = not reachable(spark, folder) if whole is None else whole
     names = [c.split()[0] for c in RECORD.split(", ")]
     if whole:
         asked = selected.groupBy("path").agg(F.sort_array(F.collect_set(F.struct("offset", "length"))).alias("records"))
         asked = asked.join(_archives(spark, folder, True).select("path", F.lit(0).cast("long").alias("begin"), F.col("length").alias("end"), "content"), "path")
     else:
-        asked = ranges(selected, gap, most).withColumn("content", F.lit(None).cast("binary"))
+        total = selected.agg(F.sum("length")).first()[0] or 0
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // task_bytes))
+        asked = ranges(selected, gap, most).repartition(tasks, "path", "begin").withColumn("content", F.lit(None).cast("binary"))
     asked = asked.select("path", "begin", "end", "records", "content").sortWithinPartitions("path", "begin")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
