@@ -9,6 +9,7 @@ same way. Only then are the rows exchanged, once.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,16 +58,13 @@ def split_keys(rows: DataFrame, key: str, size: str, targets: list[int], probes:
         if not asked:
             return [(a, below) for a, below, _ in around]
         asked = sorted(asked)
-        counts = list(zip(asked, bytes_below(rows, key, size, asked), strict=True))
+        counts = bytes_below(rows, key, size, asked)
         for i, (want, (a, below, b)) in enumerate(zip(targets, around, strict=True)):
-            for probe, found in counts:
-                if a < probe < b:
-                    if found <= want:
-                        a, below = probe, found
-                    else:
-                        b = probe
-                        break
-            around[i] = a, below, b
+            first, stop = bisect_right(asked, a), bisect_left(asked, b)
+            at = bisect_right(counts, want, first, stop)  # counts grow with the probes
+            if at > first:
+                a, below = asked[at - 1], counts[at - 1]
+            around[i] = a, below, asked[at] if at < stop else b
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 24, key: str = "doc_id", size: str = "size", rows_per_task: int = 1_000_000, tolerance: int = 0) -> DataFrame:
@@ -75,15 +73,17 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, key: str = "doc_id", size:
     A row lies in the shard where the bytes before it fall, so sizes differ by at most one row
     at either end (and twice the tolerance). Each shard is made of several ranges when it has
     more than ``rows_per_task`` rows; slots number a shard's rows from 0 by key. Null keys come
-    first, null sizes count as 0. Shards may be empty when rows are few.
+    first, null sizes count as 0. Shards may be empty when rows are few. Columns named ``shard``
+    or ``slot`` are replaced; names that begin with ``__`` are reserved.
     """
     keys = F.coalesce(F.col(key).cast("long"), F.lit(LOWEST))
+    kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
     held = cut_lineage(
         docs.withColumns({"__key": keys, "__size": F.coalesce(F.col(size).cast("long"), F.lit(0)), "__place": F.monotonically_increasing_id()})
     )
     total, count = held.agg(F.coalesce(F.sum("__size"), F.lit(0)), F.count("*")).first()
     if not count:
-        return held.select(*docs.columns, F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
+        return held.select(*kept, F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     ranges = max(1, -(-count // (shards * rows_per_task)))
     cuts = shards * ranges
     # Range i begins at the first row with at least total * i / cuts bytes before it.
@@ -101,11 +101,12 @@ def shard_by_bytes(docs: DataFrame, shards: int = 24, key: str = "doc_id", size:
         return pd.Series(out.astype(np.int32))
 
     dealt = held.withColumn("__range", range_of("__key", "__place"))
-    slots = dealt.groupBy("__range").agg(F.count("*").alias("__n")).withColumn("shard", F.expr(f"__range div {ranges}").cast("int"))
-    before = Window.partitionBy("shard").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    slots = dealt.groupBy("__range").agg(F.count("*").alias("__n")).withColumn("__shard", F.expr(f"__range div {ranges}").cast("int"))
+    before = Window.partitionBy("__shard").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     slots = slots.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     own = F.row_number().over(Window.partitionBy("__range").orderBy("__key", "__place")).cast("long") - 1
-    return dealt.withColumn("__own", own).join(slots, "__range").select(*[dealt[c] for c in docs.columns], "shard", (F.col("__base") + F.col("__own")).alias("slot"))
+    placed = dealt.withColumn("__own", own).join(slots, "__range")
+    return placed.select(*[dealt[c] for c in kept], F.col("__shard").alias("shard"), (F.col("__base") + F.col("__own")).alias("slot"))
 
 
 def _borders(held: DataFrame, targets: list[int], tolerance: int) -> list[tuple[int, int]]:

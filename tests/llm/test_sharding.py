@@ -60,6 +60,14 @@ def test_tolerance_bounds_the_difference(spark):
     assert len(held) == 24 and max(held.values()) - min(held.values()) <= 2 * (500 + 2 * slack)
 
 
+def test_clashing_names_are_replaced(spark):
+    rows = [(i, 10, 99, "old", i * 2) for i in range(30)]
+    got = S.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, size long, shard long, SLOT string, bytes long"), 3)
+    assert got.columns == ["doc_id", "size", "bytes", "shard", "slot"]
+    assert sorted((r.doc_id, r.bytes, r.shard, r.slot) for r in got.collect()) == [(i, i * 2, i // 10, i % 10) for i in range(30)]
+    assert S.shard_by_bytes(got.where("doc_id < 0")).columns == got.columns
+
+
 def test_text_sizes(spark, docs_of):
     got = {r.doc_id: r["size"] for r in S.map_sizes(docs_of([(1, "é"), (2, None), (3, ""), (4, "x" * 9000)])).collect()}
     assert got == {1: 10, 2: 8, 3: 8, 4: 9008}
