@@ -20,10 +20,13 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,6 +36,9 @@ from sluicework.llm.sentencepieces import ship
 from sluicework.session import scratch_path
 
 
+TOGETHER, GROUP_BYTES = 24, 1 << 24
+
+
 class Tokenizer:
     """A vocabulary of the tokenizers library whose pre-tokeniser never keeps ASCII white space.
 
@@ -40,41 +46,113 @@ class Tokenizer:
     one once for each Python worker. With a normaliser that lower-cases, ASCII letters are
     lower-cased first; with a pre-tokeniser that parts letters from other signs, a full stop or
     comma that ends a word after an ASCII letter is a word of its own. A text that holds the
-    string of an added token is encoded whole.
+    string of an added token, in any case of ASCII letters, is encoded whole.
     """
 
-    MARKS = re.compile(rb"(?<=[A-Za-z])([.,])(?=[ \n]|$)")
+    # The sign comes first, so that the search can skip to it.
+    MARKS = re.compile(rb"[.,](?=[ \n]|$)(?<=[A-Za-z][.,])")
 
     def __init__(self, path: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer as Library
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.library, self.dtype = Library.from_file(path), dtype
-        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.added = [t.content.encode().lower() for t in self.library.get_added_tokens_decoder().values()]
         self.memory = WordMemory(self._cut, limit=400_000)
         normal, cutter = self.library.normalizer, self.library.pre_tokenizer
         self.lowers = normal is not None and normal.normalize_str("Ab Z") == "ab z"
         self.parts = cutter is not None and [p for p, _ in cutter.pre_tokenize_str("ab. cd, ef.")] == ["ab", ".", "cd", ",", "ef", "."]
-
-    def _cut(self, words: list[bytes]) -> list[bytes]:
-        made = self.library.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in made]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as bytes."""
-        out: list = []
-        for text in texts:
-            data = (text or "").encode()
-            if any(a in data for a in self.added):
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes())
+        suffix = getattr(self.library.model, "end_of_word_suffix", None)
+        self.ends, self.bare = None, None
+        if suffix:
+            self.ends = np.zeros(self.library.get_vocab_size(), bool)
+            for token, k in self.library.get_vocab(with_added_tokens=False).items():
+                self.ends[k] = token.endswith(suffix)
+        # Where normaliser and pre-tokeniser leave words of small ASCII letters as they are, these need neither.
+        letters = "abcdefghijklmnopqrstuvwxyz zyx a"
+        if cutter is not None and (normal is None or normal.normalize_str(letters) == letters) and [p for p, _ in cutter.pre_tokenize_str(letters)] == letters.split():
+            self.bare = Library.from_file(path)
+            self.bare.normalizer, self.bare.pre_tokenizer = None, WhitespaceSplit()
+
+    def _cut(self, words: list[str]) -> list[bytes]:
+        """The ids of each word.
+
+        Words of letters alone go to the library ``TOGETHER`` at a time, as one short text: each
+        closes at least one token of the kind that ends a word, and where there are as many of
+        these as words they part the words. Other words are encoded one by one.
+        """
+        found: list = [None] * len(words)
+        if self.ends is not None:
+            letters = [k for k, w in enumerate(words) if w.isalpha()]
+            small = [k for k in letters if words[k].isascii() and words[k].islower()] if self.bare else []
+            known = set(small)
+            self._cut_joint(self.bare, words, small, found)
+            self._cut_joint(self.library, words, [k for k in letters if k not in known], found)
+        rest = [k for k, f in enumerate(found) if f is None]
+        for k, ids in zip(rest, self._ids(self.library, [words[k] for k in rest]), strict=True):
+            found[k] = ids.tobytes()
+        return found
+
+    def _cut_joint(self, library, words: list[str], chosen: list[int], found: list) -> None:
+        groups = [chosen[at : at + TOGETHER] for at in range(0, len(chosen), TOGETHER)]
+        for group, ids in zip(groups, self._ids(library, [" ".join([words[k] for k in g]) for g in groups]), strict=True):
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(group) and stops[-1] == len(ids):
+                data, start = ids.tobytes(), 0
+                for k, stop in zip(group, (stops * ids.itemsize).tolist(), strict=True):
+                    found[k] = data[start:stop]
+                    start = stop
+
+    def _ids(self, library, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of each UTF-8 text as bytes."""
+        out: list = [b""] * len(texts)
+        plain: list[bytes] = []
+        places: list[int] = []
+        held = 0
+        for k, text in enumerate(texts):
+            data = text or b""
+            small = data.lower()
+            if any(a in small for a in self.added):
+                out[k] = self._ids(self.library, [data.decode()])[0].tobytes()
                 continue
             if self.lowers:
-                data = data.lower()
+                data = small
             if self.parts:
-                data = self.MARKS.sub(rb" \1", data)
-            out.append(b"".join(self.memory.over(data.split())))
+                data = self.MARKS.sub(rb" \g<0>", data)
+            plain.append(data)
+            places.append(k)
+            held += len(data)
+            if held > GROUP_BYTES:
+                self._place(out, plain, places)
+                plain, places, held = [], [], 0
+        self._place(out, plain, places)
         return out
 
+    def _place(self, out: list, texts: list[bytes], places: list[int]) -> None:
+        """Cut the texts into words, look each different word up once and lay the ids out in order."""
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.string()))
+        words = split.flatten().dictionary_encode()  # white space at either end gives an empty word
+        different = words.dictionary.to_pylist()
+        held: list = list(map(self.memory.known.get, different))
+        # Most words are known; only the others go through the memory.
+        unknown = list(compress(range(len(held)), map(is_, held, repeat(None))))
+        for k, made in zip(unknown, self.memory.over([different[k] for k in unknown]), strict=True):
+            held[k] = made
+        flat = np.frombuffer(b"".join(held), self.dtype)
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // flat.itemsize
+        codes = words.indices.to_numpy()
+        own = sizes[codes]
+        stops = np.cumsum(own)
+        starts = np.cumsum(sizes) - sizes
+        ids = flat[np.arange(stops[-1] if len(stops) else 0) + np.repeat(starts[codes] - (stops - own), own)]
+        ends = np.concatenate(([0], stops))[split.offsets.to_numpy()]
+        for k, a, b in zip(places, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            out[k] = ids[a:b].tobytes()
+
 
 @lru_cache(maxsize=2)
 def _tokenizer(name: str, dtype: str) -> Tokenizer:
@@ -97,21 +175,25 @@ def write(docs: DataFrame, vocabulary_path: str, end_id: int, folder: str, id_co
     dtype = smallest_type(max(Library.from_file(vocabulary_path).get_vocab_size(), end_id + 1))
     name, closing = ship(docs, vocabulary_path), np.array([end_id], dtype).tobytes()
     width = len(closing)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).withColumn("tie", F.xxhash64("text"))
     order = ["doc_id", "tie"]
     ordered = rows.repartitionByRange(task_count(docs), *order).sortWithinPartitions(*order)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, part, position = _tokenizer(name, dtype), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy())
+            at = 0
+            while at < batch.num_rows:  # texts of about GROUP_BYTES together, or a single longer one
+                upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + GROUP_BYTES, "right")))
+                piece, at = batch.slice(at, upto - at), upto
                 ids = tokenizer.encode(piece.column(1).to_pylist())
-                listed = [f"{part},{position + k},{'' if d is None else d},{len(x) // width + 1}".encode() for k, (d, x) in enumerate(zip(piece.column(0).to_pylist(), ids, strict=True))]
-                position += len(ids)
                 n = len(ids)
+                places = range(position, position + n)
+                listed = ["%d,%d,%s,%d" % (part, at_of, "" if d is None else d, len(x) // width + 1) for at_of, d, x in zip(places, piece.column(0).to_pylist(), ids, strict=True)]
+                position += n
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(["ids"] * n + ["documents"] * n), pa.array([*range(position - n, position)] * 2, pa.int64()), pa.array(ids + listed, pa.binary())],
+                    [pa.array(["ids"] * n + ["documents"] * n), pa.array([*places] * 2, pa.int64()), pa.array([*ids, *listed], pa.binary())],
                     ["kind", "position", "value"],
                 )
 
@@ -167,7 +249,9 @@ def read(spark: SparkSession, folder: str, dtype: str) -> DataFrame:
     comes as one cell, which its range bounds. The crc is over the ids as little-endian
     unsigned 32-bit integers.
     """
-    mapped = folder.startswith(("file:", "/"))
+    # The files' own scheme tells, as a folder without one lies in the default store.
+    found = files(spark, folder, False).select("path").first()
+    mapped = found is None or found.path.startswith("file:")
 
     def from_part(key, found: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("position")

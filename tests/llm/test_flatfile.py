@@ -15,6 +15,7 @@ PATH = vocabulary("word_bpe_49k.json")
 ODD = [
     None, "", " ", "a\x0bb\x0cc\x1cd\x85e f g", "<|endoftext|>x <|startoftext|>", "don't CAN'T I'll", "ΑΣ Σ ς", "é ́x", "İstanbul",
     "日本 🙂", "\x00a", "# ## a#b", "x" * 3000, "word " * 3000,
+    "<|EndOfText|> b", "A <|STARTOFTEXT|>", "a<|endoftext|>B, c.", "1. a1. é. ). ,. . , a.b c.\u00a0d",
     "x». y». é. a.b. c,, d., It's. A.\nB,\n c.\td.", "end.",
 ]
 
