@@ -375,6 +375,18 @@ def sink_curated_append(t):
     return Z.read_curated(t.spark, path).select(*schema.names)
 
 
+@query("sink_type_widening", sql="SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN o_totalprice ELSE floor(o_totalprice) END AS amount, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS note, 'batch-' || o_orderstatus AS batch_id FROM orders")
+def sink_type_widening(t):
+    """Whole amounts first, then fractions, then whole ones again in a narrower type; a column comes and goes."""
+    path = scratch_path(t.spark, "widened")
+    o, price = t.orders, F.col("o_totalprice")
+    for state, kind in (("F", "long"), ("O", "double"), ("P", "int")):
+        amount = price if kind == "double" else F.floor(price).cast(kind)
+        batch = o.where(F.col("o_orderstatus") == state).select("o_orderkey", amount.alias("amount"), F.col("o_orderpriority").alias("note"))
+        Z.load_curated(batch if state == "F" else batch.drop("note"), path, f"batch-{state}", "2024-01-01")
+    return Z.read_curated(t.spark, path).select("o_orderkey", "amount", "note", "batch_id")
+
+
 @query("cluster_columns", sql="SELECT event_id, user_id, event_type, 'user_id,ts,event_id,event_type' AS by_loader, 'event_id,user_id,ts,event_type' AS by_batch FROM events")
 def cluster_columns(t):
     """The event table written in cluster order, with the columns each rule chose."""

@@ -1,5 +1,10 @@
 """Read functions, the job ledger, and the streams."""
 
+import datetime
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sluicework.catalog import relations as R
@@ -13,7 +18,8 @@ from sluicework.operators import scoring as C
 from sluicework.operators import serving as S
 from sluicework.plans import bindings as B
 from sluicework.session import scratch_path
-from sluicework.sources.sinks import load_curated
+from sluicework.sources.loads import drop_expired
+from sluicework.sources.sinks import load_curated, read_curated
 from sluicework.streaming import events as E
 from sluicework.streaming import ingest as N
 
@@ -155,6 +161,51 @@ def st_load(t):
     return t.spark.read.parquet(target)
 
 
+@query("st_load_restarts", sql="SELECT o_orderkey, o_orderstatus, 'batch-' || CASE o_orderstatus WHEN 'F' THEN 0 ELSE 1 END AS batch_id FROM orders")
+def st_load_restarts(t):
+    """A growing silver folder loaded under one checkpoint, then under a new one, then again: every file once."""
+    source, target, ddl = scratch_path(t.spark, "silver"), scratch_path(t.spark, "curated"), "o_orderkey long, o_orderstatus string"
+    orders = t.orders.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderstatus")
+    orders.where("o_orderstatus = 'F'").write.parquet(source)
+    N.stream_load(t.spark, source, ddl, target, scratch_path(t.spark, "state")).awaitTermination()
+    orders.where("o_orderstatus <> 'F'").write.mode("append").parquet(source)
+    for _ in range(2):
+        N.stream_load(t.spark, source, ddl, target, scratch_path(t.spark, "state")).awaitTermination()
+    return t.spark.read.parquet(target).select("o_orderkey", "o_orderstatus", "batch_id")
+
+
+@query("st_retention_drop", sql="SELECT event_id, CAST(ts AS DATE) AS ingest_date FROM events WHERE date_diff('day', CAST(ts AS DATE), DATE '2024-02-10') <= 14")
+def st_retention_drop(t):
+    """Events written by day; the days beyond the retention of rejected rows are dropped, the others read."""
+    path = scratch_path(t.spark, "days")
+    t.events.select("event_id", F.to_date("ts").alias("ingest_date")).write.partitionBy("ingest_date").parquet(path)
+    drop_expired(t.spark, path, datetime.date(2024, 2, 10), L.RETENTION_DAYS["rejected"])
+    return t.spark.read.schema("event_id long, ingest_date date").parquet(path)
+
+
+@query("st_ingest_archives", sql="SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, CAST(NULL AS VARCHAR) AS segment FROM customer UNION ALL SELECT CAST(c_custkey AS BIGINT), NULL, c_mktsegment FROM customer")
+def st_ingest_archives(t):
+    """Customers as archives that hold two members of one name with different headers, each a job of its own."""
+    root = scratch_path(t.spark, "zones")
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        buffer, rows = io.BytesIO(), rows.sort_values("c_custkey")
+        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("names/people.csv", rows[["c_custkey", "c_name"]].to_csv(index=False))
+            z.writestr("markets/people.csv", rows.rename(columns={"c_mktsegment": "segment"})[["segment", "c_custkey"]].to_csv(index=False))
+        return pd.DataFrame({"body": [buffer.getvalue()[:-1].decode("latin-1")], "part": [int(rows["part"].iloc[0])]})
+
+    rows = t.customer.select(F.floor(F.col("c_custkey") / 5000).alias("part"), "c_custkey", "c_name", "c_mktsegment")
+    packed = rows.groupBy("part").applyInPandas(pack, "body string, part long")
+    # An archive without a comment ends with a zero byte, which the text writer puts back.
+    raw = F.encode("body", "ISO-8859-1").cast("string")
+    packed.select(raw.alias("value"), "part").write.partitionBy("part").option("encoding", "ISO-8859-1").option("lineSep", "\0").text(f"{root}/inbox")
+    found = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/inbox").select("path").collect()
+    zones = N.Zones(root)
+    N.take_files(t.spark, [("uploads", "zip", r.path) for r in found], zones, day="2024-01-01")
+    return read_curated(t.spark, zones.curated("people")).select("c_custkey", "c_name", "segment")
+
+
 @query("st_idempotency", sql="SELECT o_orderstatus, count(*) AS n, count(DISTINCT o_orderkey) AS n_orders FROM orders GROUP BY 1")
 def st_idempotency(t):
     """A batch loaded three times under one id is there once."""
@@ -191,10 +242,7 @@ def st_state_machine(t):
     path, out = scratch_path(t.spark, "log"), scratch_path(t.spark, "judged")
     log.write.parquet(path)
     changes = t.spark.readStream.schema(log.schema).parquet(path)
-    stream = E.guard_states(changes).writeStream.outputMode("append").format("parquet").option("path", out).option(
-        "checkpointLocation", scratch_path(t.spark, "state")
-    ).trigger(availableNow=True).start()
-    stream.awaitTermination()
-    return t.spark.read.parquet(out)
+    E.guard_stream(changes, out, scratch_path(t.spark, "states"), scratch_path(t.spark, "state")).awaitTermination()
+    return t.spark.read.parquet(out).drop("batch")
 
 

@@ -12,7 +12,7 @@ from sluicework.functions import constants as K
 from sluicework.functions.masks import mask
 from sluicework.functions.scalar import null_token, strip
 
-_SPARK_TYPES = {"INT64": "long", "FLOAT64": "double", "BOOLEAN": "boolean", "TIMESTAMP": "string", "STRING": "string"}
+SPARK_TYPES = {"INT64": "long", "FLOAT64": "double", "BOOLEAN": "boolean", "TIMESTAMP": "string", "STRING": "string"}
 
 
 def standardise_nulls(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -80,7 +80,7 @@ def preview_types(df: DataFrame, columns: Sequence[str], order_by: Sequence[str]
     )
 
 
-def _typed_value(text: Column, kind: str) -> Column:
+def typed_value(text: Column, kind: str) -> Column:
     """The typed value of trimmed text, NULL where the text does not fit."""
     if kind == "INT64":
         return F.when(text.rlike(K.INT_PATTERN), text.try_cast("long"))
@@ -103,7 +103,7 @@ def _typed_rows(df: DataFrame, schema: Mapping[str, str]) -> DataFrame:
     for c in schema:
         text = strip(F.col(c))
         texts[f"__t_{c}"] = F.when(text.isin(K.NULL_TOKENS), F.lit(None)).otherwise(text)
-    typed = df.withColumns(texts).withColumns({f"__v_{c}": _typed_value(F.col(f"__t_{c}"), k) for c, k in schema.items()})
+    typed = df.withColumns(texts).withColumns({f"__v_{c}": typed_value(F.col(f"__t_{c}"), k) for c, k in schema.items()})
     messages = [
         F.when(
             F.col(f"__t_{c}").isNotNull() & F.col(f"__v_{c}").isNull(),
@@ -125,7 +125,7 @@ def cast_rows(df: DataFrame, schema: Mapping[str, str]) -> tuple[DataFrame, Data
     """(typed good rows, bad rows as they came with an ``errors`` list)."""
     typed = _typed_rows(df, schema)
     extra = [c for c in df.columns if c not in schema]
-    values = [F.col(f"__v_{c}").cast(_SPARK_TYPES[kind]).alias(c) for c, kind in schema.items()]
+    values = [F.col(f"__v_{c}").cast(SPARK_TYPES[kind]).alias(c) for c, kind in schema.items()]
     good = typed.where(F.size("__errors") == 0).select(*values, *extra)
     bad = typed.where(F.size("__errors") > 0).select(*df.columns, F.col("__errors").alias("errors"))
     return good, bad

@@ -68,7 +68,7 @@ def list_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return _listed(spark, paths).select("path", "file_name", "length")
 
 
-def _json_object(text: Column) -> Column:
+def is_json_object(text: Column) -> Column:
     return F.startswith(strip(text), F.lit("{")) & F.json_object_keys(text).isNotNull()
 
 
@@ -166,7 +166,7 @@ def validate_files(spark: SparkSession, paths: str | Sequence[str], content_type
     whole = _whole_file_checks(others.withColumn("content", F.coalesce("content", F.lit(b""))))
     csv = _csv_checks(listed.where("format = 'csv'"), lines.where("format = 'csv'"))
     lines = lines.where("format = 'ndjson'").where(strip(F.col("value")) != "")
-    good = _json_object(F.col("value"))
+    good = is_json_object(F.col("value"))
     counted = lines.groupBy("path").agg(
         F.count_if(good).alias("total_records"),
         F.min_by(F.json_object_keys("value"), F.when(good, F.struct("block", "__row"))).alias("columns"),
@@ -216,7 +216,7 @@ def read_raw(spark: SparkSession, paths: str | Sequence[str], fmt: str, multi_li
 def split_ndjson(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(object lines, other non-blank lines) of a text read."""
     filled = lines.where(strip(F.col("value")) != "")
-    good = F.coalesce(_json_object(F.col("value")), F.lit(False))
+    good = F.coalesce(is_json_object(F.col("value")), F.lit(False))
     return filled.where(good), filled.where(~good)
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluicework.sources.evolution import fit_batch, note_schema, read_evolved
+
 _TEMPORAL = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
 
@@ -71,54 +73,54 @@ def load_curated(df: DataFrame, path: str, batch_id: str, ingest_date: Column |
     """Add a batch to the curated table, partitioned by day and batch, sorted inside.
 
     Only the batch's own partitions are replaced, so a replay after a failure cannot add
-    the rows twice. New columns are fine: readers align them by name (:func:`read_curated`).
-    Columns are cast to the wider type the table has; a batch whose type does not fit the
-    table's is refused before anything is written, as it would make the table unreadable.
+    the rows twice. New columns are fine, and a batch may widen a column of numbers: the
+    schema of each partition is recorded and readers bring them together (:func:`read_curated`).
+    Narrower columns are cast to the type the table has; a batch whose type does not go with
+    the table's is refused before anything is written.
     """
-    df = fit_table(df, df.sparkSession, path)
-    columns = choose_cluster_columns(df.schema, style)
     day = F.lit(ingest_date) if isinstance(ingest_date, str) else ingest_date
-    placed = cluster_rows(df, columns).withColumns({"ingest_date": day.cast("date"), "batch_id": F.lit(batch_id)})
+    load_batches(df.withColumns({"__job": F.lit(batch_id), "__day": day}), path, style)
+
+
+def load_batches(df: DataFrame, path: str, style: str = "loader") -> None:
+    """Several batches of one schema in one write: each row names its batch in ``__job`` and its day in ``__day``."""
+    keys = {"ingest_date": F.col("__day").cast("date"), "batch_id": F.col("__job")}
+    plain = fit_table(df, df.sparkSession, path)
+    columns = choose_cluster_columns(plain.drop("__job", "__day").schema, style)
+    # The record comes first: one without rows does no harm, rows without one would be read in the wrong types.
+    placed = plain.withColumns(keys).drop("__job", "__day")
+    note_schema(placed, path)
     (
-        placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        cluster_rows(placed, columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("ingest_date", "batch_id").parquet(path)
     )
 
 
-# Table type to the narrower types that fit into it without loss.
-_FITS = {"bigint": ("int", "smallint", "tinyint"), "int": ("smallint", "tinyint"), "double": ("float", "bigint", "int", "smallint", "tinyint"), "string": ("bigint", "int", "double", "boolean", "date", "timestamp")}
-
-
 def fit_table(df: DataFrame, spark: SparkSession, path: str) -> DataFrame:
-    """The batch in the types of the curated table below ``path``, if there is one already."""
+    """The batch as it can be added to the curated table below ``path``, if there is one already; other columns stay."""
     try:
-        known = dict(read_curated(spark, path).dtypes)
+        table = read_curated(spark, path)
     except AnalysisException:
         return df
-    casts = {}
-    for c, kind in df.dtypes:
-        held = known.get(c, kind)
-        if held != kind and kind not in _FITS.get(held, ()):
-            raise ValueError(f"column {c} is {kind}, the table {path} has {held}; nothing was written")
-        if held != kind:
-            casts[c] = F.col(c).cast(held)
-    return df.withColumns(casts) if casts else df
+    return fit_batch(df, table, path)
 
 
 def read_curated(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("mergeSchema", "true").parquet(path)
+    """All batches of a curated table in common types; a table without schema records has those of its files."""
+    found = read_evolved(spark, path)
+    return spark.read.option("mergeSchema", "true").parquet(path) if found is None else found
 
 
 def write_silver(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "snappy").parquet(path)
 
 
-def reject_records(bad: DataFrame, job_id: str, rejected_at: Column) -> DataFrame:
-    """job_id, errors, original_row, rejected_at for each bad row."""
-    row = [c for c in bad.columns if c != "errors"]
-    return bad.select(
-        F.lit(job_id).alias("job_id"), "errors", F.struct(*row).alias("original_row"), rejected_at.alias("rejected_at")
-    )
+def reject_records(bad: DataFrame, job_id: str | Column, rejected_at: Column) -> DataFrame:
+    """job_id, errors, original_row, rejected_at for each bad row; a job named by ``__job`` keeps that column to be written by."""
+    row = [c for c in bad.columns if c not in ("errors", "__job")]
+    job = F.lit(job_id) if isinstance(job_id, str) else job_id
+    kept = ["__job"] if "__job" in bad.columns else []
+    return bad.select(job.alias("job_id"), "errors", F.struct(*row).alias("original_row"), rejected_at.alias("rejected_at"), *kept)
 
 
 def write_rejects(records: DataFrame, path: str) -> None:

@@ -11,16 +11,22 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sluicework.functions.scalar import dataset_name
 from sluicework.operators.cleansing import check_rows, cast_rows, dedup_rows, detect_pii, infer_types, mask_pii, schema_of
-from sluicework.session import cut_lineage, scratch_path
-from sluicework.sources.files import CONTENT_TYPES, expand_archives, list_files, read_raw, validate_files
+from sluicework.session import scratch_path, ship_package
+from sluicework.sources.archives import member_pieces
+from sluicework.sources.evolution import wider
+from sluicework.sources.files import CONTENT_TYPES, list_files, read_raw, validate_files
+from sluicework.sources.loads import Loads
 from sluicework.sources.sinks import (
-    load_curated, load_staging, read_curated, reject_records, write_rejects, write_silver,
+    load_batches, load_curated, load_staging, read_curated, reject_records, write_rejects, write_silver,
+)
+from sluicework.streaming.together import (
+    TABLE_TYPES, TEXT_FORMATS, Upload, check_cells, decide_columns, judge_files, name_columns, read_cells, rows_of, same_schema,
 )
 
 
@@ -30,11 +36,11 @@ class Zones:
 
     root: str
 
-    def silver(self, dataset: str) -> str:
-        return f"{self.root}/silver/{dataset}"
+    def silver(self, dataset: str, job: str | None = None) -> str:
+        return f"{self.root}/silver/{dataset}" + (f"/__job={job}" if job else "")
 
-    def rejected(self, dataset: str) -> str:
-        return f"{self.root}/rejected/{dataset}"
+    def rejected(self, dataset: str, job: str | None = None) -> str:
+        return f"{self.root}/rejected/{dataset}" + (f"/__job={job}" if job else "")
 
     def staging(self, dataset: str) -> str:
         return f"{self.root}/staging/{dataset}"
@@ -52,6 +58,7 @@ class Zones:
 
 
 _POSITION = "__position"
+_LOG_LOCK = threading.Lock()
 
 
 @dataclass(frozen=True)
@@ -127,7 +134,7 @@ def ingest_file(spark: SparkSession, path: str, fmt: str, dataset: str, job_id:
         if checked is None or not checked["valid"]:
             return {**record, "status": "REJECTED", "error": checked["error"] if checked else "no such file"}
     if fmt in ("parquet", "avro"):
-        write_silver(read_raw(spark, [path], fmt), f"{zones.silver(dataset)}/{job_id}")
+        write_silver(read_raw(spark, [path], fmt), zones.silver(dataset, job_id))
         return {**record, "status": "TRANSFORMING", "error": None}
     raw = read_raw(spark, [path], fmt)
     columns = raw.columns
@@ -136,8 +143,8 @@ def ingest_file(spark: SparkSession, path: str, fmt: str, dataset: str, job_id:
     if cleaned.stats["valid"] == 0:
         return {**record, "status": "REJECTED", "error": f"none of the {cleaned.stats['rejected']} records fits the types"}
     if cleaned.stats["rejected"]:
-        write_rejects(reject_records(cleaned.bad, job_id, F.current_timestamp()), f"{zones.rejected(dataset)}/{job_id}")
-    write_silver(cleaned.good, f"{zones.silver(dataset)}/{job_id}")
+        write_rejects(reject_records(cleaned.bad, job_id, F.current_timestamp()), zones.rejected(dataset, job_id))
+    write_silver(cleaned.good, zones.silver(dataset, job_id))
     return {**record, "status": "TRANSFORMING", "error": None}
 
 
@@ -149,18 +156,19 @@ def known_types(spark: SparkSession, path: str) -> dict[str, str]:
         return {}
 
 
-def record_failure(spark: SparkSession, zones: Zones, job_id: str, dataset: str, error: str, path: str, attempt: int) -> None:
-    """One row for each failed attempt of a job; writing an attempt again changes nothing."""
-    row = spark.range(1).select(
-        F.lit(dataset).alias("dataset"), F.lit(error).alias("error"), F.lit(path).alias("path"),
-        F.unix_micros(F.current_timestamp()).alias("seq"),
-    )
-    row.write.mode("overwrite").parquet(f"{zones.failures}/job_id={job_id}/attempt={attempt}")
+def record_failures(spark: SparkSession, zones: Zones, failures: Sequence[tuple[str, int, str, str, str]]) -> None:
+    """One row (job_id, attempt, dataset, error, path) for each failed attempt; writing an attempt again changes nothing."""
+    if not failures:
+        return
+    rows = spark.createDataFrame(list(failures), "job_id string, attempt long, dataset string, error string, path string")
+    rows = rows.withColumn("seq", F.unix_micros(F.current_timestamp()))
+    with _LOG_LOCK:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id", "attempt").parquet(zones.failures)
 
 
 def load_batch(spark: SparkSession, dataset: str, job_id: str, zones: Zones, day: str) -> int:
     """Silver to staging (replaced) to curated (own partition replaced); returns the rows."""
-    silver = spark.read.parquet(f"{zones.silver(dataset)}/{job_id}")
+    silver = spark.read.parquet(zones.silver(dataset, job_id))
     load_staging(silver, zones.staging(dataset))
     staged = spark.read.parquet(zones.staging(dataset))
     load_curated(staged, zones.curated(dataset), job_id, day)
@@ -173,9 +181,6 @@ _JOB = (
 )
 
 
-_LOG_LOCK = threading.Lock()
-
-
 def job_name(dataset: str, path: str) -> str:
     """The id of an upload's job: the same file has the same job, whenever and wherever it is seen."""
     return f"{dataset}-{hashlib.sha256(re.sub('^file:/+', 'file:/', path).encode()).hexdigest()[:20]}"
@@ -213,17 +218,22 @@ def take_files(spark: SparkSession, uploads: Sequence[tuple[str, str, str]], zon
     A job is logged as UPLOADING before anything else; that entry fixes the day of its curated
     partition. Jobs that ended before are left alone, so a replay, on another day or with a new
     checkpoint, changes nothing; ``again`` runs jobs that wait in UPLOADING. A file that raises
-    is FAILED, and the others go on. Datasets run side by side, the files of one in order of
-    their path, since each adapts to the table the earlier ones left.
+    is FAILED, and the others go on. Text files are cleaned together (:func:`run_together`), in
+    order of their path, since each adapts to the table the earlier ones leave; other files run
+    one by one, datasets side by side.
     """
     known = _known_jobs(spark, zones, [job_name(d, p) for d, _, p in uploads])
     fresh = sorted({(d, f, p) for d, f, p in uploads if job_name(d, p) not in known})
     _log(spark, zones, [{"job_id": job_name(d, p), "dataset": d, "path": p, "format": f, "status": "UPLOADING"} for d, f, p in fresh])
     waiting = [u for u in uploads if again or job_name(u[0], u[2]) not in known or known[job_name(u[0], u[2])]["status"] not in ENDED]
     known |= _known_jobs(spark, zones, [job_name(d, p) for d, _, p in fresh]) if fresh else {}
+    taken = sorted(set(waiting), key=lambda u: (u[0], u[2]))
+    texts = [Upload(job_name(d, p), d, f, p, day or known[job_name(d, p)]["day"]) for d, f, p in taken if f in TEXT_FORMATS]
+    alone = run_together(spark, zones, texts, known, load)
     by_dataset: dict[str, list] = {}
-    for d, f, p in sorted(set(waiting), key=lambda u: (u[0], u[2])):
-        by_dataset.setdefault(d, []).append((f, p))
+    for d, f, p in taken:
+        if f not in TEXT_FORMATS or job_name(d, p) in alone:
+            by_dataset.setdefault(d, []).append((f, p))
     children: list[tuple[str, str, str]] = []
 
     def run(dataset: str) -> None:
@@ -238,6 +248,107 @@ def take_files(spark: SparkSession, uploads: Sequence[tuple[str, str, str]], zon
         take_files(spark, children, zones, load, day)
 
 
+def run_together(spark: SparkSession, zones: Zones, uploads: Sequence[Upload], known: Mapping[str, Mapping], load: bool) -> set[str]:
+    """Validate, clean and load text files in common jobs and log their states; returns the jobs to be run alone.
+
+    Those are the jobs of a group that raised: one by one, only the file at fault will fail.
+    """
+    if not uploads:
+        return set()
+    records: dict[str, list[dict[str, object]]] = {}
+    for u in uploads:
+        about = {"job_id": u.job, "dataset": u.dataset, "path": u.path, "format": u.format}
+        records[u.job] = [{**about, "status": "VALIDATING"}] if known[u.job]["status"] == "UPLOADING" else []
+
+    def end(u: Upload, status: str, error: str | None = None, loaded: int = 0) -> None:
+        record: dict[str, object] = {"job_id": u.job, "dataset": u.dataset, "path": u.path, "format": u.format, "status": status, "error": error}
+        if u.columns and status != "FAILED":
+            stats = {**batch_stats(u.total, u.valid, u.rejected), "loaded": loaded}
+            record |= {**stats, "schema": json.dumps(u.schema), "masked": json.dumps(u.masked)}
+        records[u.job].append(record)
+
+    alone: set[str] = set()
+    try:
+        judge_files(spark, uploads)
+        sound = [u for u in uploads if u.error is None]
+        for u in uploads:
+            if u.error is not None:
+                end(u, "REJECTED", u.error)
+        checked, refused = _check_together(spark, zones, sound, load) if sound else (None, {})
+    except Exception:  # noqa: BLE001  a file that cannot be read is found by running each alone
+        return {u.job for u in uploads}
+    for u in sound:
+        if u.valid == 0:
+            end(u, "REJECTED", f"none of the {u.rejected} records fits the types")
+
+    def write(group: list[Upload]) -> None:
+        dataset, jobs = group[0].dataset, [u for u in group if u.job not in refused]
+        try:
+            if any(u.rejected for u in group):
+                bad = reject_records(rows_of(checked, group, False).drop("__day"), F.col("__job"), F.current_timestamp())
+                _by_job(bad).json(zones.rejected(dataset))
+            good = rows_of(checked, group, True)
+            _by_job(good.drop("__day")).option("compression", "snappy").parquet(zones.silver(dataset))
+            if load and jobs:
+                load_staging(rows_of(checked, jobs, True), zones.staging(dataset))
+                load_batches(spark.read.parquet(zones.staging(dataset)), zones.curated(dataset))
+        except Exception:  # noqa: BLE001  one of the group's files is at fault
+            alone.update(u.job for u in group)
+            return
+        for u in group:
+            end(u, "TRANSFORMING")
+            if load:
+                end(u, "FAILED", refused[u.job]) if u.job in refused else end(u, "LOADED", None, u.valid)
+
+    by_dataset: dict[str, list[list[Upload]]] = {}
+    for group in same_schema([u for u in sound if u.valid]):
+        by_dataset.setdefault(group[0].dataset, []).append(group)
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda groups: [write(g) for g in groups], by_dataset.values()))
+    done = [u for u in uploads if u.job not in alone]
+    failed = [(u.job, known[u.job]["attempts"], u.dataset, str(records[u.job][-1]["error"]), u.path) for u in done if records[u.job][-1]["status"] in ("REJECTED", "FAILED")]
+    record_failures(spark, zones, failed)
+    _log(spark, zones, [r for u in done for r in records[u.job]])
+    return alone
+
+
+def _by_job(df: DataFrame) -> DataFrameWriter:
+    return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("__job")
+
+
+def _check_together(spark: SparkSession, zones: Zones, uploads: Sequence[Upload], load: bool) -> tuple[DataFrame, dict[str, str]]:
+    """(checked rows, jobs the table will not take with the reason); the uploads know their columns, types and counts.
+
+    Types are fitted to the table as the files before leave it. A file that turns out to have no
+    good row leaves nothing, so the fit is repeated without it where that changes a type.
+    """
+    rows = name_columns(read_cells(spark, uploads), uploads)
+    decide_columns(rows, uploads)
+    inferred = {u.job: u.schema for u in uploads}
+    tables = {d: known_types(spark, zones.curated(d)) for d in {u.dataset for u in uploads}}
+    checked, empty = None, set()
+    while True:
+        refused, held = {}, {d: dict(t) for d, t in tables.items()}
+        before = [u.types for u in uploads]
+        for u in sorted(uploads, key=lambda u: (u.dataset, u.path)):
+            table = held[u.dataset]
+            u.types = list(fit_known(inferred[u.job], table).values())
+            if u.job in empty or not load:
+                continue
+            kinds = {c: TABLE_TYPES[k] for c, k in u.schema.items()}
+            wrong = [c for c, k in kinds.items() if wider(table.get(c, k), k) is None]
+            if wrong:
+                refused[u.job] = f"column {wrong[0]} is {kinds[wrong[0]]}, the table {zones.curated(u.dataset)} has {table[wrong[0]]}; nothing was written"
+            else:
+                table.update({c: wider(table.get(c, k), k) for c, k in kinds.items()})
+        if checked is not None and before == [u.types for u in uploads]:
+            return checked, refused
+        checked = check_cells(rows, uploads)
+        empty = {u.job for u in uploads if u.valid == 0}
+        if not empty:
+            return checked, refused
+
+
 # The states that end a job.
 ENDED = ("LOADED", "REJECTED", "FAILED")
 
@@ -249,6 +360,7 @@ def _run_job(spark: SparkSession, zones: Zones, job: str, dataset: str, fmt: str
     inside: list[tuple[str, str, str]] = []
     try:
         if fmt == "zip":
+            ship_package(spark)
             inside = unpack_archive(spark, path, f"{zones.root}/expanded/{job}")
             ended = {**about, "status": "LOADED", "loaded": 0} if inside else {**about, "status": "REJECTED", "error": "the archive holds no supported file"}
         else:
@@ -260,31 +372,36 @@ def _run_job(spark: SparkSession, zones: Zones, job: str, dataset: str, fmt: str
         ended = {**about, "status": "FAILED", "error": str(error)[:2000]}
     records.append(ended)
     if ended["status"] in ("REJECTED", "FAILED"):
-        record_failure(spark, zones, job, dataset, str(ended["error"]), path, found["attempts"])
+        record_failures(spark, zones, [(job, found["attempts"], dataset, str(ended["error"]), path)])
     _log(spark, zones, records)
     return inside
 
 
-def unpack_archive(spark: SparkSession, path: str, folder: str) -> list[tuple[str, str, str]]:
+def unpack_archive(spark: SparkSession, path: str, folder: str, prefix: str = "") -> list[tuple[str, str, str]]:
     """Write an archive's members to the shared folder, byte for byte; returns them as uploads.
 
-    Spark's text writer closes each row with a separator, so a member is written as all but
-    its last byte, with that byte as the separator: one write for each different last byte.
+    Each member has a folder of its own, named by its place and full path in the archive. Its
+    pieces are written in order by Spark's text writer, which closes each with the member's
+    last byte: one write for each different last byte. ``prefix`` goes before the dataset names.
     """
-    members = cut_lineage(
-        expand_archives(spark, [path]).where("member is not null and length(content) > 0")
-        .withColumns({"fmt": F.lower(F.element_at(F.split("member", r"\."), -1)), "ending": F.hex(F.substring("content", -1, 1))})
-    )
-    endings = [r.ending for r in members.select("ending").distinct().collect()]  # at most 256
+    held = member_pieces(spark, [path])
+    name = F.element_at(F.split("member", "/"), -1)
+    held = held.withColumns({
+        "dataset": F.concat(F.lit(prefix), dataset_name(name)), "fmt": F.lower(F.element_at(F.split("member", r"\."), -1)),
+        "file": F.md5(F.concat_ws(":", F.col("number").cast("string"), "member")),
+    })
+    keys = ["dataset", "fmt", "file"]
+    # Only names are kept of this first read.
+    members = held.select("ending", *keys).distinct().collect()
     found: list[tuple[str, str, str]] = []
-    for ending in endings:
-        part = members.where(F.col("ending") == ending).withColumn("file", F.md5("member"))
-        body = F.expr("substring(content, 1, length(content) - 1)").cast("string")
+    for ending in sorted({r.ending for r in members}):  # at most 256
         target = f"{folder}/ending={ending}"
-        part.select(body.alias("value"), "dataset", "fmt", "file").repartition("dataset", "fmt", "file").write.mode("overwrite").partitionBy(
-            "dataset", "fmt", "file"
-        ).option("encoding", "ISO-8859-1").option("lineSep", bytes.fromhex(ending).decode("latin-1")).text(target)
-        found += [(r.dataset, r.fmt, f"{target}/dataset={r.dataset}/fmt={r.fmt}/file={r.file}") for r in part.select("dataset", "fmt", "file").distinct().collect()]
+        part = held.where(F.col("ending") == ending).select(F.col("content").cast("string").alias("value"), *keys, "piece")
+        # A member is one partition of the source, so its pieces stay together and only have to keep their order.
+        part.sortWithinPartitions(*keys, "piece").drop("piece").write.mode("overwrite").partitionBy(*keys).option(
+            "encoding", "ISO-8859-1"
+        ).option("lineSep", bytes([ending]).decode("latin-1")).text(target)
+        found += [(r.dataset, r.fmt, f"{target}/dataset={r.dataset}/fmt={r.fmt}/file={r.file}") for r in members if r.ending == ending]
     return found
 
 
@@ -324,13 +441,26 @@ def stream_load(
     spark: SparkSession, source: str, schema: str, target: str, checkpoint: str,
     transform: Callable[[DataFrame], DataFrame] = lambda df: df, day: str = "1970-01-01", files: str = "*.parquet",
 ) -> StreamingQuery:
-    """Second stage: new silver files go to a curated table, one partition per batch."""
+    """Second stage: new silver files go to a curated table, one partition per batch, each file once.
+
+    What has been loaded is known from a ledger beside the table, not from the checkpoint: a
+    replayed batch replaces its partition, and a stream with a new checkpoint, which sees all
+    files again, takes only those that no finished batch holds. Partitions of batches that
+    never finished are dropped. One stream loads a table at a time.
+    """
     incoming = spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(source)
+    named = incoming.select("*", F.col("_metadata.file_path").alias("__file"))
+    run = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
 
     def take(batch: DataFrame, number: int) -> None:
-        load_curated(transform(batch), target, f"batch-{number}", day)
-
-    return incoming.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(take).start()
+        loads = Loads(batch.sparkSession, target)
+        name = loads.begin(run, number)
+        fresh = batch.join(loads.finished_files(name), "__file", "left_anti")
+        loads.intend(name, run, number, fresh.select("__file").distinct())
+        load_curated(transform(fresh.drop("__file")), target, name, day)
+        loads.finish(name)
+
+    return named.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(take).start()
 
 
 def file_jobs(spark: SparkSession, inbox: str) -> DataFrame:

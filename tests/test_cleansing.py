@@ -32,8 +32,12 @@ def test_underscore_joins_words():
 
 
 def test_personal_columns_by_value(spark):
-    rows = [(f"user{i}@example.com", f"value{i}") for i in range(10)]
-    assert detect(spark, rows, ["contact", "data"]) == {"contact": "email"}
+    """Eleven of 20 sampled cells are enough, nine are not; what follows the sample does not count."""
+    def cells(good):
+        return [f"crew-{i}@harbour-{i % 3}.net" if i % 20 < good else f"berth {i}" for i in range(20)] + ["mail@quay.org"] * 30
+
+    rows = list(zip(cells(11), cells(9), [f"{i:03}-{i:02}-{i:04}" for i in range(50)], strict=True))
+    assert detect(spark, rows, ["reach", "mixed", "mark"]) == {"reach": "email", "mark": "ssn"}
 
 
 def test_half_the_values_are_enough_and_less_is_not(spark):
@@ -43,14 +47,14 @@ def test_half_the_values_are_enough_and_less_is_not(spark):
 
 
 def test_no_personal_data(spark):
-    df = frame(spark, [("100", "5", "active"), ("200", "10", "inactive")], ["score", "level", "status"])
-    assert C.detect_pii(df, ["score", "level", "status"], ["i"]) == {}
+    df = frame(spark, [("7.5", "tug"), ("-1", "ferry"), (None, "")], ["draught", "vessel"])
+    assert C.detect_pii(df, ["draught", "vessel"], ["i"]) == {}
     assert C.mask_pii(df, {}) is df
     assert C.pii_report(df, {}).count() == 0
 
 
 def test_report_counts_cells_that_hold_text(spark):
-    df = frame(spark, [("", "555-123-4567"), ("alice@example.com", "555-987-6543"), ("  ", None)], ["email", "phone"])
+    df = frame(spark, [("", "301.555.0188"), ("pilot@quay.org", "301.555.0199"), ("  ", None)], ["email", "phone"])
     report = {r["column_name"]: r["masked_cells"] for r in C.pii_report(df, {"email": "email", "phone": "phone"}).collect()}
     assert report == {"email": 2, "phone": 2}
     masked = C.mask_pii(df, {"email": "email"}).orderBy("i").collect()
