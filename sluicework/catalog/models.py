@@ -20,7 +20,8 @@ from sluicework.operators import learning as L
 from sluicework.operators import quality as Q
 from sluicework.plans import analyses as P
 from sluicework.plans import bindings as B
-from sluicework.session import cut_lineage
+from sluicework.plans import publish as W
+from sluicework.session import cut_lineage, scratch_path
 
 
 def places(rows):
@@ -172,3 +173,12 @@ _job("pitstop_impact", lambda t: P.pitstop_impact(V.pitstop_view(t))["f1_pitstop
 _job("match_margins", lambda t: P.match_margins(V.match_view(t), ("matchId",))["nrl_match_predictions"])
 _job("league_rankings", lambda t: P.league_rankings(V.season_view(t), rules=gate("nrl_team", ranges={}))["nrl_team_rankings"])
 _job("coaching_insights", lambda t: P.coaching_insights(V.coaching_view(t), R.matches(t), rules=gate("nrl_coaching", ranges={}))["nrl_team_profiles"])
+
+
+@query("sink_analysis", sql=R.with_positions("SELECT * FROM weights"))
+def sink_analysis(t):
+    """An analysis published twice under one run: its declared table is there once."""
+    root, importances = scratch_path(t.spark, "results"), cut_lineage(R.importances(t).withColumn("model_type", F.lit("controllable")))
+    for _ in range(2):
+        W.publish(P.positional_values(importances), root, "run-1", "team_player_bridge")
+    return t.spark.read.parquet(f"{root}/positional_value_weights")

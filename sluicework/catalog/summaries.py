@@ -237,9 +237,9 @@ def ml_dominance_pillars(t):
 
 @query("ml_dominance_ranking", sql=using("dominance", body="") + f""", {RANKING}
 SELECT row_number() OVER (ORDER BY mean_d * 0.6::DOUBLE + peak_d * 0.4::DOUBLE DESC, team) AS rank, team, {even('mean_d * 0.6::DOUBLE + peak_d * 0.4::DOUBLE', 4)} AS composite_score, {even('mean_d', 4)} AS mean_dominance,
-  {even('peak_d', 4)} AS peak_dominance, total_wins, total_losses, {even('win_pct', 4)} AS avg_win_pct, {even('ppg', 4)} AS avg_points_per_game, {even('opg', 4)} AS avg_points_opp_per_game, best_season_year FROM ranking""")
+  {even('peak_d', 4)} AS peak_dominance, (SELECT count(*) FROM dominance d WHERE d.team = ranking.team AND d.dominance_score >= bar) AS seasons_top_8, total_wins, total_losses, {even('win_pct', 4)} AS avg_win_pct, {even('ppg', 4)} AS avg_points_per_game, {even('opg', 4)} AS avg_points_opp_per_game, best_season_year FROM ranking""")
 def ml_dominance_ranking(t):
-    return C.dominance_rankings(C.dominance_seasons(V.team_view(t))).drop("seasons_top_8")
+    return C.dominance_rankings(C.dominance_seasons(V.team_view(t)))
 
 
 def _norm(c: str, inverted: bool = False) -> str:

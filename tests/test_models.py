@@ -5,12 +5,14 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluicework.operators import isolation as I
 from sluicework.operators import learning as L
 from sluicework.plans import analyses as P
 from sluicework.plans import bindings as B
 from sluicework.plans import feature_views as FV
+from sluicework.plans import publish as W
 
 
 @pytest.fixture(scope="module")
@@ -100,6 +102,26 @@ def test_team_dominance_job(tables):
     assert 0.5 < out["metrics"].first()["metric_value"] <= 1
 
 
+def test_analyses_publish_their_declared_tables(spark, tables, tmp_path):
+    root, views = str(tmp_path), {"team": FV.team_features(B.team_stats(tables))}
+    made = {
+        "team_dominance": P.team_dominance(views["team"], trees=2, rules=None),
+        "team_wins": P.team_wins(views["team"], P.Boost(2, 2, 0.1, 0.8, 1), rules=None),
+        "team_profile": P.team_profile(views["team"], rules=None),
+    }
+    written = [name for job, out in made.items() for name in W.publish(out, root, "r1", job)]
+    assert len(written) == 6
+    for name in written:
+        got = spark.read.parquet(f"{root}/{name}")
+        assert got.schema.simpleString() == T.StructType.fromDDL(W.SCHEMAS[name]).simpleString() and got.count() > 0
+    W.publish(made["team_profile"], root, "r1", "team_profile")
+    log = spark.read.parquet(f"{root}/pipeline_runs")
+    assert {r.pipeline_name for r in log.collect()} == set(made) and log.where("pipeline_name = 'team_profile'").count() == 2
+    with pytest.raises(ValueError, match="declared"):
+        W.publish({"team_optimal_profile": views["team"]}, root, "r2", "team_profile")
+    assert len(W.SCHEMAS) == 26
+
+
 class Asked(Exception):
     pass
 
