@@ -1,35 +1,37 @@
 """Histogram boosting: many fits grow in the same Spark jobs.
 
-Every feature is cut at quantiles into at most ``bins`` bins once. The binned rows are held as
-blocks of a few thousand rows. One level of one tree of *all* fits (the folds of a
+Every feature is cut at quantiles into at most ``bins`` bins once. Rows whose bins are all equal
+are one *cell*: they stay together in every tree, so a level works on cells, and rows count
+only where a tree draws its share of them. The rows are range-partitioned by their bins, so that
+equal ones meet, and held as blocks. One level of one tree of *all* fits (the folds of a
 cross-validation and the fit on all rows) is one job: each block adds up its residuals by
-(fit, node, feature, bin), Spark sums these cells over all blocks, and the driver picks the
-splits from the sums, whose number depends on the settings and not on the rows.
+(fit, node, feature, bin), the sums of a fit meet in one task that picks the splits, and the
+driver sees the trees only.
 
 A fit starts from the mean of its target (or the log odds of its label). Each tree is grown on
 the residuals of a fresh share of the rows; splits maximise ``n_l * n_r / n * (mean_l - mean_r)^2``,
 a leaf adds ``rate`` times its mean residual (for labels, one Newton step).
 
 A fit is hundreds of short jobs, one after the other, so the blocks are held as an RDD of arrays:
-a level then costs little more than the start of its tasks. The running predictions of a block
-are kept with it, cached from tree to tree, so that a lost block is worked out again from the
+a level then costs little more than the start of its tasks, and a small table is one block in one
+task. The running predictions of a block are kept with it, cached from tree to tree, so that a lost block is worked out again from the
 last checkpoint, which is written every ``STORE`` trees.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import RDD, StorageLevel
+from pyspark import RDD, StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluicework.session import cut_lineage, shared_dir, ship_package
 
-BLOCK, STORE, FEW = 1 << 14, 50, 64
+SMALL, BLOCK, STORE = 1 << 16, 1 << 21, 50
 
 
 @dataclass(frozen=True)
@@ -112,55 +114,99 @@ def quantile_cuts(df: DataFrame, columns: Sequence[str], bins: int) -> list[np.n
     return [np.unique([v for v in q if v < q[-1]]) if q else np.empty(0) for q in found]
 
 
-def _blocks(df: DataFrame, columns: Sequence[str], target: str, fold: str, cuts: list[np.ndarray]) -> DataFrame:
-    """The binned rows, stored as blocks: (block, bins, target, fold), each a packed array."""
+def _blocks(df: DataFrame, columns: Sequence[str], target: str, fold: str, cuts: list[np.ndarray], number: int) -> DataFrame:
+    """The binned rows in the order of their bins, stored as ``number`` blocks of packed arrays.
+
+    ``bins`` has a column for each cell, ``cell`` and ``fold`` an entry for each (cell, fold) that
+    occurs, ``start`` the first row of each; ``target`` holds the rows.
+    """
     binner = Fit(cuts, 0.0, 0.0, False)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                piece = batch.slice(at, BLOCK)
-                x = np.stack([c.to_numpy(zero_copy_only=False) for c in piece.columns[2:]], axis=1)
-                y, fold_of = piece.column(0).to_numpy().astype(np.float64), piece.column(1).to_numpy().astype(np.uint8)
-                cells = [binner.binned(x).tobytes(), y.tobytes(), fold_of.tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], ["bins", "target", "fold"])
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]], axis=1)
+            packed = np.ascontiguousarray(binner.binned(x).T).tobytes()
+            bins = pa.Array.from_buffers(pa.binary(len(cuts)), batch.num_rows, [None, pa.py_buffer(packed)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([bins, *batch.columns[:2]], ["bins", "target", "fold"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        bins = np.concatenate([np.frombuffer(b.column(0).cast(pa.binary(len(cuts))).buffers()[1], np.uint8)[b.column(0).offset * len(cuts) :][: b.num_rows * len(cuts)].reshape(-1, len(cuts)) for b in held])
+        y = np.concatenate([b.column(1).to_numpy() for b in held])
+        folds = np.concatenate([b.column(2).to_numpy() for b in held]).astype(np.uint8)
+        other = np.concatenate(([True], (bins[1:] != bins[:-1]).any(axis=1)))
+        start = np.flatnonzero(other | np.concatenate(([True], folds[1:] != folds[:-1])))
+        cell = (np.cumsum(other) - 1)[start]
+        cells = [np.ascontiguousarray(bins[other].T), cell.astype(np.int32), folds[start], start.astype(np.int32), y]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([TaskContext.get().partitionId()]), *[pa.array([c.tobytes()], pa.binary()) for c in cells]], ["block", "bins", "cell", "fold", "start", "target"]
+        )
 
     rows = df.select(F.col(target).cast("double"), F.col(fold).cast("int"), *[F.col(c).cast("double") for c in columns])
-    # A table that is one split would be one task at every level.
-    spread = rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()))
-    packed = spread.mapInArrow(run, "bins binary, target binary, fold binary")
-    return cut_lineage(packed.withColumn("block", F.monotonically_increasing_id()))
+    # Rows equal in bins, fold and target are alike; numbering them only lets the ranges cut them.
+    keyed = rows.mapInArrow(cut, "bins binary, target double, fold int").withColumn("tie", F.xxhash64(F.monotonically_increasing_id()))
+    order = ["bins", "fold", "target", "tie"]
+    spread = keyed.repartitionByRange(number, *order) if number > 1 else keyed.coalesce(1)
+    packed = spread.sortWithinPartitions(*order).select("bins", "target", "fold").mapInArrow(pack, "block long, bins binary, cell binary, fold binary, start binary, target binary")
+    return cut_lineage(packed)
 
 
 @dataclass
 class State:
-    """A block of binned rows with what every fit predicts for them so far."""
+    """A block with what every fit predicts for its cells so far, and the rows that grow the present tree.
+
+    ``drawn`` and ``summed`` are the number of these rows and the sum of their targets by (cell, fold).
+    """
 
     block: int
     bins: np.ndarray
-    target: np.ndarray
+    cell: np.ndarray
     fold: np.ndarray
+    start: np.ndarray
+    target: np.ndarray
     margin: np.ndarray
+    drawn: np.ndarray
+    summed: np.ndarray
 
     @classmethod
-    def begin(cls, row, base: np.ndarray) -> State:
-        y = np.frombuffer(row["target"])
-        bins = np.frombuffer(row["bins"], np.uint8).reshape(-1, len(y))
-        return cls(row["block"], bins, y, np.frombuffer(row["fold"], np.uint8), np.repeat(base[:, None], len(y), axis=1))
-
-    def grown(self, trees: list[Tree], depth: int, rate: float) -> State:
-        """After the trees: a row's margin moves in every fit, also in those it is held out of."""
-        moved = np.stack([self.margin[m] + rate * t.value[t.places(self.bins, depth)] for m, t in enumerate(trees)])
-        return State(self.block, self.bins, self.target, self.fold, moved)
-
-    def gradient(self, fit: int, rows: np.ndarray, logistic: bool) -> tuple[np.ndarray, np.ndarray | None]:
-        if not logistic:
-            return self.target[rows] - self.margin[fit, rows], None
-        p = 1 / (1 + np.exp(-self.margin[fit, rows]))
-        return self.target[rows] - p, p * (1 - p)
-
-
-def partial_sums(blocks: Iterable[State], trees: list[Tree], number: int, level: int, settings: Settings, features: int, folds: int) -> np.ndarray:
+    def begin(cls, row, base: np.ndarray, features: int, settings: Settings) -> State:
+        bins = np.frombuffer(row["bins"], np.uint8).reshape(features, -1)
+        cell, fold, start = (np.frombuffer(row[c], t) for c, t in (("cell", np.int32), ("fold", np.uint8), ("start", np.int32)))
+        none = np.zeros(0)
+        margin = np.repeat(base[:, None], bins.shape[1], axis=1)
+        return cls(row["block"], bins, cell, fold, start, np.frombuffer(row["target"]), margin, none, none).drawing(0, settings)
+
+    def drawing(self, number: int, settings: Settings) -> State:
+        """With the share of the rows that grows the tree of this number."""
+        if settings.subsample >= 1:
+            if len(self.drawn):
+                return self
+            return replace(self, drawn=np.diff(self.start, append=len(self.target)), summed=np.add.reduceat(self.target, self.start))
+        kept = np.random.default_rng((settings.seed, number, self.block)).random(len(self.target)) < settings.subsample
+        return replace(self, drawn=np.add.reduceat(kept, self.start, dtype=np.int64), summed=np.add.reduceat(np.where(kept, self.target, 0.0), self.start))
+
+    def grown(self, trees: list[Tree], number: int, settings: Settings) -> State:
+        """After the trees, drawn for the tree of this number: a cell's margin moves in every fit."""
+        moved = np.stack([self.margin[m] + settings.rate * t.value[t.places(self.bins, settings.depth)] for m, t in enumerate(trees)])
+        return replace(self, margin=moved).drawing(number, settings)
+
+    def totals(self) -> tuple[np.ndarray, np.ndarray]:
+        """The drawn rows of each cell, and their sum, over all folds."""
+        first = np.flatnonzero(np.diff(self.cell, prepend=-1))
+        return np.add.reduceat(self.drawn, first), np.add.reduceat(self.summed, first)
+
+    def without(self, fit: int, totals: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """``totals`` less the rows of one fold."""
+        own = np.flatnonzero(self.fold == fit)
+        out = [t.copy() for t in totals]
+        for t, part in zip(out, (self.drawn, self.summed), strict=True):
+            t[self.cell[own]] -= part[own]
+        return out[0], out[1]
+
+
+def partial_sums(blocks: Iterable[State], trees: list[Tree], level: int, settings: Settings, features: int, folds: int) -> np.ndarray:
     """Sums (fit, node of the level, feature, bin, statistic) over the rows of some blocks that grow this tree.
 
     The statistics are the residuals, the rows and, for labels, the curvature.
@@ -168,29 +214,46 @@ def partial_sums(blocks: Iterable[State], trees: list[Tree], number: int, level:
     fits, nodes, bins_of, logistic = len(trees), 1 << level, settings.bins, settings.logistic
     total = np.zeros((fits, features, 3 if logistic else 2, nodes * bins_of))
     for state in blocks:
-        drawn = np.random.default_rng((settings.seed, number, state.block)).random(len(state.target)) < settings.subsample
+        everything = state.totals()
         for m, tree in enumerate(trees):
+            count, summed = state.without(m, everything) if m < folds else everything
             place = tree.places(state.bins, level) - (nodes - 1)
-            rows = np.flatnonzero(drawn & (place >= 0) & ((state.fold != m) | (m >= folds)))
-            gradient, curve = state.gradient(m, rows, logistic)
-            first = place[rows] * bins_of
+            at = np.flatnonzero((place >= 0) & (count > 0))
+            n, shown, first = count[at].astype(np.float64), state.margin[m, at], place[at] * bins_of
+            if logistic:
+                p = 1 / (1 + np.exp(-shown))
+                gradient, curve = summed[at] - n * p, n * p * (1 - p)
+            else:
+                gradient = summed[at] - n * shown
             for f in range(features):
-                key = first + state.bins[f, rows]
+                key = first + state.bins[f, at]
                 total[m, f, 0] += np.bincount(key, gradient, nodes * bins_of)
-                total[m, f, 1] += np.bincount(key, minlength=nodes * bins_of)
+                total[m, f, 1] += np.bincount(key, n, nodes * bins_of)
                 if logistic:
                     total[m, f, 2] += np.bincount(key, curve, nodes * bins_of)
     return total.reshape(fits, features, -1, nodes, bins_of).transpose(0, 3, 1, 4, 2)
 
 
-def _level(state: RDD, trees: list[Tree], number: int, level: int, settings: Settings, features: int, folds: int) -> np.ndarray:
-    """The sums of all blocks, added up in the executors first where there are many parts."""
+def _level(state: RDD, trees: list[Tree], level: int, settings: Settings, features: int, folds: int) -> list[Tree]:
+    """The trees with the splits of one level; the sums of a fit meet in one task, in the order of the parts."""
+
+    def sums(part: int, blocks: Iterator[State]) -> Iterator[tuple[int, tuple[int, np.ndarray]]]:
+        for m, own in enumerate(partial_sums(blocks, trees, level, settings, features, folds)):
+            yield m, (part, own)
 
-    def run(blocks: Iterator[State]) -> Iterator[np.ndarray]:
-        yield partial_sums(blocks, trees, number, level, settings, features, folds)
+    def choose(items: Iterator[tuple[int, tuple[int, np.ndarray]]]) -> Iterator[tuple[int, Tree]]:
+        held: dict[int, list] = {}
+        for m, own in items:
+            held.setdefault(m, []).append(own)
+        for m, parts in held.items():
+            whole = sum(own for _, own in sorted(parts, key=lambda p: p[0]))
+            choose_splits(trees[m], whole, level, settings)
+            yield m, trees[m]
 
-    parts = state.mapPartitions(run)
-    return parts.reduce(np.add) if state.getNumPartitions() <= FEW else parts.treeReduce(np.add, 2)
+    made = state.mapPartitionsWithIndex(sums)
+    if state.getNumPartitions() > 1:
+        made = made.partitionBy(len(trees), lambda m: m)
+    return [tree for _, tree in sorted(made.mapPartitions(choose).collect(), key=lambda p: p[0])]
 
 
 def choose_splits(tree: Tree, sums: np.ndarray, level: int, settings: Settings) -> None:
@@ -246,23 +309,24 @@ def fit_folds(df: DataFrame, columns: Sequence[str], target: str, fold: str, fol
     cuts = quantile_cuts(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), columns, settings.bins)
     fits = [Fit(cuts, b, settings.rate, settings.logistic) for b in base]
     start = np.array(base)
-    blocks = _blocks(df, columns, target, fold, cuts)
-    state = blocks.rdd.map(lambda row: State.begin(row, start)).persist(StorageLevel.MEMORY_AND_DISK)
+    rows, features = sum(v[0] for v in sums.values()), len(columns)
+    tasks = max(1, min(context.defaultParallelism, -(-rows // SMALL)))
+    number = max(tasks, -(-rows // BLOCK))
+    placed = _blocks(df, columns, target, fold, cuts, number).rdd.map(lambda row: (row["block"], row)).partitionBy(tasks, lambda block: block)
+    state = placed.map(lambda p: State.begin(p[1], start, features, settings)).persist(StorageLevel.MEMORY_AND_DISK)
     older = None
     try:
         for number in range(settings.trees):
             trees = [Tree.empty(settings.depth) for _ in fits]
             for level in range(settings.depth):
-                sums_of = _level(state, trees, number, level, settings, len(columns), folds)
-                for tree, own in zip(trees, sums_of, strict=True):
-                    choose_splits(tree, own, level, settings)
+                trees = _level(state, trees, level, settings, features, folds)
                 if older is not None:  # the new state has been worked out by now
                     older.unpersist()
                     older = None
             for fit, tree in zip(fits, trees, strict=True):
                 fit.trees.append(tree)
             if number + 1 < settings.trees:
-                older, state = state, state.map(lambda s, t=trees: s.grown(t, settings.depth, settings.rate)).persist(StorageLevel.MEMORY_AND_DISK)
+                older, state = state, state.map(lambda s, t=trees, n=number + 1: s.grown(t, n, settings)).persist(StorageLevel.MEMORY_AND_DISK)
                 if (number + 1) % STORE == 0:
                     state.checkpoint()
     finally:

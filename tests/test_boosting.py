@@ -140,3 +140,30 @@ def test_held_out_error_is_that_of_spark_ml(spark):
     ours = float(np.sqrt(np.mean((fit.margins(x[held]) - y[held]) ** 2)))
     rows.unpersist()
     assert ours <= 1.01 * theirs
+
+
+def test_equal_rows_are_one_cell_and_blocks_add_up(spark, monkeypatch):
+    x, y, fold = data_of(60)
+    x, y, fold = np.tile(x, (30, 1)), np.concatenate([y + k % 3 for k in range(30)]), np.tile(fold, 30)
+    rows, settings = table_of(spark, x, y, fold), B.Settings(trees=3, depth=3, subsample=1.0, bins=16)
+    want = B.fit_folds(rows, list("abcd"), "y", "fold", 3, settings)
+    packed = B._blocks(rows, list("abcd"), "y", "fold", want[0].cuts, 1).first()
+    assert len(packed["target"]) == 8 * 1800 and len(packed["bins"]) == 4 * len(np.unique(want[0].binned(x), axis=1).T)
+    monkeypatch.setattr(B, "SMALL", 300)
+    monkeypatch.setattr(B, "BLOCK", 200)
+    got = B.fit_folds(rows, list("abcd"), "y", "fold", 3, settings)
+    assert all(np.allclose(a.margins(x), b.margins(x)) for a, b in zip(got, want, strict=True))
+    drawn = B.fit_folds(rows, list("abcd"), "y", "fold", 3, B.Settings(trees=3, depth=3, subsample=0.8, bins=16))
+    assert np.corrcoef(drawn[3].margins(x), want[3].margins(x))[0, 1] > 0.99
+
+
+def test_the_driver_sees_trees_only(spark, monkeypatch):
+    import pickle
+
+    from pyspark import RDD
+
+    seen, plain = [], RDD.collect
+    monkeypatch.setattr(RDD, "collect", lambda rdd: (seen.append(found := plain(rdd)), found)[1])
+    x, y, fold = data_of(2000)
+    B.fit_folds(table_of(spark, x, y, fold).repartition(8), list("abcd"), "y", "fold", 3, B.Settings(trees=2, depth=5))
+    assert sum(len(pickle.dumps(found)) for found in seen) < 200_000
