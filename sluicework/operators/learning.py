@@ -1,14 +1,10 @@
-"""Model operators on Spark ML: scaling, clustering sweeps, boosting, ridge."""
+"""Model operators: scaling, clustering sweeps, boosting, ridge."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -17,6 +13,7 @@ from pyspark.sql import functions as F
 from sluicework.functions import constants as K
 from sluicework.functions.scalar import half_even
 from sluicework.operators import boosting as B
+from sluicework.operators import clustering as C
 from sluicework.operators.skew import rank_rows
 from sluicework.session import cut_lineage
 
@@ -52,40 +49,32 @@ def kmeans_sweep(df: DataFrame, columns: Sequence[str], ks: Sequence[int], start
     """(model, sweep rows): per k the cheapest of ``starts`` fits, best silhouette wins.
 
     The silhouette is the squared-distance form, linear in the rows; the pairwise form
-    would compare all rows with all rows.
+    would compare all rows with all rows. All fits move together, see
+    :mod:`sluicework.operators.clustering`.
     """
-    data = assemble(df, columns).select(FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
-    score = ClusteringEvaluator(featuresCol=FEATURES, predictionCol="cluster_id")
-    best, sweep = None, []
-    try:
-        for k in ks:
-            learners = [KMeans(k=k, seed=seed + s, maxIter=300, featuresCol=FEATURES, predictionCol="cluster_id") for s in range(starts)]
-            with ThreadPoolExecutor(min(8, starts)) as pool:  # the starts are independent jobs
-                fits = list(pool.map(lambda learner: learner.fit(data), learners))
-            model = min(fits, key=lambda m: m.summary.trainingCost)
-            labelled = model.transform(data)
-            found = labelled.select("cluster_id").distinct().limit(2).count()
-            silhouette = score.evaluate(labelled) if found > 1 else -1.0
-            sweep.append((k, round(silhouette, 4), round(model.summary.trainingCost, 2)))
-            if best is None or silhouette > best[1]:
-                best = (model, silhouette)
-    finally:
-        data.unpersist()
-    rows = df.sparkSession.createDataFrame(sweep, "k int, silhouette double, inertia double")
-    return best[0], rows
+    found = C.sweep(df, columns, list(ks), starts, seed)
+    rows = [(k, round(silhouette, 4), round(cost, 2)) for k, _, silhouette, cost in found]
+    best = max(found, key=lambda f: f[2])
+    return best[1], df.sparkSession.createDataFrame(rows, "k int, silhouette double, inertia double")
 
 
 def assign_clusters(df: DataFrame, model, columns: Sequence[str]) -> DataFrame:
     """Append cluster_id and impact_score = 1 / (1 + distance to the own centre)."""
     centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
-    labelled = model.transform(assemble(df, columns))
+    placed = assemble(df, columns).withColumn("__point", vector_to_array(FEATURES))
+    near = placed.withColumn("__gaps", F.transform(centres, lambda c: squared_gap(F.col("__point"), c)))
+    labelled = near.withColumn("cluster_id", (F.array_position("__gaps", F.array_min("__gaps")) - 1).cast("int"))
     own = F.element_at(centres, F.col("cluster_id") + 1)
-    return labelled.withColumn("impact_score", impact_score(vector_to_array(FEATURES), own)).drop(FEATURES)
+    return labelled.withColumn("impact_score", impact_score(F.col("__point"), own)).drop(FEATURES, "__point", "__gaps")
 
 
-def impact_score(point, centre):
+def squared_gap(point, centre):
     gaps = F.zip_with(point, centre, lambda a, b: (a - b) * (a - b))
-    distance = F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x))
+    return F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x)
+
+
+def impact_score(point, centre):
+    distance = F.sqrt(squared_gap(point, centre))
     return half_even(F.lit(1.0) / (F.lit(1.0) + distance), 4)
 
 
