@@ -3,11 +3,14 @@
 Lines, paragraphs and the whole text of a document are normalised and compared to templates,
 all with column functions inside the row: nothing is shuffled. Two sets of a and b bigrams
 can reach a coefficient of ``least`` only when ``least / (2 - least) <= a / b`` and the other
-way round, so a unit meets only the templates within these bounds.
+way round, so a unit meets only the templates within these bounds. It must also hold more of a
+template's bigrams than those without a cue word, so a text without any cue word matches nothing.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +52,29 @@ def template_bigrams(templates: dict[str, str]) -> dict[str, list[str]]:
     return found
 
 
+# Words that most English texts hold; as cue words they would tell nothing.
+_PLAIN = set("a all and any are as at be by following for free from in is may not of on or other that the this to under use with without work you".split())
+
+
+def cue_words(held: dict[str, list[str]], least: float) -> list[str]:
+    """Words of which each unit that reaches ``least`` with some template holds at least one.
+
+    A unit with c common bigrams reaches it only if c is at least ``least / (2 - least)`` of the
+    template's, so the words are chosen to leave fewer bigrams than that without one of them.
+    """
+    chosen: set[str] = set()
+    for grams in held.values():
+        need = max(1, math.ceil(len(grams) * least / (2 - least) - 1e-9))
+        words = sorted({w for g in grams for w in g.split()}, key=lambda w: (w not in chosen, w in _PLAIN, -len(w), w))
+        bare = [g for g in grams if not chosen.intersection(g.split())]
+        for word in words:
+            if len(bare) < need:
+                break
+            chosen.add(word)
+            bare = [g for g in bare if word not in g.split()]
+    return sorted(chosen)
+
+
 def normalised(text: Column) -> Column:
     """ASCII letters and digits in lower case, line ends kept, everything else one space; one spelling of licence."""
     return F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^A-Za-z0-9\n]+", " ")), "licence", "license")
@@ -65,7 +91,9 @@ def matches(text: Column, templates: dict[str, str] = TEMPLATES, least: float =
     low, high = min(sizes) * least / (2 - least), max(sizes) * (2 - least) / least
     known = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, b)).alias("grams"), F.lit(len(b)).alias("n")) for name, b in held.items()])
     plain = normalised(text)
+    cue = r"\b(?:" + "|".join(cue_words(held, least)) + r")\b"
     units = F.array_distinct(F.concat(F.split(plain, "\n"), F.split(plain, r"\n[ \n]*\n"), F.array(plain)))
+    units = F.when(F.rlike(plain, F.lit(cue)), F.filter(units, lambda u: F.rlike(u, F.lit(cue)))).otherwise(F.array().cast("array<string>"))
     # A unit of w words has at most w - 1 different bigrams; those with too few go before any is made.
     words = F.filter(F.transform(units, _words), lambda w: F.size(w) > low)
     grams = F.transform(words, lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))))

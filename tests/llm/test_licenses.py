@@ -48,3 +48,12 @@ def test_repeated_rows_null_ids_and_empty_table(docs_of):
 def test_no_python_in_the_plan(docs_of):
     plan = L.scan(docs_of([(1, "x")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Exchange" not in plan
+
+
+def test_no_match_goes_without_a_cue_word():
+    held = L.template_bigrams(L.TEMPLATES)
+    cues = set(L.cue_words(held, L.LEAST))
+    for grams in held.values():
+        bare = [g for g in grams if not cues.intersection(g.split())]
+        assert len(bare) < len(grams) * L.LEAST / (2 - L.LEAST)
+    assert not cues & {"the", "under", "all", "of", "and"}
