@@ -36,7 +36,7 @@ from sluicework.llm.sentencepieces import ship
 from sluicework.session import scratch_path
 
 
-TOGETHER, GROUP_BYTES = 24, 1 << 24
+TOGETHER, GROUP_BYTES = 24, 1 << 22
 
 
 class Tokenizer:

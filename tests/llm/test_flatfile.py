@@ -62,3 +62,17 @@ def test_any_end_id_and_wide_ids(spark, docs_of):
 
 def test_empty_table(spark, docs_of):
     assert T.round_trip(docs_of([]), PATH, 2).count() == 0
+
+
+def test_memory_of_one_call_is_that_of_a_small_group(small_docs):
+    import tracemalloc
+
+    texts = [(r.text or "").encode() for r in small_docs.collect()]
+    texts = texts * (14_000_000 // sum(map(len, texts)) + 1)
+    tokenizer = T.Tokenizer(PATH, "<u2")
+    tokenizer.encode(texts)
+    tracemalloc.start()
+    tokenizer.encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000_000
