@@ -2,8 +2,8 @@
 
 Rows of all text files of a micro-batch are one table (file, place, cells). What a file's columns
 are called, which of them are personal and which types they have is decided by votes grouped by
-(file, column) over the file's first rows; the decisions, one row for each file, are joined back
-and every cell is masked and checked by them. Files with the same dataset, columns and types are
+(file, column) over the file's first rows; the decisions, one row for each file, are broadcast
+and every cell is masked and checked by them, so a large file is not gathered in one task. Files with the same dataset, columns and types are
 written together. The number of jobs depends on how many different schemas there are, not on the
 number of files.
 """
@@ -139,7 +139,7 @@ def name_columns(rows: DataFrame, uploads: Sequence[Upload]) -> DataFrame:
         u.columns = [k for _, k in sorted(found)] if u.format == "ndjson" else sorted(k for _, k in found)
     plan = spark.createDataFrame([(u.file, u.columns) for u in uploads], "file string, columns array<string>")
     first = headers.select("file", F.struct("first.block", "first.row").alias("header"))
-    joined = rows.join(plan, "file").join(first, "file", "left").where(F.col("header").isNull() | (place != F.col("header")))
+    joined = rows.join(F.broadcast(plan), "file").join(F.broadcast(first), "file", "left").where(F.col("header").isNull() | (place != F.col("header")))
     by_name = F.transform("columns", lambda c: F.col("pairs")[c])
     own = F.when(F.col("pairs").isNotNull(), by_name).otherwise(F.slice("cells", F.lit(1), F.size("columns")))
     return cut_lineage(joined.select("file", "block", "row", own.alias("cells")))
@@ -171,7 +171,7 @@ def decide_columns(rows: DataFrame, uploads: Sequence[Upload]) -> None:
     kinds = [(u.file, k, kind) for u in uploads for k, kind in enumerate(u.kinds)]
     if not kinds:
         return
-    hidden = cells.join(spark.createDataFrame(kinds, "file string, at int, kind string"), ["file", "at"])
+    hidden = cells.join(F.broadcast(spark.createDataFrame(kinds, "file string, at int, kind string")), ["file", "at"])
     text = strip(null_token(_masked(F.col("value"), F.col("kind"))))
     hidden = hidden.select("file", "at", text.alias("text"))
 
@@ -198,7 +198,7 @@ def check_cells(rows: DataFrame, uploads: Sequence[Upload]) -> DataFrame:
     for r in rows.groupBy("file").agg(F.count("*").alias("n")).collect():
         by_file[r.file].total = r.n
     masked = F.transform("cells", lambda c, i: F.coalesce(_masked(c, F.col("kinds")[i]), F.lit("")))
-    single = rows.join(plan, "file").select("file", masked.alias("cells")).distinct()
+    single = rows.join(F.broadcast(plan), "file").select("file", masked.alias("cells")).distinct()
 
     def error(c: Column, i: Column) -> Column:
         text, kind = strip(c), F.col("types")[i]
@@ -209,7 +209,7 @@ def check_cells(rows: DataFrame, uploads: Sequence[Upload]) -> DataFrame:
         message = F.concat(F.col("columns")[i], F.lit(": expected "), kind, F.lit(', got "'), text, F.lit('"'))
         return F.when(~text.isin(K.NULL_TOKENS) & ~fits, message)
 
-    checked = cut_lineage(single.join(plan, "file").select("file", "cells", F.array_compact(F.transform("cells", error)).alias("errors")))
+    checked = cut_lineage(single.join(F.broadcast(plan), "file").select("file", "cells", F.array_compact(F.transform("cells", error)).alias("errors")))
     bad = F.size("errors") > 0
     for r in checked.groupBy("file").agg(F.count_if(~bad).alias("valid"), F.count_if(bad).alias("rejected")).collect():
         by_file[r.file].valid, by_file[r.file].rejected = r.valid, r.rejected
@@ -229,7 +229,7 @@ def rows_of(checked: DataFrame, group: Sequence[Upload], good: bool, extra: Mapp
     spark = checked.sparkSession
     names = spark.createDataFrame([(u.file, u.job, u.day) for u in group], "file string, __job string, __day string")
     size = F.size("errors")
-    own = checked.where(size == 0 if good else size > 0).join(names, "file")
+    own = checked.where(size == 0 if good else size > 0).join(F.broadcast(names), "file")
     cells = []
     for k, (c, kind) in enumerate(group[0].schema.items()):
         value = F.col("cells")[k]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sluicework.sources.sinks import read_curated
 from sluicework.streaming import ingest as N
-from sluicework.streaming.together import safe_names
+from sluicework.streaming.together import Upload, rows_of, safe_names
 
 FILES = {
     "crew/a.csv": "id,email,joined,score\n" + "".join(f"{i},m{i}@ship.org,2024-01-{i % 28 + 1:02},{i}\n" for i in range(1, 140)) + "7,x@ship.org,2024-01-01,high\n",
@@ -94,3 +94,13 @@ def test_jobs_do_not_grow_with_the_files(spark, tmp_path, load):
 
 def test_header_names():
     assert safe_names(["a", None, "A", "b", ""]) == ["a0", "_c1", "A2", "b", "_c4"]
+
+
+def test_rows_of_one_large_file_stay_spread_over_tasks(spark):
+    """A shuffled join on the file would gather all its rows in one task."""
+    u = Upload("j", "d", "csv", "p", "2024-01-01", file="f", columns=["a", "b"], kinds=[None, None], types=["INT64", "STRING"])
+    cells = F.array(F.col("id").cast("string"), F.lit("x"))
+    checked = spark.range(0, 4000, 1, 4).select(F.lit("f").alias("file"), cells.alias("cells"), F.array().cast("array<string>").alias("errors"))
+    rows = rows_of(checked, [u], True)
+    assert rows.select(F.spark_partition_id()).distinct().count() == 4
+    assert rows.agg(F.sum("a"), F.count("b")).first() == (4000 * 3999 // 2, 4000)
