@@ -35,7 +35,7 @@ def agg_entity_season(t):
         S.flag(F.col("l_returnflag") != "R").alias("finished"),
     )
     o = t.orders.select(F.col("o_orderkey").alias("raceId"), F.col("o_custkey").alias("l_custkey"), F.year("o_orderdate").cast("long").alias("year"))
-    return A.season_rates(li.join(o, "raceId"), ["l_custkey", "year"])
+    return A.season_rates(J.join_large(li, o, "raceId"), ["l_custkey", "year"])
 
 
 query("agg_home_away", sql=using("team_season", body="SELECT team, year, games_played, wins, draws, losses, home_win_rate, away_win_rate, blowout_rate, close_game_win_rate, margin_stddev, points_differential FROM team_season"))(

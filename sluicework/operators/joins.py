@@ -1,6 +1,6 @@
 """Joins. No side is broadcast by hand: Spark broadcasts a side only while its size is
 below ``spark.sql.autoBroadcastJoinThreshold`` and otherwise sort-merges, with adaptive
-skew splitting for hot keys."""
+skew splitting for hot keys; :func:`join_large` sets the number of partitions by the rows."""
 
 from __future__ import annotations
 
@@ -21,6 +21,22 @@ def star_join(fact: DataFrame, dimensions: Sequence[tuple[DataFrame, Sequence[st
     return fact
 
 
+PART_ROWS = 500_000  # rows of a fact table in one partition of a large join
+
+
+def join_large(fact: DataFrame, dim: DataFrame, key: str) -> DataFrame:
+    """Inner join of two large tables whose partitions do not grow with the fact table.
+
+    A fixed number of shuffle partitions makes every task sort and group more rows as the tables
+    grow, and adaptive coalescing goes by compressed bytes. Here both sides are cut by the counted
+    rows of the fact. Small facts are left to the planner, which may broadcast.
+    """
+    parts = fact.count() // PART_ROWS
+    if parts < 4:
+        return fact.join(dim, key)
+    return fact.repartition(parts, key).join(dim.repartition(parts, key), key)
+
+
 def join_as_text(left: DataFrame, right: DataFrame, key: str, how: str = "left", right_columns: Sequence[str] | None = None) -> DataFrame:
     """Equality on the text of the key, whatever the two key types are."""
     cols = [c for c in (right_columns or right.columns) if c != key]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sluicework.functions.scalar import flag, safe_divide, safe_double, safe_long, share
 from sluicework.operators.aggregates import home_away_season, season_rates, tactical_season
-from sluicework.operators.joins import head_to_head, star_join
+from sluicework.operators.joins import head_to_head, join_large, star_join
 from sluicework.operators.reshape import both_sides
 from sluicework.operators.skew import Ordered, ordered_columns
 
@@ -111,16 +111,17 @@ def driver_features(
 
 
 def constructor_features(results: DataFrame, races: DataFrame, constructors: DataFrame, status: DataFrame) -> DataFrame:
-    """Constructor-season totals and rates, seasons with five entries or more."""
-    wide = star_join(
-        results.where(F.col("grid") > 0).select("raceId", "constructorId", "statusId", "grid", "positionOrder", "points"),
-        [
-            (races.select("raceId", "year"), ["raceId"], "inner"),
-            (constructors.select("constructorId", F.col("name").alias("constructor"), "nationality"), ["constructorId"], "inner"),
-            (status.select("statusId", _finished(F.col("status")).alias("finished")), ["statusId"], "inner"),
-        ],
-    )
-    return season_rates(wide, ["constructorId", "constructor", "nationality", "year"])
+    """Constructor-season totals and rates, seasons with five entries or more.
+
+    ``constructorId`` is the key of ``constructors``: names are joined to the seasons, not to the entries.
+    """
+    started = results.where(F.col("grid") > 0).select("raceId", "constructorId", "statusId", "grid", "positionOrder", "points")
+    rated = star_join(started, [(status.select("statusId", _finished(F.col("status")).alias("finished")), ["statusId"], "inner")])
+    wide = join_large(rated.drop("statusId"), races.select("raceId", "year"), "raceId")
+    seasons = season_rates(wide, ["constructorId", "year"])
+    named = seasons.join(constructors.select("constructorId", F.col("name").alias("constructor"), "nationality"), "constructorId")
+    keys = ["constructorId", "constructor", "nationality", "year"]
+    return named.select(*keys, *[c for c in seasons.columns if c not in keys])
 
 
 def pitstop_features(
