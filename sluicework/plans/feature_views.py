@@ -77,11 +77,22 @@ def driver_features(
     constructors: DataFrame, status: DataFrame, qualifying: DataFrame,
 ) -> DataFrame:
     """One row per started race entry with its race, driver and qualifying context."""
+    # Races take their circuits first, so that the entries are shuffled once for both.
+    placed = races.select("raceId", "year", "round", F.col("name").alias("race_name"), "circuitId").join(
+        circuits.select("circuitId", F.col("circuitRef").alias("circuit"), F.col("country").alias("circuit_country")), "circuitId"
+    )
+    # Text that becomes a number does so before it is shuffled.
+    started = results.where(F.col("grid") > 0).select(
+        "resultId", "raceId", "driverId", "constructorId", "statusId", "grid", "positionOrder", "points", "laps",
+        safe_long(F.col("milliseconds")).alias("race_time_ms"), safe_double(F.col("fastestLapSpeed")).alias("fastest_lap_speed"),
+        safe_long(F.col("rank")).alias("fastest_lap_rank"),
+    )
+    # Keys and numbers first, texts last: what an early join adds goes through the shuffles of all later ones.
     wide = star_join(
-        results.where(F.col("grid") > 0),
+        started,
         [
-            (races.select("raceId", "year", "round", F.col("name").alias("race_name"), "circuitId"), ["raceId"], "inner"),
-            (circuits.select("circuitId", F.col("circuitRef").alias("circuit"), F.col("country").alias("circuit_country")), ["circuitId"], "inner"),
+            (qualifying.select("raceId", "driverId", F.col("position").alias("quali_position")), ["raceId", "driverId"], "left"),
+            (constructors.select("constructorId", F.col("name").alias("constructor")), ["constructorId"], "inner"),
             (
                 drivers.select(
                     "driverId", F.col("driverRef").alias("driver"),
@@ -90,9 +101,8 @@ def driver_features(
                 ),
                 ["driverId"], "inner",
             ),
-            (constructors.select("constructorId", F.col("name").alias("constructor")), ["constructorId"], "inner"),
+            (placed.drop("circuitId"), ["raceId"], "inner"),
             (status.select("statusId", F.col("status").alias("finish_status")), ["statusId"], "inner"),
-            (qualifying.select("raceId", "driverId", F.col("position").alias("quali_position")), ["raceId", "driverId"], "left"),
         ],
     )
     place = F.col("positionOrder")
@@ -100,9 +110,7 @@ def driver_features(
         "resultId", "raceId", "year", "round", "race_name", "circuit", "circuit_country", "driverId",
         "driver", "driver_name", "driver_nationality", "constructorId", "constructor", "grid",
         place.alias("finish_position"), "points", "laps",
-        safe_long(F.col("milliseconds")).alias("race_time_ms"),
-        safe_double(F.col("fastestLapSpeed")).alias("fastest_lap_speed"),
-        safe_long(F.col("rank")).alias("fastest_lap_rank"),
+        "race_time_ms", "fastest_lap_speed", "fastest_lap_rank",
         "statusId", "finish_status", _finished(F.col("finish_status")).alias("finished"), "quali_position",
         (F.col("grid") - place).alias("positions_gained"),
         flag(place <= 3).alias("podium"),

@@ -26,3 +26,12 @@ def test_constructor_seasons_do_not_depend_on_the_partitions(spark, tables, monk
     assert cut.columns == plain.columns
     rows = sorted(map(tuple, cut.collect()), key=str)
     assert rows and rows == sorted(map(tuple, plain.collect()), key=str)
+
+
+def test_circuits_are_joined_to_races_and_not_to_entries(spark, tables):
+    """Each join of the entries with a large table is one more shuffle of all of them."""
+    lines = V.driver_view(tables)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    at = next(i for i, x in enumerate(lines) if "Join Inner, (circuitId" in x)
+    below = next((i for i in range(at + 1, len(lines)) if depth[i] <= depth[at]), len(lines))
+    assert not any("l_linenumber" in x for x in lines[at:below])
