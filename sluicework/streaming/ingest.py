@@ -99,7 +99,8 @@ def clean_rows(
     # Detection and inference look at the first rows only: one scan fetches them for both.
     head = spark.createDataFrame(raw.orderBy(*order_by).limit(100).collect(), raw.schema)
     pii = detect_pii(head, columns, order_by)
-    masked = mask_pii(raw, pii)
+    # A file may come as one task, and masks cost more than the shuffle that deals its rows out.
+    masked = mask_pii(raw.repartition(*order_by), pii)
     schema = fit_known(schema_of(infer_types(mask_pii(head, pii), columns, order_by)), known or {})
     total = Observation()
     counted = masked.observe(total, F.count(F.lit(1)).alias("n"))

@@ -146,3 +146,26 @@ def test_quality_report(spark):
     with pytest.raises(ValueError, match="duplicate_key"):
         dq_assert(df, rules)
     assert dq_assert(df.select("rating"), QualityRules(1)).count() == 3
+
+
+def test_rows_of_one_task_are_masked_by_several(spark, monkeypatch):
+    """A file may be one split: its rows are dealt out before the masks."""
+    from sluicework.streaming import ingest as N
+
+    names = ["email", "n"]
+    raw = spark.range(0, 2000, 1, 1).select(F.col("id").alias("i"), F.concat("id", F.lit("@quay.org")).alias("email"), F.col("id").cast("string").alias("n"))
+    shares, masked = [], N.mask_pii
+
+    def seen(df, kinds):
+        shares.append([r["count"] for r in df.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()])
+        return masked(df, kinds)
+
+    monkeypatch.setattr(N, "mask_pii", seen)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = clean_rows(raw, names, ["i"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    whole = next(s for s in shares if sum(s) == 2000)
+    assert len(whole) > 1 and max(whole) < 1000
+    assert out.stats == {"total_records": 2000, "valid": 2000, "rejected": 0, "duplicates_removed": 0, "loaded": 0}
