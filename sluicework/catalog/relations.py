@@ -127,7 +127,7 @@ def join_expand_matrix(t):
 
 @query("win_lag", sql=using("lagged", body='SELECT match_id AS "matchId", team, prev_win, prev_loss FROM lagged'))
 def win_lag(t):
-    sides = both_sides(cut_lineage(matches(t)), ["matchId", "match_date"])
+    sides = both_sides(matches(t), ["matchId", "match_date"]).select("matchId", "match_date", "team", "win", "loss")
     order = [F.asc("match_date"), F.asc("matchId")]
     specs = [Ordered("lag", "prev_win", "win"), Ordered("lag", "prev_loss", "loss")]
     return ordered_columns(sides, ["team"], order, specs).select("matchId", "team", "prev_win", "prev_loss")
@@ -135,7 +135,7 @@ def win_lag(t):
 
 @query("win_rolling5", sql=using("rolled", body=f"""SELECT match_id AS "matchId", team, {up('l5w', 6)} AS win5, {up('l5m', 6)} AS margin5, {up('l5f', 6)} AS pf5, {up('l5a', 6)} AS pa5 FROM rolled"""))
 def win_rolling5(t):
-    sides = both_sides(cut_lineage(matches(t)), ["matchId", "match_date"])
+    sides = both_sides(matches(t), ["matchId", "match_date"]).select("matchId", "match_date", "team", "win", "margin", "pf", "pa")
     order = [F.asc("match_date"), F.asc("matchId")]
     specs = [Ordered("trailing", f"{c}5", c, 5) for c in ("win", "margin", "pf", "pa")]
     rolled = ordered_columns(sides, ["team"], order, specs)

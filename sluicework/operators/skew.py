@@ -2,7 +2,7 @@
 
 A window ``PARTITION BY key ORDER BY t`` sends every row of a key to one task. Here rows are
 range-partitioned by (key, order), every piece gets a slice number, windows run inside the
-slices, and what the earlier slices of the same key add up to is joined in. It is done this
+slices and the few rows before them, and what the earlier slices of the same key add up to is joined in. It is done this
 way at every size. Sums are exact (whole numbers, or decimals of twelve places), so they do
 not depend on where the slices are cut.
 """
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from sluicework.session import cut_lineage
 
 SLICE = "__slice"
+PLACE = "__place"
+SLICE_ROWS = 500_000  # rows of a slice, as tables grow
 _WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
@@ -36,18 +38,20 @@ class Ordered:
     rows: int = 0
 
 
-def slice_by_order(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Range-partition by (keys, order) and store each row's slice number.
+def slice_by_order(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> tuple[DataFrame, int]:
+    """Range-partition by (keys, order), store each row's slice number and its place, and count the slices.
 
     Slice numbers follow the order, so for one key all rows of a lower slice precede
     those of a higher slice. Ranges are drawn over keys and order together, so a hot key
-    is cut into many slices. The input is stored first, because finding the ranges reads it
+    is cut into many slices. Inside a slice the rows of a key have places in a row, in order.
+    The input is stored first, because finding the ranges reads it
     too; storing the ranges pins the numbers for every later use.
     """
     stored = cut_lineage(df)
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), stored.rdd.getNumPartitions(), 2)
-    ranged = stored.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
-    return cut_lineage(ranged.withColumn(SLICE, F.spark_partition_id()))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), stored.count() // SLICE_ROWS, 2)
+    by = [*[F.col(k) for k in keys], *order]
+    ranged = stored.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    return cut_lineage(ranged.withColumns({SLICE: F.spark_partition_id(), PLACE: F.monotonically_increasing_id()})), parts
 
 
 def exact(df: DataFrame, column: str) -> Column:
@@ -58,87 +62,107 @@ def exact(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("decimal(38,12)")
 
 
-def _attach(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Left join on equal keys, NULL keys matching NULL keys."""
+def _attach(left: DataFrame, right: DataFrame, names: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on equal keys, NULL keys matching NULL keys."""
     renamed = right.withColumnsRenamed({n: f"__r{i}" for i, n in enumerate(names)})
     same = F.lit(True)
     for i, n in enumerate(names):
         same = same & F.col(n).eqNullSafe(F.col(f"__r{i}"))
-    return left.join(renamed, same, "left").drop(*[f"__r{i}" for i in range(len(names))])
+    return left.join(renamed, same, how).drop(*[f"__r{i}" for i in range(len(names))])
 
 
 def ordered_columns(df: DataFrame, keys: Sequence[str], order: Sequence[Column], specs: Sequence[Ordered]) -> DataFrame:
-    """Append the ordered columns; ``order`` must place the rows of a key uniquely."""
+    """Append the ordered columns; ``order`` must place the rows of a key uniquely.
+
+    A slice borrows the last few rows of the key before it, so that lags and trailing means are
+    plain windows; borrowed rows are dropped again and count in no sum.
+    """
     keys, order, specs = list(keys), list(order), list(specs)
-    sliced = slice_by_order(df, keys, order)
+    sliced, parts = slice_by_order(df, keys, order)
     group = [*keys, SLICE]
-    local = Window.partitionBy(*group).orderBy(*order)
     reach = max([1 if s.kind == "lag" else s.rows for s in specs if s.kind in ("lag", "trailing")], default=0)
     recent = sorted({s.source for s in specs if s.kind in ("lag", "trailing")})
     totals = sorted({s.source for s in specs if s.kind in ("running", "cumulative")})
 
-    # One row per (key, slice): size, sums, and the last few rows in order.
-    facts = [F.count("*").alias("__n")]
+    # One row per (key, slice): first place, size and sums, stored so that its size is known to the joins.
+    facts = [F.count("*").alias("__n"), F.min(PLACE).alias("__first")]
     for i, c in enumerate(totals):
         facts += [F.sum(exact(df, c)).alias(f"__s{i}"), F.count(c).alias(f"__c{i}")]
-    slices = sliced.groupBy(*group).agg(*facts)
-    if reach:
-        record = F.struct(F.col("__from_end"), *[F.col(c) for c in recent])
-        backwards = F.count("*").over(Window.partitionBy(*group)) - F.row_number().over(local) + 1
-        tails = (
-            sliced.withColumn("__from_end", backwards)
-            .where(F.col("__from_end") <= reach)
-            .groupBy(*group)
-            .agg(F.reverse(F.sort_array(F.collect_list(record))).alias("__tail"))
-        )
-        slices = _attach(slices, tails, group)
+    slices = cut_lineage(sliced.groupBy(*group).agg(*facts))
 
     # What all earlier slices of the key add up to: at most one row per slice and key.
     along = Window.partitionBy(*keys).orderBy(SLICE) if keys else Window.orderBy(SLICE)
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    carry = {"__n0": F.coalesce(F.sum("__n").over(earlier), F.lit(0))}
+    carry = {"__first": F.col("__first"), "__n0": F.coalesce(F.sum("__n").over(earlier), F.lit(0))}
     for i, _ in enumerate(totals):
         carry[f"__s0{i}"] = F.sum(f"__s{i}").over(earlier)
         carry[f"__c0{i}"] = F.coalesce(F.sum(f"__c{i}").over(earlier), F.lit(0))
-    if reach:
-        near = along.rowsBetween(-reach, -1)
-        carry["__tail0"] = F.flatten(F.collect_list("__tail").over(near))
-    slices = slices.select(*group, *[c.alias(n) for n, c in carry.items()])
-    joined = _attach(sliced, slices, group)
+    carried = slices.select(*group, *[c.alias(n) for n, c in carry.items()])
 
+    rows = sliced.withColumn("__own", F.lit(True))
+    if reach:
+        rows = rows.unionByName(_borrowed(sliced, slices, keys, reach, recent), allowMissingColumns=True)
+    local = Window.partitionBy(*group).orderBy(PLACE)
     here = local.rowsBetween(Window.unboundedPreceding, -1)
+    upto = local.rowsBetween(Window.unboundedPreceding, 0)
+    own = {c: F.when(F.col("__own"), exact(df, c)) for c in totals}
     made = {}
-    if reach:
-        window_rows = F.collect_list(F.struct(*[F.col(c) for c in recent])).over(local.rowsBetween(-reach, -1))
-        older = F.transform("__tail0", lambda r: F.struct(*[r[c].alias(c) for c in recent]))
-        joined = joined.withColumn("__recent", F.concat(older, window_rows))
     for s in specs:
-        if s.kind == "position":
-            made[s.out] = (F.row_number().over(local) + F.col("__n0")).cast("long")
-        elif s.kind == "lag":
-            made[s.out] = F.try_element_at("__recent", F.lit(-1))[s.source]
+        if s.kind == "lag":
+            made[s.out] = F.lag(s.source).over(local)
         elif s.kind == "trailing":
-            last = F.when(
-                F.size("__recent") > s.rows, F.slice("__recent", F.lit(-s.rows), F.lit(s.rows))
-            ).otherwise(F.col("__recent"))
-            values = F.array_compact(last[s.source].cast("array<double>"))
-            total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
-            made[s.out] = F.when(F.size(values) > 0, total / F.size(values))
-        else:
+            made[s.out] = F.avg(F.col(s.source).cast("double")).over(local.rowsBetween(-s.rows, -1))
+        elif s.kind in ("running", "cumulative"):
+            span = here if s.kind == "running" else upto
+            made[f"__sum_{s.out}"] = F.sum(own[s.source]).over(span)
+            made[f"__rows_{s.out}"] = F.count(own[s.source]).over(span)
+        elif s.kind != "position":
+            raise ValueError(f"unknown ordered column kind {s.kind!r}")
+    if made:
+        rows = rows.repartition(parts, *group).withColumns(made).where("__own")
+    if all(s.kind in ("lag", "trailing") for s in specs):
+        return rows.select(*df.columns, *[s.out for s in specs])
+
+    joined = _attach(rows, carried, group)
+    added = {}
+    for s in specs:
+        if s.kind == "position":
+            added[s.out] = (F.col(PLACE) - F.col("__first") + 1 + F.col("__n0")).cast("long")
+        elif s.kind in ("running", "cumulative"):
             i = totals.index(s.source)
-            old_sum = F.coalesce(F.col(f"__s0{i}"), F.lit(0))
+            total = F.coalesce(F.col(f"__sum_{s.out}"), F.lit(0)) + F.coalesce(F.col(f"__s0{i}"), F.lit(0))
+            n = F.col(f"__rows_{s.out}") + F.col(f"__c0{i}")
             if s.kind == "running":
-                total = F.coalesce(F.sum(exact(df, s.source)).over(here), F.lit(0)) + old_sum
-                rows = F.count(s.source).over(here) + F.col(f"__c0{i}")
-                made[s.out] = F.when(rows > 0, total.cast("double") / rows)
-            elif s.kind == "cumulative":
-                upto = local.rowsBetween(Window.unboundedPreceding, 0)
-                total = F.coalesce(F.sum(exact(df, s.source)).over(upto), F.lit(0)) + old_sum
-                rows = F.count(s.source).over(upto) + F.col(f"__c0{i}")
-                made[s.out] = F.when(rows > 0, total if dict(df.dtypes)[s.source] in _WHOLE else total.cast("double"))
+                added[s.out] = F.when(n > 0, total.cast("double") / n)
             else:
-                raise ValueError(f"unknown ordered column kind {s.kind!r}")
-    return joined.withColumns(made).select(*df.columns, *made)
+                added[s.out] = F.when(n > 0, total if dict(df.dtypes)[s.source] in _WHOLE else total.cast("double"))
+    return joined.withColumns(added).select(*df.columns, *[s.out for s in specs])
+
+
+def _borrowed(sliced: DataFrame, slices: DataFrame, keys: Sequence[str], reach: int, columns: Sequence[str]) -> DataFrame:
+    """The ``reach`` rows before each (key, slice) of the same key, as rows of that slice with ``__own`` false.
+
+    The slice before may hold fewer than ``reach`` rows of the key, so up to ``reach`` slices back are asked.
+    """
+    along = Window.partitionBy(*keys).orderBy(SLICE) if keys else Window.orderBy(SLICE)
+    held = slices.select(*keys, SLICE, "__first", "__n")
+    asked = F.filter(
+        F.array(*[
+            F.struct(
+                F.lead(SLICE, i).over(along).alias("__to"),
+                # Rows of the key between this slice and the one that asks.
+                F.coalesce(F.sum("__n").over(along.rowsBetween(1, i - 1)) if i > 1 else F.lit(0), F.lit(0)).alias("__between"),
+            )
+            for i in range(1, reach + 1)
+        ]),
+        lambda a: a["__to"].isNotNull() & (a["__between"] < reach),
+    )
+    ends = held.withColumn("__asked", asked).where(F.size("__asked") > 0)
+    named = [*keys, SLICE]
+    lent = _attach(sliced.select(*named, PLACE, *[c for c in columns if c not in keys]), ends, named, "inner")
+    from_end = F.col("__first") + F.col("__n") - F.col(PLACE)
+    near = lent.where(from_end <= reach).withColumn("__to", F.explode(F.filter("__asked", lambda a: a["__between"] + from_end <= reach)))
+    return near.select(*keys, F.col("__to")["__to"].alias(SLICE), PLACE, *[c for c in columns if c not in keys], F.lit(False).alias("__own"))
 
 
 def rank_rows(df: DataFrame, order: Sequence[Column], out: str = "rank") -> DataFrame:

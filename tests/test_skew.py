@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sluicework.operators import skew
 from sluicework.operators.skew import Ordered, exact_quantiles, ordered_columns, rank_rows
 
 SPECS = [
@@ -84,6 +85,18 @@ def test_result_does_not_depend_on_where_slices_are_cut(spark, hot):
     assert run("2") == run("23")
 
 
+def test_slices_follow_the_rows_and_borrow_what_comes_before(spark, hot, rows, monkeypatch):
+    """Slices of fewer rows than the window reaches back; nothing is gathered into arrays row by row."""
+    monkeypatch.setattr(skew, "SLICE_ROWS", 3)
+    sliced, parts = skew.slice_by_order(hot, ["k"], [F.col("i")])
+    assert parts == 300 and sliced.select(skew.SLICE).distinct().count() > 200
+    specs = [s for s in SPECS if s.kind in ("lag", "trailing")]
+    got = ordered_columns(hot, ["k"], [F.col("i")], specs)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    want = sorted((r[:7] for r in plain(rows)), key=str)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == want
+
+
 def test_global_rank(hot, rows):
     got = rank_rows(hot, [F.desc("v"), F.asc("i")]).collect()
     assert [r.i for r in sorted(got, key=lambda r: r["rank"])] == [r[1] for r in sorted(rows, key=lambda r: (-r[2], r[1]))]
