@@ -12,6 +12,7 @@ from sluicework.operators.aggregates import home_away_season, season_rates, tact
 from sluicework.operators.joins import head_to_head, join_large, star_join
 from sluicework.operators.reshape import both_sides
 from sluicework.operators.skew import Ordered, ordered_columns
+from sluicework.session import cut_lineage
 
 
 def player_features(profiles: DataFrame, stats: DataFrame) -> DataFrame:
@@ -202,22 +203,26 @@ def match_features(fixtures: DataFrame, key: Sequence[str] = ("home_team", "away
 
     ``key`` must name a match uniquely within its day. Both teams' rows come out of one
     scan, run through the two ordered computations on the team, and are put together again
-    by match, instead of joining the fixture list twice with the rolling table.
+    by match, instead of joining the fixture list twice with the rolling table. They carry
+    numbers only: the matches are stored with a number of their own, by which texts come back last.
     """
     keys = _renamed(key)
-    matches = _keyed(fixtures, key)
-    own = matches.columns
+    matches = cut_lineage(_keyed(fixtures, key).withColumn("__match", F.monotonically_increasing_id()))
+    place = ["__match", "match_date", "year", *keys, "team", "is_home"]
     order = [F.asc("match_date"), *[F.asc(k) for k in keys]]
-    sides = both_sides(matches, own).withColumn("__home_win", F.when(F.col("is_home") == 1, F.col("win")))
+    sides = both_sides(matches, place[:-2]).select(*place, "win", "margin", "pf", "pa")
     last5 = [Ordered("trailing", f"last5_{o}", c, 5) for o, c in (("win_rate", "win"), ("avg_margin", "margin"), ("avg_pf", "pf"), ("avg_pa", "pa"))]
     season = [Ordered("running", "season_win_rate", "win"), Ordered("running", "season_home_win_rate", "__home_win")]
-    formed = ordered_columns(sides, ["team"], order, last5)
+    formed = ordered_columns(sides, ["team"], order, last5).select(
+        *place, "win", F.when(F.col("is_home") == 1, F.col("win")).alias("__home_win"), *[s.out for s in last5]
+    )
     rolled = ordered_columns(formed, ["team", "year"], order, season)
     wanted = [s.out for s in last5 + season]
-    per_match = rolled.groupBy(*own).agg(
+    sided = rolled.groupBy("__match").agg(
         *[F.max(F.when(F.col("is_home") == 1, F.col(c))).alias(f"home_{c}") for c in wanted],
         *[F.max(F.when(F.col("is_home") == 0, F.col(c))).alias(f"away_{c}") for c in wanted],
     )
+    per_match = matches.drop(*keys).join(sided, "__match")
     joined = head_to_head(matches, per_match)
 
     def gap(c: str) -> Column:

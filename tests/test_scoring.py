@@ -64,6 +64,16 @@ def test_match_features_equal_a_direct_count(spark, matches):
             assert want == pytest.approx(np.mean(season), abs=6e-4) if season else want is None
 
 
+def test_ordered_computations_of_matches_carry_no_texts(tables, monkeypatch):
+    """What they carry is stored and shuffled several times a team's row."""
+    carried, ordered = [], FV.ordered_columns
+    monkeypatch.setattr(FV, "ordered_columns", lambda df, *rest: carried.append(df.columns) or ordered(df, *rest))
+    features = FV.match_features(B.fixtures(tables), ["matchId"])
+    assert len(carried) == 2 and not {"venue", "home_team", "away_team", "opponent"} & {c for names in carried for c in names}
+    assert features.where(F.col("venue").isNull() | F.col("home_team").isNull()).count() == 0
+    assert features.count() == B.fixtures(tables).where("HomeScore IS NOT NULL AND AwayScore IS NOT NULL").count() > 0
+
+
 def test_rivalry_counts_draws_as_losses(spark):
     rows = [("a", "b", 5, 5)] * 2 + [("a", "b", 9, 1)] * 9 + [("b", "a", 0, 3)]
     got = {r["team"]: r for r in A.rivalry_matrix(spark.createDataFrame(rows, "home_team string, away_team string, home_score int, away_score int")).collect()}
