@@ -24,17 +24,25 @@ def star_join(fact: DataFrame, dimensions: Sequence[tuple[DataFrame, Sequence[st
 PART_ROWS = 500_000  # rows of a fact table in one partition of a large join
 
 
-def join_large(fact: DataFrame, dim: DataFrame, key: str) -> DataFrame:
+def large_parts(fact: DataFrame) -> int:
+    """Partitions of a large join by the counted rows of the fact; 0 for small facts, which are left to the planner."""
+    parts = fact.count() // PART_ROWS
+    return parts if parts >= 4 else 0
+
+
+def join_large(fact: DataFrame, dim: DataFrame, key: str | Sequence[str], parts: int | None = None) -> DataFrame:
     """Inner join of two large tables whose partitions do not grow with the fact table.
 
     A fixed number of shuffle partitions makes every task sort and group more rows as the tables
     grow, and adaptive coalescing goes by compressed bytes. Here both sides are cut by the counted
-    rows of the fact. Small facts are left to the planner, which may broadcast.
+    rows of the fact, or into ``parts`` where they are known. Small facts are left to the planner,
+    which may broadcast.
     """
-    parts = fact.count() // PART_ROWS
-    if parts < 4:
-        return fact.join(dim, key)
-    return fact.repartition(parts, key).join(dim.repartition(parts, key), key)
+    keys = [key] if isinstance(key, str) else list(key)
+    parts = large_parts(fact) if parts is None else parts
+    if not parts:
+        return fact.join(dim, keys)
+    return fact.repartition(parts, *keys).join(dim.repartition(parts, *keys), keys)
 
 
 def join_as_text(left: DataFrame, right: DataFrame, key: str, how: str = "left", right_columns: Sequence[str] | None = None) -> DataFrame:

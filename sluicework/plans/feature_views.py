@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sluicework.functions.scalar import flag, safe_divide, safe_double, safe_long, share
 from sluicework.operators.aggregates import home_away_season, season_rates, tactical_season
-from sluicework.operators.joins import head_to_head, join_large, star_join
+from sluicework.operators.joins import head_to_head, join_large, large_parts, star_join
 from sluicework.operators.reshape import both_sides
 from sluicework.operators.skew import Ordered, ordered_columns
 from sluicework.session import cut_lineage
@@ -143,16 +143,15 @@ def pitstop_features(
         F.col("laps").alias("total_laps"),
     )
     valid = pit_stops.where((F.col("duration") > 0) & (F.col("duration") < 120))
-    wide = star_join(
-        valid,
-        [
-            (entries, ["raceId", "driverId"], "inner"),
-            (races.select("raceId", "year", F.col("name").alias("race_name"), "circuitId"), ["raceId"], "inner"),
-            (circuits.select("circuitId", F.col("circuitRef").alias("circuit")), ["circuitId"], "inner"),
-            (drivers.select("driverId", F.col("driverRef").alias("driver")), ["driverId"], "inner"),
-            (constructors.select("constructorId", F.col("name").alias("constructor")), ["constructorId"], "inner"),
-        ],
+    placed = races.select("raceId", "year", F.col("name").alias("race_name"), "circuitId").join(
+        circuits.select("circuitId", F.col("circuitRef").alias("circuit")), "circuitId"
     )
+    # Races take their circuits first, and the drivers come last: rows stay cut by driver, so that
+    # what groups them by race and driver needs no shuffle more.
+    parts = large_parts(valid)
+    raced = join_large(join_large(valid, entries, ["raceId", "driverId"], parts), placed.drop("circuitId"), "raceId", parts)
+    named = star_join(raced, [(constructors.select("constructorId", F.col("name").alias("constructor")), ["constructorId"], "inner")])
+    wide = join_large(named, drivers.select("driverId", F.col("driverRef").alias("driver")), "driverId", parts)
     return wide.select(
         "raceId", "driverId", F.col("stop").alias("stop_number"), F.col("lap").alias("stop_lap"),
         F.col("duration").alias("stop_duration_sec"), F.col("milliseconds").alias("stop_duration_ms"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sluicework.catalog import views as V
+from sluicework.operators import aggregates as A
 from sluicework.operators import joins as J
 
 
@@ -35,3 +36,24 @@ def test_circuits_are_joined_to_races_and_not_to_entries(spark, tables):
     at = next(i for i, x in enumerate(lines) if "Join Inner, (circuitId" in x)
     below = next((i for i in range(at + 1, len(lines)) if depth[i] <= depth[at]), len(lines))
     assert not any("l_linenumber" in x for x in lines[at:below])
+
+
+def test_pit_stops_take_their_races_with_circuits_and_stay_cut_by_driver(spark, tables, monkeypatch):
+    """Stops are shuffled for entries, races and drivers; neither circuits nor the grouping shuffle them again."""
+    plain = sorted(map(tuple, A.race_driver_stops(V.pitstop_view(tables)).collect()), key=str)
+    monkeypatch.setattr(J, "PART_ROWS", 100)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100KB")
+    try:
+        view = V.pitstop_view(tables)
+        lines = view._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+        at = next(i for i, x in enumerate(lines) if "Join Inner, (circuitId" in x)
+        below = next((i for i in range(at + 1, len(lines)) if depth[i] <= depth[at]), len(lines))
+        assert not any("l_linenumber" in x for x in lines[at:below])
+        grouped = A.race_driver_stops(view)
+        shuffles = grouped._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(raceId")
+        assert shuffles == view._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(raceId") > 0
+        assert sorted(map(tuple, grouped.collect()), key=str) == plain and plain
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
