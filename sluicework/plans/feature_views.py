@@ -177,6 +177,17 @@ def team_season_features(fixtures: DataFrame) -> DataFrame:
     return home_away_season(both_sides(league_matches(fixtures), ["year"]))
 
 
+def coaching_rows(fixtures: DataFrame) -> DataFrame:
+    """The rows of :func:`coaching_features` without what came before each match, which adds and drops no row."""
+    sides = both_sides(league_matches(fixtures), ["match_date", "year", "round"])
+    return tactical_season(sides.withColumns({"prev_win": F.lit(None).cast("int"), "prev_loss": F.lit(None).cast("int")})).select("team", "year")
+
+
+def match_rows(fixtures: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The rows of :func:`match_features`, one a played match, without the features."""
+    return league_matches(fixtures, key).select(*key)
+
+
 def coaching_features(fixtures: DataFrame, key: Sequence[str] = ("home_team", "away_team")) -> DataFrame:
     """Tactical season profile; ``key`` tells matches of one day apart."""
     sides = both_sides(_keyed(fixtures, key), ["match_date", "year", "round", *_renamed(key)])

@@ -74,6 +74,21 @@ def test_ordered_computations_of_matches_carry_no_texts(tables, monkeypatch):
     assert features.count() == B.fixtures(tables).where("HomeScore IS NOT NULL AND AwayScore IS NOT NULL").count() > 0
 
 
+def test_counted_rows_are_those_of_the_views(tables, monkeypatch):
+    """The quality profiles count rows without the features of the match and coaching views, and read fixtures once."""
+    from sluicework.catalog import ingestion as I
+    from sluicework.catalog import views as W
+    from sluicework.catalog.registry import QUERIES
+
+    assert FV.match_rows(B.fixtures(tables), ["matchId"]).count() == W.match_view(tables).count() > 0
+    assert sorted(FV.coaching_rows(B.fixtures(tables)).collect()) == sorted(W.coaching_view(tables).select("team", "year").collect())
+    built, fixtures = [], B.fixtures
+    monkeypatch.setattr(I.B, "fixtures", lambda t: built.append(1) or fixtures(t))
+    report = {r["profile"]: r["observed"] for r in QUERIES["dq_profiles"](tables.spark, tables.folder).collect()}
+    assert len(built) == 1 and list(report) == list(I._VIEWS)
+    assert all(report[p] == view(tables).count() for p, (_, view) in I._VIEWS.items())
+
+
 def test_rivalry_counts_draws_as_losses(spark):
     rows = [("a", "b", 5, 5)] * 2 + [("a", "b", 9, 1)] * 9 + [("b", "a", 0, 3)]
     got = {r["team"]: r for r in A.rivalry_matrix(spark.createDataFrame(rows, "home_team string, away_team string, home_score int, away_score int")).collect()}
