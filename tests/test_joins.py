@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sluicework.catalog import summaries
 from sluicework.catalog import views as V
 from sluicework.operators import aggregates as A
 from sluicework.operators import joins as J
@@ -57,3 +58,18 @@ def test_pit_stops_take_their_races_with_circuits_and_stay_cut_by_driver(spark,
         assert sorted(map(tuple, grouped.collect()), key=str) == plain and plain
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def same_when_cut(monkeypatch, run):
+    """The rows of a query, which must not change when its large join has a partition for 100 rows of the fact."""
+    plain = sorted(map(tuple, run().collect()), key=str)
+    counted, found = J.large_parts, []
+    monkeypatch.setattr(J, "PART_ROWS", 100)
+    monkeypatch.setattr(J, "large_parts", lambda fact: found.append(counted(fact)) or found[-1])
+    assert sorted(map(tuple, run().collect()), key=str) == plain
+    assert found and min(found) > 40  # 6,000 lines
+    return plain
+
+
+def test_ranked_labels_do_not_depend_on_the_partitions(tables, monkeypatch):
+    assert same_when_cut(monkeypatch, lambda: summaries.ml_cluster_label_ranked(tables))
