@@ -73,3 +73,7 @@ def same_when_cut(monkeypatch, run):
 
 def test_ranked_labels_do_not_depend_on_the_partitions(tables, monkeypatch):
     assert same_when_cut(monkeypatch, lambda: summaries.ml_cluster_label_ranked(tables))
+
+
+def test_composite_index_does_not_depend_on_the_partitions(tables, monkeypatch):
+    assert same_when_cut(monkeypatch, lambda: summaries.ml_composite_index(tables))
