@@ -77,3 +77,7 @@ def test_ranked_labels_do_not_depend_on_the_partitions(tables, monkeypatch):
 
 def test_composite_index_does_not_depend_on_the_partitions(tables, monkeypatch):
     assert same_when_cut(monkeypatch, lambda: summaries.ml_composite_index(tables))
+
+
+def test_peak_seasons_do_not_depend_on_the_partitions(tables, monkeypatch):
+    assert same_when_cut(monkeypatch, lambda: summaries.agg_argmax(tables))
