@@ -8,6 +8,7 @@ from sluicework.catalog import summaries
 from sluicework.catalog import views as V
 from sluicework.operators import aggregates as A
 from sluicework.operators import joins as J
+from sluicework.plans import analyses as P
 
 
 def test_partitions_of_a_large_join_follow_the_rows(spark, monkeypatch):
@@ -81,3 +82,8 @@ def test_composite_index_does_not_depend_on_the_partitions(tables, monkeypatch):
 
 def test_peak_seasons_do_not_depend_on_the_partitions(tables, monkeypatch):
     assert same_when_cut(monkeypatch, lambda: summaries.agg_argmax(tables))
+
+
+def test_constructor_rankings_do_not_depend_on_the_partitions(tables, monkeypatch):
+    ranked = lambda: P.constructor_rankings(V.constructor_view(tables), ks=[3], starts=1)["f1_constructor_rankings"]
+    assert same_when_cut(monkeypatch, ranked)
