@@ -48,6 +48,10 @@ class Zones:
     def curated(self, dataset: str) -> str:
         return f"{self.root}/curated/{dataset}"
 
+    @property
+    def expanded(self) -> str:
+        return f"{self.root}/expanded"
+
     @property
     def jobs(self) -> str:
         return f"{self.root}/audit/jobs"
@@ -58,7 +62,7 @@ class Zones:
 
 
 _POSITION = "__position"
-_LOG_LOCK = threading.Lock()
+_LOG_LOCK, _EXPANDED_LOCK = threading.Lock(), threading.Lock()
 
 
 @dataclass(frozen=True)
@@ -220,8 +224,8 @@ def take_files(spark: SparkSession, uploads: Sequence[tuple[str, str, str]], zon
     partition. Jobs that ended before are left alone, so a replay, on another day or with a new
     checkpoint, changes nothing; ``again`` runs jobs that wait in UPLOADING. A file that raises
     is FAILED, and the others go on. Text files are cleaned together (:func:`run_together`), in
-    order of their path, since each adapts to the table the earlier ones leave; other files run
-    one by one, datasets side by side.
+    order of their path, since each adapts to the table the earlier ones leave; ZIP files are
+    unpacked together (:func:`open_together`), and other files run one by one, datasets side by side.
     """
     known = _known_jobs(spark, zones, [job_name(d, p) for d, _, p in uploads])
     fresh = sorted({(d, f, p) for d, f, p in uploads if job_name(d, p) not in known})
@@ -231,11 +235,11 @@ def take_files(spark: SparkSession, uploads: Sequence[tuple[str, str, str]], zon
     taken = sorted(set(waiting), key=lambda u: (u[0], u[2]))
     texts = [Upload(job_name(d, p), d, f, p, day or known[job_name(d, p)]["day"]) for d, f, p in taken if f in TEXT_FORMATS]
     alone = run_together(spark, zones, texts, known, load)
+    children, shut = open_together(spark, zones, [u for u in taken if u[1] == "zip"], known)
     by_dataset: dict[str, list] = {}
     for d, f, p in taken:
-        if f not in TEXT_FORMATS or job_name(d, p) in alone:
+        if f not in (*TEXT_FORMATS, "zip") or job_name(d, p) in alone | shut:
             by_dataset.setdefault(d, []).append((f, p))
-    children: list[tuple[str, str, str]] = []
 
     def run(dataset: str) -> None:
         for fmt, path in by_dataset[dataset]:
@@ -350,6 +354,36 @@ def _check_together(spark: SparkSession, zones: Zones, uploads: Sequence[Upload]
             return checked, refused
 
 
+def _unpacked(about: Mapping[str, object], inside: Sequence) -> dict[str, object]:
+    """The last record of an archive's job."""
+    return {**about, "status": "LOADED", "loaded": 0} if inside else {**about, "status": "REJECTED", "error": "the archive holds no supported file"}
+
+
+def open_together(spark: SparkSession, zones: Zones, archives: Sequence[tuple[str, str, str]], known: Mapping[str, Mapping]) -> tuple[list[tuple[str, str, str]], set[str]]:
+    """Unpack ZIP uploads in common jobs and log their states; returns the uploads inside and the jobs to be run alone.
+
+    As in :func:`run_together`, those are the jobs of a group that raised.
+    """
+    by_job = {job_name(d, p): (d, f, p) for d, f, p in archives}
+    if not by_job:
+        return [], set()
+    try:
+        found = unpack_archives(spark, {job: p for job, (_, _, p) in by_job.items()}, zones.expanded)
+    except Exception:  # noqa: BLE001  an archive that cannot be read is found by opening each alone
+        return [], set(by_job)
+    records, failed = [], []
+    for job, (d, f, p) in by_job.items():
+        about = {"job_id": job, "dataset": d, "path": p, "format": f}
+        ended = _unpacked(about, found[job])
+        records += [{**about, "status": "VALIDATING"}] if known[job]["status"] == "UPLOADING" else []
+        records.append(ended)
+        if ended["status"] == "REJECTED":
+            failed.append((job, known[job]["attempts"], d, str(ended["error"]), p))
+    record_failures(spark, zones, failed)
+    _log(spark, zones, records)
+    return [u for inside in found.values() for u in inside], set()
+
+
 # The states that end a job.
 ENDED = ("LOADED", "REJECTED", "FAILED")
 
@@ -361,9 +395,8 @@ def _run_job(spark: SparkSession, zones: Zones, job: str, dataset: str, fmt: str
     inside: list[tuple[str, str, str]] = []
     try:
         if fmt == "zip":
-            ship_package(spark)
-            inside = unpack_archive(spark, path, f"{zones.root}/expanded/{job}")
-            ended = {**about, "status": "LOADED", "loaded": 0} if inside else {**about, "status": "REJECTED", "error": "the archive holds no supported file"}
+            inside = unpack_archives(spark, {job: path}, zones.expanded)[job]
+            ended = _unpacked(about, inside)
         else:
             ended = ingest_file(spark, path, fmt, dataset, job, zones, CONTENT_TYPES.get(fmt))
             if load and ended["status"] == "TRANSFORMING":
@@ -378,31 +411,37 @@ def _run_job(spark: SparkSession, zones: Zones, job: str, dataset: str, fmt: str
     return inside
 
 
-def unpack_archive(spark: SparkSession, path: str, folder: str, prefix: str = "") -> list[tuple[str, str, str]]:
-    """Write an archive's members to the shared folder, byte for byte; returns them as uploads.
+def unpack_archives(spark: SparkSession, archives: Mapping[str, str], folder: str, prefix: str = "") -> dict[str, list[tuple[str, str, str]]]:
+    """Write the members of archives (job to path) to the shared folder, byte for byte; returns each job's members as uploads.
 
-    Each member has a folder of its own, named by its place and full path in the archive. Its
-    pieces are written in order by Spark's text writer, which closes each with the member's
-    last byte: one write for each different last byte. ``prefix`` goes before the dataset names.
+    Each member has a folder of its own, named by its job and by its place and full path in the
+    archive. Its pieces are written in order by Spark's text writer, which closes each with the
+    member's last byte: one write for each different last byte, whatever the number of archives.
+    ``prefix`` goes before the dataset names.
     """
-    held = member_pieces(spark, [path])
+    ship_package(spark)
+    owners = {hashlib.md5(job.encode()).hexdigest(): job for job in archives}
+    jobs = spark.createDataFrame([(archives[job], key) for key, job in owners.items()], "archive string, job string")
+    held = member_pieces(spark, sorted(set(archives.values()))).join(F.broadcast(jobs), "archive")
     name = F.element_at(F.split("member", "/"), -1)
     held = held.withColumns({
         "dataset": F.concat(F.lit(prefix), dataset_name(name)), "fmt": F.lower(F.element_at(F.split("member", r"\."), -1)),
         "file": F.md5(F.concat_ws(":", F.col("number").cast("string"), "member")),
     })
-    keys = ["dataset", "fmt", "file"]
+    keys = ["job", "dataset", "fmt", "file"]
     # Only names are kept of this first read.
     members = held.select("ending", *keys).distinct().collect()
-    found: list[tuple[str, str, str]] = []
+    found: dict[str, list[tuple[str, str, str]]] = {job: [] for job in archives}
     for ending in sorted({r.ending for r in members}):  # at most 256
         target = f"{folder}/ending={ending}"
         part = held.where(F.col("ending") == ending).select(F.col("content").cast("string").alias("value"), *keys, "piece")
         # A member is one partition of the source, so its pieces stay together and only have to keep their order.
-        part.sortWithinPartitions(*keys, "piece").drop("piece").write.mode("overwrite").partitionBy(*keys).option(
-            "encoding", "ISO-8859-1"
-        ).option("lineSep", bytes([ending]).decode("latin-1")).text(target)
-        found += [(r.dataset, r.fmt, f"{target}/dataset={r.dataset}/fmt={r.fmt}/file={r.file}") for r in members if r.ending == ending]
+        writer = part.sortWithinPartitions(*keys, "piece").drop("piece").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys)
+        with _EXPANDED_LOCK:  # as for the log: archives opened alone, side by side, write to one folder
+            writer.option("encoding", "ISO-8859-1").option("lineSep", bytes([ending]).decode("latin-1")).text(target)
+        for r in members:
+            if r.ending == ending:
+                found[owners[r.job]].append((r.dataset, r.fmt, f"{target}/job={r.job}/dataset={r.dataset}/fmt={r.fmt}/file={r.file}"))
     return found
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -92,6 +93,43 @@ def test_jobs_do_not_grow_with_the_files(spark, tmp_path, load):
     assert jobs(12) <= jobs(3) + 3
 
 
+def pack(root, n):
+    """n archives, each with one member of the same name; their uploads."""
+    root.mkdir(parents=True)
+    for i in range(n):
+        with zipfile.ZipFile(root / f"{i:03}.zip", "w") as z:
+            z.writestr("in/crew.csv", f"id,note\n{i},n{i}\n{i + 1000},m\n")
+    return [("bags", "zip", f"file:{root}/{i:03}.zip") for i in range(n)]
+
+
+def test_jobs_do_not_grow_with_the_archives(spark, tmp_path):
+    def jobs(n):
+        root = tmp_path / str(n)
+        uploads, zones = pack(root / "in", n), N.Zones(str(root / "zones"))
+        scheduler = spark.sparkContext._jsc.sc().dagScheduler()
+        before = scheduler.numTotalJobs()
+        N.take_files(spark, uploads, zones, day="2024-03-01")
+        used = scheduler.numTotalJobs() - before
+        assert read_curated(spark, zones.curated("crew")).agg(F.count_distinct("batch_id"), F.count("*")).first() == (n, 2 * n)
+        return used
+
+    assert jobs(12) <= jobs(3) + 3
+
+
+def test_an_archive_that_cannot_be_read_fails_alone(spark, tmp_path):
+    uploads, zones = pack(tmp_path / "in", 3), N.Zones(str(tmp_path / "zones"))
+    (tmp_path / "in" / "001.zip").write_bytes(b"PK no archive")
+    with zipfile.ZipFile(tmp_path / "in" / "bare.zip", "w") as z:
+        z.writestr("notes.txt", "x")
+    uploads += [("other", f, p) for _, f, p in uploads[:1]] + [("other", "zip", f"file:{tmp_path}/in/bare.zip")]
+    for _ in range(2):  # a replay changes nothing
+        N.take_files(spark, uploads, zones, day="2024-03-01")
+    last = {(r.dataset, r.path[-7:]): r.status for r in spark.read.parquet(zones.jobs).orderBy("seq").collect() if r.format == "zip"}
+    assert last == {("bags", "000.zip"): "LOADED", ("bags", "001.zip"): "FAILED", ("bags", "002.zip"): "LOADED", ("other", "000.zip"): "LOADED", ("other", "are.zip"): "REJECTED"}
+    rows = read_curated(spark, zones.curated("crew"))
+    assert sorted(r.id for r in rows.collect()) == [0, 0, 2, 1000, 1000, 1002]
+
+
 def test_header_names():
     assert safe_names(["a", None, "A", "b", ""]) == ["a0", "_c1", "A2", "b", "_c4"]
 
