@@ -1,12 +1,12 @@
 """Histogram boosting: many fits grow in the same Spark jobs.
 
 Every feature is cut at quantiles into at most ``bins`` bins once. Rows whose bins are all equal
-are one *cell*: they stay together in every tree, so a level works on cells, and rows count
-only where a tree draws its share of them. The rows are range-partitioned by their bins, so that
-equal ones meet, and held as blocks. One level of one tree of *all* fits (the folds of a
-cross-validation and the fit on all rows) is one job: each block adds up its residuals by
-(fit, node, feature, bin), the sums of a fit meet in one task that picks the splits, and the
-driver sees the trees only.
+are one *cell*: they stay together in every tree, so a level works on cells. The rows of a cell in one
+fold are one *unit*, and those of a unit with equal targets one *entry*, from which a tree draws its
+share by their number. The rows are range-partitioned by their bins, so that equal ones meet, and held
+as blocks. One level of one tree of *all* fits (the folds of a cross-validation and the fit on all
+rows) is one job: each block adds up its residuals by (fit, node, feature, bin), the sums of a fit meet
+in one task that picks the splits, and the driver sees the trees only.
 
 A fit starts from the mean of its target (or the log odds of its label). Each tree is grown on
 the residuals of a fresh share of the rows; splits maximise ``n_l * n_r / n * (mean_l - mean_r)^2``,
@@ -14,8 +14,9 @@ a leaf adds ``rate`` times its mean residual (for labels, one Newton step).
 
 A fit is hundreds of short jobs, one after the other, so the blocks are held as an RDD of arrays:
 a level then costs little more than the start of its tasks, and a small table is one block in one
-task. The running predictions of a block are kept with it, cached from tree to tree, so that a lost block is worked out again from the
-last checkpoint, which is written every ``STORE`` trees.
+task. The running predictions of a block are kept with it, cached from tree to tree. They follow from
+the trees alone: every ``STORE`` trees they are worked out anew from all trees so far, so that no chain
+of steps grows long and nothing is written for it.
 """
 
 from __future__ import annotations
@@ -24,14 +25,17 @@ from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import RDD, StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from sluicework.session import cut_lineage, shared_dir, ship_package
+from sluicework.session import cut_lineage, ship_package
 
 SMALL, BLOCK, STORE = 1 << 16, 1 << 21, 50
+PIECE = 1 << 15  # cells or rows whose arrays fit a core's cache
 
 
 @dataclass(frozen=True)
@@ -65,8 +69,45 @@ class Tree:
 
     def places(self, bins: np.ndarray, levels: int) -> np.ndarray:
         """The node each row (a column of ``bins``) has reached after ``levels`` levels; a leaf keeps its rows."""
+        deep = len(self.feature) > 255
+        return np.concatenate([
+            (self._followed if deep else self._marked)(bins[:, k : k + PIECE], levels) for k in range(0, max(1, bins.shape[1]), PIECE)
+        ])
+
+    def _marked(self, bins: np.ndarray, levels: int) -> np.ndarray:
+        """Places in a tree of few nodes: the rows of each node as marks of one byte, which need no lookup."""
+        n = bins.shape[1]
+        at, right = np.zeros(n, np.uint8), np.empty(n, bool)
+        inside = {0: np.ones(n, bool)}
+        last = min(levels, (len(self.feature) + 1).bit_length() - 2)
+        for level in range(last):
+            split = {k: m for k, m in inside.items() if self.feature[k] >= 0}
+            if not split:
+                break
+            inside, turned = {}, np.zeros(n, bool)
+            stays = len(split) < 1 << level
+            moved = np.zeros(n, bool) if stays else None
+            for k, own in split.items():
+                np.greater(bins[self.feature[k]], self.cut[k], out=right)
+                np.logical_and(right, own, out=right)
+                np.logical_or(turned, right, out=turned)
+                if stays:
+                    np.logical_or(moved, own, out=moved)
+                if level + 1 < last:
+                    inside[2 * k + 1] = own ^ right
+                    inside[2 * k + 2] = right.copy()
+            # Node k has the children 2k + 1 and 2k + 2.
+            if stays:
+                at += at * moved.view(np.uint8) + moved.view(np.uint8)
+            else:
+                at += at + np.uint8(1)
+            at += turned.view(np.uint8)
+        return at.astype(np.int64)
+
+    def _followed(self, bins: np.ndarray, levels: int) -> np.ndarray:
+        """Places in a tree of any size, row by row."""
         n = bins.shape[1]
-        at, rows, flat = np.zeros(n, np.int64), np.arange(n), bins.reshape(-1)
+        at, rows, flat = np.zeros(n, np.int64), np.arange(n), np.ascontiguousarray(bins).reshape(-1)
         feature = np.maximum(self.feature, 0).astype(np.int64) * n
         step = np.where(self.feature >= 0, np.arange(len(self.feature)) + 1, 0)
         for _ in range(levels):
@@ -93,9 +134,11 @@ class Fit:
         return np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(self.cuts)]).astype(np.uint8)
 
     def margins(self, x: np.ndarray) -> np.ndarray:
-        bins, total = self.binned(x), np.full(len(x), self.base)
-        for tree in self.trees:
-            total += self.rate * tree.value[tree.places(bins, 64)]
+        total = np.full(len(x), self.base)
+        for k in range(0, len(x), PIECE):
+            bins, own = self.binned(x[k : k + PIECE]), total[k : k + PIECE]
+            for tree in self.trees:
+                own += (self.rate * tree.value).take(tree.places(bins, 64))
         return total
 
     def importances(self) -> np.ndarray:
@@ -120,22 +163,28 @@ def _blocks(df: DataFrame, columns: Sequence[str], target: str, fold: str, cuts:
     ``bins`` has a column for each cell, ``cell`` and ``fold`` an entry for each (cell, fold) that
     occurs, ``start`` the first row of each; ``target`` holds the rows.
     """
-    binner = Fit(cuts, 0.0, 0.0, False)
+    binner, width = Fit(cuts, 0.0, 0.0, False), len(cuts) + 1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]], axis=1)
-            packed = np.ascontiguousarray(binner.binned(x).T).tobytes()
-            bins = pa.Array.from_buffers(pa.binary(len(cuts)), batch.num_rows, [None, pa.py_buffer(packed)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([bins, *batch.columns[:2]], ["bins", "target", "fold"])
+            packed = np.vstack([binner.binned(x), batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint8)[None]])
+            bins = pa.Array.from_buffers(pa.binary(width), batch.num_rows, [None, pa.py_buffer(np.ascontiguousarray(packed.T).tobytes())])
+            yield pa.RecordBatch.from_arrays([bins.cast(pa.binary()), batch.column(0)], ["bins", "target"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        bins = np.concatenate([np.frombuffer(b.column(0).cast(pa.binary(len(cuts))).buffers()[1], np.uint8)[b.column(0).offset * len(cuts) :][: b.num_rows * len(cuts)].reshape(-1, len(cuts)) for b in held])
+        keys = np.concatenate([np.frombuffer(b.column(0).cast(pa.binary(width)).buffers()[1], np.uint8)[b.column(0).offset * width :][: b.num_rows * width].reshape(-1, width) for b in held])
         y = np.concatenate([b.column(1).to_numpy() for b in held])
-        folds = np.concatenate([b.column(2).to_numpy() for b in held]).astype(np.uint8)
+        words = np.zeros((len(keys), -(-width // 8) * 8), np.uint8)
+        words[:, :width] = keys
+        order = np.lexsort((y, *words.view(">u8").astype(np.uint64).T[::-1]))
+        keys, y = keys[order], y[order]
+        bins, folds = keys[:, :-1], keys[:, -1]
         other = np.concatenate(([True], (bins[1:] != bins[:-1]).any(axis=1)))
         start = np.flatnonzero(other | np.concatenate(([True], folds[1:] != folds[:-1])))
         cell = (np.cumsum(other) - 1)[start]
@@ -145,93 +194,156 @@ def _blocks(df: DataFrame, columns: Sequence[str], target: str, fold: str, cuts:
         )
 
     rows = df.select(F.col(target).cast("double"), F.col(fold).cast("int"), *[F.col(c).cast("double") for c in columns])
-    # Rows equal in bins, fold and target are alike; numbering them only lets the ranges cut them.
-    keyed = rows.mapInArrow(cut, "bins binary, target double, fold int").withColumn("tie", F.xxhash64(F.monotonically_increasing_id()))
-    order = ["bins", "fold", "target", "tie"]
-    spread = keyed.repartitionByRange(number, *order) if number > 1 else keyed.coalesce(1)
-    packed = spread.sortWithinPartitions(*order).select("bins", "target", "fold").mapInArrow(pack, "block long, bins binary, cell binary, fold binary, start binary, target binary")
-    return cut_lineage(packed)
+    keyed = rows.mapInArrow(cut, "bins binary, target double")
+    if number > 1:
+        # Stored, since finding the ranges reads them too. Rows equal in bins, fold and target are alike; the tie only lets the ranges cut them.
+        tie = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(1023)
+        keyed = cut_lineage(keyed).repartitionByRange(number, "bins", "target", tie)
+    else:
+        keyed = keyed.coalesce(1)
+    return cut_lineage(keyed.mapInArrow(pack, "block long, bins binary, cell binary, fold binary, start binary, target binary"))
+
+
+def _least(values: np.ndarray) -> np.ndarray:
+    """Whole numbers in the smallest type that holds them."""
+    return values.astype(np.min_scalar_type(int(values.max()) if len(values) else 0))
 
 
 @dataclass
-class State:
-    """A block with what every fit predicts for its cells so far, and the rows that grow the present tree.
+class Block:
+    """Cells as columns of ``bins``, and the units of each fold k from ``edge[k]`` to ``edge[k + 1]``.
 
-    ``drawn`` and ``summed`` are the number of these rows and the sum of their targets by (cell, fold).
+    Unit u lies in the cell ``cell[u]`` and has the entries from ``start[u]``; ``start`` is None where
+    each unit has one. An entry is the ``rows`` of a unit that have one ``target``; ``place`` is its
+    place in the order of the bins, in which the rows are drawn.
     """
 
-    block: int
+    number: int
     bins: np.ndarray
     cell: np.ndarray
-    fold: np.ndarray
-    start: np.ndarray
+    edge: np.ndarray
+    start: np.ndarray | None
+    rows: np.ndarray
     target: np.ndarray
+    place: np.ndarray
+
+    @classmethod
+    def of(cls, row, features: int) -> Block:
+        bins = np.frombuffer(row["bins"], np.uint8).reshape(features, -1)
+        cell, fold, start = (np.frombuffer(row[c], t) for c, t in (("cell", np.int32), ("fold", np.uint8), ("start", np.int32)))
+        target = np.frombuffer(row["target"])
+        first = np.concatenate(([True], target[1:] != target[:-1]))
+        first[start] = True
+        entry = np.flatnonzero(first)
+        rows, target = np.diff(entry, append=len(target)), target[entry]
+        begin = np.searchsorted(entry, start)
+        size = np.diff(begin, append=len(entry))
+        order = np.argsort(fold, kind="stable")
+        starts = np.cumsum(size[order]) - size[order]
+        moved = np.repeat(begin[order] - starts, size[order]) + np.arange(len(entry))
+        edge, single = np.searchsorted(fold[order], np.arange(257)), len(entry) == len(start)
+        return cls(row["block"], bins, cell[order], edge, None if single else starts.astype(np.int32), _least(rows[moved]), target[moved], moved.astype(np.int32))
+
+
+@dataclass
+class State:
+    """A block with what every fit predicts for its cells so far, and the rows that grow the present tree.
+
+    ``drawn`` is the number of these rows by unit and ``summed`` the sum of their targets, ``count``
+    and ``total`` the same by cell.
+    """
+
+    block: Block
     margin: np.ndarray
     drawn: np.ndarray
     summed: np.ndarray
+    count: np.ndarray
+    total: np.ndarray
 
     @classmethod
-    def begin(cls, row, base: np.ndarray, features: int, settings: Settings) -> State:
-        bins = np.frombuffer(row["bins"], np.uint8).reshape(features, -1)
-        cell, fold, start = (np.frombuffer(row[c], t) for c, t in (("cell", np.int32), ("fold", np.uint8), ("start", np.int32)))
-        none = np.zeros(0)
-        margin = np.repeat(base[:, None], bins.shape[1], axis=1)
-        return cls(row["block"], bins, cell, fold, start, np.frombuffer(row["target"]), margin, none, none).drawing(0, settings)
+    def begin(cls, block: Block, base: np.ndarray, settings: Settings, trees: Sequence[list[Tree]] = ()) -> State:
+        """The state after the trees of all fits so far, drawn for the next."""
+        state = cls(block, np.repeat(base[:, None], block.bins.shape[1], axis=1), *[np.zeros(0)] * 4)
+        for grown in trees:
+            state._move(grown, settings)
+        return state.drawing(len(trees), settings)
 
     def drawing(self, number: int, settings: Settings) -> State:
         """With the share of the rows that grows the tree of this number."""
-        if settings.subsample >= 1:
-            if len(self.drawn):
-                return self
-            return replace(self, drawn=np.diff(self.start, append=len(self.target)), summed=np.add.reduceat(self.target, self.start))
-        kept = np.random.default_rng((settings.seed, number, self.block)).random(len(self.target)) < settings.subsample
-        return replace(self, drawn=np.add.reduceat(kept, self.start, dtype=np.int64), summed=np.add.reduceat(np.where(kept, self.target, 0.0), self.start))
+        own, cells = self.block, self.block.bins.shape[1]
+        drawn = own.rows.astype(np.int64)
+        if settings.subsample < 1:
+            rng, many = np.random.default_rng((settings.seed, number, own.number)), np.flatnonzero(own.rows > 1)
+            kept = (rng.random(len(drawn)) < settings.subsample)[own.place].astype(np.int64)
+            kept[many] = rng.binomial(drawn[many], settings.subsample)
+            drawn = kept
+        elif len(self.drawn):
+            return self
+        summed = drawn * own.target
+        if own.start is not None:
+            drawn, summed = np.add.reduceat(drawn, own.start), np.add.reduceat(summed, own.start)
+        count, total = np.bincount(own.cell, drawn, cells).astype(np.int64), np.bincount(own.cell, summed, cells)
+        return replace(self, drawn=_least(drawn), summed=summed, count=_least(count), total=total)
+
+    def _move(self, trees: list[Tree], settings: Settings) -> None:
+        for own, tree in zip(self.margin, trees, strict=True):
+            own += (settings.rate * tree.value).take(tree.places(self.block.bins, settings.depth))
 
     def grown(self, trees: list[Tree], number: int, settings: Settings) -> State:
         """After the trees, drawn for the tree of this number: a cell's margin moves in every fit."""
-        moved = np.stack([self.margin[m] + settings.rate * t.value[t.places(self.bins, settings.depth)] for m, t in enumerate(trees)])
-        return replace(self, margin=moved).drawing(number, settings)
-
-    def totals(self) -> tuple[np.ndarray, np.ndarray]:
-        """The drawn rows of each cell, and their sum, over all folds."""
-        first = np.flatnonzero(np.diff(self.cell, prepend=-1))
-        return np.add.reduceat(self.drawn, first), np.add.reduceat(self.summed, first)
-
-    def without(self, fit: int, totals: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """``totals`` less the rows of one fold."""
-        own = np.flatnonzero(self.fold == fit)
-        out = [t.copy() for t in totals]
-        for t, part in zip(out, (self.drawn, self.summed), strict=True):
-            t[self.cell[own]] -= part[own]
-        return out[0], out[1]
+        moved = replace(self, margin=self.margin.copy())
+        moved._move(trees, settings)
+        return moved.drawing(number, settings)
+
+    def without(self, fold: int, low: int, high: int, spot: np.ndarray, n: np.ndarray, summed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The drawn rows and their sum of the cells from ``low`` to ``high``, less those of a fold; ``spot`` is a cell's place among them."""
+        first, last = self.block.edge[fold], self.block.edge[fold + 1]
+        a, b = first + np.searchsorted(self.block.cell[first:last], (low, high))
+        own = a + np.flatnonzero(self.drawn[a:b])
+        at = spot[self.block.cell[own] - low]
+        n, summed = n.copy(), summed.copy()
+        n[at] -= self.drawn[own]
+        summed[at] -= self.summed[own]
+        return n, summed
 
 
 def partial_sums(blocks: Iterable[State], trees: list[Tree], level: int, settings: Settings, features: int, folds: int) -> np.ndarray:
     """Sums (fit, node of the level, feature, bin, statistic) over the rows of some blocks that grow this tree.
 
-    The statistics are the residuals, the rows and, for labels, the curvature.
+    The statistics are the residuals, the rows and, for labels, the curvature. Residuals and rows
+    are the two parts of one complex number, so that one pass adds both up.
     """
     fits, nodes, bins_of, logistic = len(trees), 1 << level, settings.bins, settings.logistic
-    total = np.zeros((fits, features, 3 if logistic else 2, nodes * bins_of))
+    # Rows that stopped at a leaf go to one node more.
+    total = np.zeros((fits, features, (nodes + 1) * bins_of), complex)
+    curves = np.zeros(total.shape if logistic else (0,))
     for state in blocks:
-        everything = state.totals()
-        for m, tree in enumerate(trees):
-            count, summed = state.without(m, everything) if m < folds else everything
-            place = tree.places(state.bins, level) - (nodes - 1)
-            at = np.flatnonzero((place >= 0) & (count > 0))
-            n, shown, first = count[at].astype(np.float64), state.margin[m, at], place[at] * bins_of
-            if logistic:
-                p = 1 / (1 + np.exp(-shown))
-                gradient, curve = summed[at] - n * p, n * p * (1 - p)
-            else:
-                gradient = summed[at] - n * shown
-            for f in range(features):
-                key = first + state.bins[f, at]
-                total[m, f, 0] += np.bincount(key, gradient, nodes * bins_of)
-                total[m, f, 1] += np.bincount(key, n, nodes * bins_of)
+        for low in range(0, len(state.count), PIECE):
+            high = min(low + PIECE, len(state.count))
+            shown = state.count[low:high] > 0
+            at, spot = np.flatnonzero(shown), np.cumsum(shown) - 1
+            bins = state.block.bins[:, low:high]
+            if len(at) < high - low:
+                bins = bins.take(at, axis=1)
+            everything = state.count[low:high][at].astype(np.float64), state.total[low:high][at]
+            for m, tree in enumerate(trees):
+                n, summed = state.without(m, low, high, spot, *everything) if m < folds else everything
+                place = tree.places(bins, level) - (nodes - 1)
+                place[place < 0] = nodes
+                place *= bins_of
+                margin = state.margin[m, low:high][at]
                 if logistic:
-                    total[m, f, 2] += np.bincount(key, curve, nodes * bins_of)
-    return total.reshape(fits, features, -1, nodes, bins_of).transpose(0, 3, 1, 4, 2)
+                    margin = 1 / (1 + np.exp(-margin))
+                    curve = n * margin * (1 - margin)
+                weight = np.empty(len(at), complex)
+                weight.real, weight.imag = summed - n * margin, n
+                for f in range(features):
+                    key = place + bins[f]
+                    np.add.at(total[m, f], key, weight)
+                    if logistic:
+                        np.add.at(curves[m, f], key, curve)
+    parts = [total.real, total.imag, *([curves] if logistic else [])]
+    return np.stack(parts, axis=-1).reshape(fits, features, nodes + 1, bins_of, -1)[:, :, :nodes].transpose(0, 2, 1, 3, 4)
 
 
 def _level(state: RDD, trees: list[Tree], level: int, settings: Settings, features: int, folds: int) -> list[Tree]:
@@ -294,8 +406,6 @@ def fit_folds(df: DataFrame, columns: Sequence[str], target: str, fold: str, fol
     """
     ship_package(df.sparkSession)
     context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
     sums = {r["fold"]: (r["n"], r["y"]) for r in df.groupBy(F.col(fold).cast("int").alias("fold")).agg(F.count("*").alias("n"), F.sum(F.col(target).cast("double")).alias("y")).collect()}
     base = []
     for m in range(folds + 1):
@@ -312,42 +422,56 @@ def fit_folds(df: DataFrame, columns: Sequence[str], target: str, fold: str, fol
     rows, features = sum(v[0] for v in sums.values()), len(columns)
     tasks = max(1, min(context.defaultParallelism, -(-rows // SMALL)))
     number = max(tasks, -(-rows // BLOCK))
-    placed = _blocks(df, columns, target, fold, cuts, number).rdd.map(lambda row: (row["block"], row)).partitionBy(tasks, lambda block: block)
-    state = placed.map(lambda p: State.begin(p[1], start, features, settings)).persist(StorageLevel.MEMORY_AND_DISK)
-    older = None
+    blocks = _blocks(df, columns, target, fold, cuts, number).rdd.map(lambda row: (row["block"], Block.of(row, features)))
+    placed = blocks.partitionBy(tasks, lambda block: block).values()
+    state = placed.map(lambda block: State.begin(block, start, settings)).persist(StorageLevel.MEMORY_AND_DISK_DESER)
+    older, grown = None, []
     try:
-        for number in range(settings.trees):
+        for number in range(1, settings.trees + 1):
             trees = [Tree.empty(settings.depth) for _ in fits]
             for level in range(settings.depth):
                 trees = _level(state, trees, level, settings, features, folds)
                 if older is not None:  # the new state has been worked out by now
                     older.unpersist()
                     older = None
-            for fit, tree in zip(fits, trees, strict=True):
-                fit.trees.append(tree)
-            if number + 1 < settings.trees:
-                older, state = state, state.map(lambda s, t=trees, n=number + 1: s.grown(t, n, settings)).persist(StorageLevel.MEMORY_AND_DISK)
-                if (number + 1) % STORE == 0:
-                    state.checkpoint()
+            grown.append(trees)
+            if number < settings.trees:
+                if number % STORE:
+                    after = state.map(lambda s, t=trees, n=number: s.grown(t, n, settings))
+                else:
+                    after = placed.map(lambda block, t=list(grown): State.begin(block, start, settings, t))
+                older, state = state, after.persist(StorageLevel.MEMORY_AND_DISK_DESER)
     finally:
         state.unpersist()
         if older is not None:
             older.unpersist()
-    return fits
+    return [replace(fit, trees=list(own)) for fit, own in zip(fits, zip(*grown, strict=True), strict=True)] if grown else fits
 
 
 def predict(df: DataFrame, columns: Sequence[str], fits: Sequence[Fit], model: str, name: str = "prediction") -> DataFrame:
-    """``df`` with each row's prediction by the fit whose number is in the column ``model``: a value, or the margin of a label."""
+    """``df`` with each row's prediction by the fit whose number is in the column ``model``: a value, or the margin of a label.
+
+    Only ``columns`` and ``model`` go to the Python workers; some batches are predicted together.
+    """
     ship_package(df.sparkSession)
-    schema = df.select("*", F.lit(0.0).alias(name)).schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        held: list[tuple[pd.Series, ...]] = []
         for batch in batches:
-            x = np.stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in (batch.column(c) for c in columns)], axis=1) if batch.num_rows else np.empty((0, len(columns)))
-            which = batch.column(model).to_numpy(zero_copy_only=False)
-            out = np.zeros(batch.num_rows)
-            for m in np.unique(which):
-                out[which == m] = fits[m].margins(x[which == m])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, name])
-
-    return df.mapInArrow(run, schema)
+            held.append(batch)
+            if sum(len(b[0]) for b in held) >= 4 * PIECE:
+                yield margins(held)
+                held = []
+        if held:
+            yield margins(held)
+
+    def margins(held: list[tuple[pd.Series, ...]]) -> pd.Series:
+        which, *x = (np.concatenate([b[k].to_numpy() for b in held]) for k in range(len(columns) + 1))
+        out = np.zeros(len(which))
+        for m in np.unique(which):
+            rows = np.flatnonzero(which == m)
+            out[rows] = fits[m].margins(np.stack([c[rows] for c in x], axis=1).astype(np.float64))
+        return pd.Series(out)
+
+    return df.withColumn(name, run(F.col(model), *[F.col(c) for c in columns]))

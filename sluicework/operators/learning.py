@@ -113,14 +113,16 @@ def boost_out_of_fold(
 
     Each row is predicted by the model of the folds it is not in. residual = prediction
     minus actual. Importances come from a fit on all rows. All models grow together, see
-    :mod:`sluicework.operators.boosting`.
+    :mod:`sluicework.operators.boosting`. ``df`` is worked out twice, for the fits and for the rows:
+    store it before if that costs much.
     """
     filled, names = _inputs(df, columns, target)
-    # Stored, not cached: the returned rows are worked out from it later.
-    data = cut_lineage(fold_numbers(filled, key, folds, blocks))
+    folded = fold_numbers(filled, key, folds, blocks)
+    # Only what the fits read several times is stored; the returned rows are worked out from df again.
+    data = cut_lineage(folded.select(*names, "__y", "fold"))
     settings = B.Settings(trees, depth, rate, subsample, min_leaf, seed=seed)
     fits = B.fit_folds(data, names, "__y", "fold", folds, settings)
-    rows = B.predict(data, names, fits, "fold").withColumns(
+    rows = B.predict(folded, names, fits, "fold").withColumns(
         {
             "residual": half_even(F.col("prediction") - F.col("__y"), 4),
             "prediction": half_even(F.col("prediction"), 4),

@@ -60,33 +60,44 @@ def _check(check: str, column: str | None, observed: str, threshold: float, viol
     )
 
 
-def dq_report(df: DataFrame, rules: QualityRules) -> DataFrame:
-    """One row per check: check, column_name, observed, threshold, violated.
-
-    A single aggregate measures everything but key duplicates, which need one grouped
-    count (combined map-side).
-    """
-    numeric = [
-        f.name
-        for f in df.schema.fields
-        if isinstance(f.dataType, NumericType) and f.name not in rules.skip_variance
-    ]
-    rows = "CAST(count(*) AS DOUBLE)"
-    checks = [_check("min_rows", None, rows, rules.min_rows, f"{rows} < {rules.min_rows}")]
-    for c in df.columns:
+def _measured(df: DataFrame, rules: QualityRules, columns: Sequence[str], numeric: Sequence[str], whole: bool) -> DataFrame:
+    """The report rows of some columns, and those of the whole table, out of one aggregate."""
+    checks = []
+    if whole:
+        rows = "CAST(count(*) AS DOUBLE)"
+        checks.append(_check("min_rows", None, rows, rules.min_rows, f"{rows} < {rules.min_rows}"))
+    for c in columns:
         rate = f"avg(CAST({_name(c)} IS NULL AS DOUBLE))"
         checks.append(_check("all_null", c, rate, 1.0, f"{rate} = 1"))
         checks.append(_check("null_rate", c, rate, rules.max_null_rate, f"{rate} > {rules.max_null_rate} AND {rate} < 1"))
     for c, (low, high) in rules.ranges.items():
-        if c in df.columns:
+        if c in columns:
             value = f"try_cast({_name(c)} AS DOUBLE)"
             out = f"CAST(count_if({value} < {low} OR {value} > {high}) AS DOUBLE)"
             checks.append(_check("range", c, out, 0.0, f"{out} > 0"))
     for c in numeric:
-        spread = f"stddev_samp(CAST({_name(c)} AS DOUBLE))"
-        checks.append(_check("zero_variance", c, spread, 0.0, f"{spread} = 0"))
+        if c in columns:
+            spread = f"stddev_samp(CAST({_name(c)} AS DOUBLE))"
+            checks.append(_check("zero_variance", c, spread, 0.0, f"{spread} = 0"))
+    return df.agg(F.expr(f"array({', '.join(checks)})").alias("e")).select(F.inline("e"))
+
 
-    report = df.agg(F.expr(f"array({', '.join(checks)})").alias("e")).select(F.inline("e"))
+def dq_report(df: DataFrame, rules: QualityRules, at_once: int = 0) -> DataFrame:
+    """One row per check: check, column_name, observed, threshold, violated.
+
+    A single aggregate measures everything but key duplicates, which need one grouped
+    count (combined map-side). ``at_once`` limits the columns of an aggregate, for tables that
+    are stored: a wide one is compiled to a method that Java does not speed up.
+    """
+    numeric = [
+        f.name
+        for f in df.schema.fields
+        if isinstance(f.dataType, NumericType) and f.name not in rules.skip_variance
+    ]
+    step = at_once or max(1, len(df.columns))
+    report = _measured(df, rules, df.columns[:step], numeric, True)
+    for k in range(step, len(df.columns), step):
+        report = report.unionByName(_measured(df, rules, df.columns[k : k + step], numeric, False))
     if rules.key and set(rules.key) <= set(df.columns):
         copies = df.groupBy(*rules.key).agg((F.count("*") - 1).alias("extra"))
         total = "coalesce(CAST(sum(extra) AS DOUBLE), 0D)"
@@ -95,9 +106,9 @@ def dq_report(df: DataFrame, rules: QualityRules) -> DataFrame:
     return report
 
 
-def dq_assert(df: DataFrame, rules: QualityRules) -> DataFrame:
+def dq_assert(df: DataFrame, rules: QualityRules, at_once: int = 0) -> DataFrame:
     """Return ``df`` unchanged, or fail with every violation at once."""
-    bad = dq_report(df, rules).where("violated").collect()  # a few rows per column
+    bad = dq_report(df, rules, at_once).where("violated").collect()  # a few rows per column
     if bad:
         lines = [f"{r['check_name']} {r['column_name'] or ''}: {r['observed']} (limit {r['threshold']})" for r in bad]
         raise ValueError("data validation failed:\n" + "\n".join(lines))

@@ -44,7 +44,7 @@ class Boost:
 def _gate(df: DataFrame, rules: QualityRules | None) -> DataFrame:
     """Store the feature table once, as every step reads it again, and check it."""
     stored = cut_lineage(df)
-    return stored if rules is None else dq_assert(stored, rules)
+    return stored if rules is None else dq_assert(stored, rules, at_once=8)
 
 
 def _sweep_metrics(sweep: DataFrame) -> DataFrame:
@@ -284,7 +284,7 @@ def pitstop_impact(features: DataFrame, boost: Boost = Boost(), rules: QualityRu
         "total_stops", "avg_stop_duration", "total_pit_time_ms",
     ]
     rows, importances, table = _boosted(
-        entries, ["raceId", "driverId"], columns, "positions_gained", boost, "predicted_positions_gained", "positions_gained", shown
+        cut_lineage(entries.select("driverId", *shown, "positions_gained", *[c for c in columns if c not in shown])), ["raceId", "driverId"], columns, "positions_gained", boost, "predicted_positions_gained", "positions_gained", shown
     )
     crews = A.pit_crew_stats(features)
     return {
