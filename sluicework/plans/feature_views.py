@@ -150,7 +150,9 @@ def pitstop_features(
     # what groups them by race and driver needs no shuffle more.
     parts = large_parts(valid)
     raced = join_large(join_large(valid, entries, ["raceId", "driverId"], parts), placed.drop("circuitId"), "raceId", parts)
-    named = star_join(raced, [(constructors.select("constructorId", F.col("name").alias("constructor")), ["constructorId"], "inner")])
+    # Stored, so that their size is known and the stops are not shuffled for a few constructors.
+    names = cut_lineage(constructors.select("constructorId", F.col("name").alias("constructor")))
+    named = star_join(raced, [(names, ["constructorId"], "inner")])
     wide = join_large(named, drivers.select("driverId", F.col("driverRef").alias("driver")), "driverId", parts)
     return wide.select(
         "raceId", "driverId", F.col("stop").alias("stop_number"), F.col("lap").alias("stop_lap"),

@@ -71,3 +71,14 @@ def test_a_gate_measures_wide_tables_in_parts(spark):
     rules = QualityRules(50, ranges={"c3": (0, 2)}, key=("c6",))
     want, got = (sorted(map(str, dq_report(df, rules, n).collect())) for n in (0, 3))
     assert want == got and len(want) == 1 + 16 + 1 + 7 + 1
+
+
+def test_stops_are_not_shuffled_for_a_few_constructors(spark, tables):
+    from sluicework.catalog.views import pitstop_view
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")
+    try:
+        plan = pitstop_view(tables)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "constructorId" in plan and not [line for line in plan.splitlines() if "Exchange hashpartitioning(constructorId" in line]
